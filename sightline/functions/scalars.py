@@ -6,6 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def computed_once(expression: Column) -> Column:
+    """A costly expression as a generated column.
+
+    Filters on what is derived from it then stay above it; otherwise the optimizer
+    copies the expression into every pushed-down predicate and evaluates it each time.
+    """
+    return F.explode(F.array(expression))
+
+
 def collapse_spaces(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
@@ -17,7 +26,7 @@ def place_key(text: Column) -> Column:
 
 
 def clean_products(values: Column) -> Column:
-    return F.filter(F.transform(values, F.trim), lambda v: v != "")
+    return F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != "")
 
 
 def clean_polarizations(values: Column) -> Column:

@@ -46,7 +46,8 @@ def matching(acquisitions: DataFrame, request: SearchRequest) -> DataFrame:
     (text ``yyyy-MM``) in ``month_column`` and a pruning predicate is added.
     """
     west, south, east, north = (F.lit(float(v)) for v in request.box)
-    start, end = F.lit(request.start_at).cast("timestamp"), F.lit(request.end_at).cast("timestamp")
+    clock = acquisitions.schema["acquired_at"].dataType  # compare in the stored type: pushes down
+    start, end = F.lit(request.start_at).cast(clock), F.lit(request.end_at).cast(clock)
     out = acquisitions.where(
         box_intersects(
             F.col("west"), F.col("south"), F.col("east"), F.col("north"), west, south, east, north
@@ -402,16 +403,20 @@ def traverse(
     """
     spark = links.sparkSession
     links = links.where(F.col("url").isNotNull())
-    child = links.where(F.col("rel") == "child")
+    child = links.where(F.col("rel") == "child").select("parent_url", "pos", "url")
     visited = spark.range(1).select(
         F.lit(root).alias("url"), F.lit(0).alias("depth"), F.lit(1).cast("bigint").alias("position")
     )
+
+    def parents(catalogs: DataFrame) -> DataFrame:
+        return catalogs.select(F.col("url").alias("parent_url"), "position")
+
     frontier, count, depth = visited, 1, 0
     while max_catalogs is None or count < max_catalogs:
         depth += 1
         nxt = (
-            child.join(frontier, child["parent_url"] == frontier["url"])
-            .groupBy(child["url"]).agg(F.min(F.struct("position", "pos")).alias("_at"))
+            child.join(parents(frontier), "parent_url")
+            .groupBy("url").agg(F.min(F.struct("position", "pos")).alias("_at"))
             .join(visited.select("url"), "url", "left_anti")
         )
         placed = ranked(nxt, [], ["_at"], "_r").select(
@@ -425,11 +430,9 @@ def traverse(
             break
         visited = reliable_checkpoint(visited.unionByName(placed))
         frontier, count = placed, count + added
-    leaves = links.where(F.col("rel") == "item")
     found = (
-        leaves.join(visited, leaves["parent_url"] == visited["url"])
-        .groupBy(leaves["url"])
-        .agg(F.min(F.struct("position", "pos")).alias("_at"), F.count(F.lit(1)).alias("link_count"))
+        links.where(F.col("rel") == "item").join(parents(visited), "parent_url")
+        .groupBy("url").agg(F.min(F.struct("position", "pos")).alias("_at"), F.count(F.lit(1)).alias("link_count"))
     )
     items = ranked(found, [], ["_at"], "position").select("url", "position", "link_count")
     return visited, items

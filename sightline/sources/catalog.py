@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sightline import schemas
 from sightline.functions import geometry as geo
-from sightline.functions.scalars import first_number, first_text, parse_time
+from sightline.functions.scalars import computed_once, first_number, first_text, parse_time
 
 # Media types by object suffix: fixed values.
 MEDIA_TYPES = {
@@ -67,7 +67,10 @@ def normalise_items(documents: DataFrame) -> DataFrame:
     Rows with a NULL ``problem`` are usable acquisitions; the others are the
     quarantine and become ``item_invalid`` warnings.
     """
-    parsed = documents.withColumn("_d", F.from_json("body", schemas.CATALOG_ITEM))
+    parsed = documents.select(
+        "source_url", (~F.coalesce(F.ltrim("body").startswith("{"), F.lit(False))).alias("_unread"),
+        computed_once(F.from_json("body", schemas.CATALOG_ITEM)).alias("_d"),
+    )
     p = F.col("_d.properties")
     box = [F.try_element_at(F.col("_d.bbox"), F.lit(i)) for i in range(1, 5)]
     rng = first_number(p["sar:resolution_range"], p["sar:pixel_spacing_range"])
@@ -97,7 +100,7 @@ def normalise_items(documents: DataFrame) -> DataFrame:
         F.col("_d.links").alias("links"),
         when_text.alias("_when"),
         F.size("_d.bbox").alias("_nbox"),
-        F.col("_d").isNull().alias("_unread"),
+        (F.col("_unread") | F.col("_d").isNull()).alias("_unread"),
         p.isNull().alias("_noprops"), F.col("_d.geometry").isNull().alias("_nogeom"),
         F.col("_d.geometry.coordinates").isNull().alias("_nocoord"),
     )

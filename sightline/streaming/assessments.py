@@ -36,58 +36,60 @@ def first_requests(drafts: DataFrame, event_time: str, delay: str) -> DataFrame:
 
 
 class RequestGate(StatefulProcessor):
-    """Keyed by (bundle, request): passes the first draft, marks the others as replays."""
+    """Keyed by (bundle, request): flags a request id reused for another candidate."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", "seq long, candidate_id string")
+        self.owner = handle.getValueState("owner", "candidate_id string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        owner = self.owner.get()[0] if self.owner.exists() else None
         for batch in rows:
             batch = batch.sort_values("seq", kind="stable").reset_index(drop=True)
-            held = self.first.get() if self.first.exists() else None
-            if held is None:
-                self.first.update((int(batch.seq.iloc[0]), str(batch.candidate_id.iloc[0])))
-            replay = pd.Series(True, index=batch.index)
-            if held is None:
-                replay.iloc[0] = False
-            yield batch.assign(is_replay=replay)
+            if owner is None:
+                owner = str(batch.candidate_id.iloc[0])
+                self.owner.update((owner,))
+            yield batch.assign(is_reused=batch.candidate_id != owner)
 
     def close(self) -> None:
         pass
 
 
 class Supersession(StatefulProcessor):
-    """Keyed by (bundle, candidate): state is the current event id only."""
+    """Keyed by (bundle, candidate): state is the current event id and the accepted requests."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.current = handle.getValueState("current", "event_id string")
+        self.requests = handle.getMapState("requests", "request_id string", "event_id string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        current = self.current.get()[0] if self.current.exists() else None
+        before = current = self.current.get()[0] if self.current.exists() else None
         for batch in rows:
             batch = batch.sort_values("seq", kind="stable").reset_index(drop=True)
             outcomes, ids = [], []
-            for seq, named, known, replay in zip(
-                batch.seq, batch.supersedes_event_id, batch.is_known, batch.is_replay
+            for seq, request, named, known, reused in zip(
+                batch.seq, batch.request_id, batch.supersedes_event_id, batch.is_known, batch.is_reused
             ):
                 named = None if pd.isna(named) else named
                 event_id = None
-                if replay:
+                if reused:
                     outcome = "replay"
+                elif self.requests.containsKey((request,)):
+                    outcome, event_id = "replay", self.requests.getValue((request,))[0]
                 elif not known:
                     outcome = "unknown-candidate"
                 elif named != current:
                     outcome = "conflict"
                 else:
-                    outcome, event_id = "accepted", f"event-{int(seq):012d}"
+                    outcome, event_id = "accepted", f"assessment-{int(seq):04d}"
                     current = event_id
+                    self.requests.updateValue((request,), (event_id,))
                 outcomes.append(outcome)
                 ids.append(event_id)
             yield batch.assign(event_id=ids, outcome=outcomes)[
                 ["bundle_id", "candidate_id", "request_id", "seq", "disposition", "note",
                  "supersedes_event_id", "event_id", "outcome"]
             ]
-        if current is not None:
+        if current != before:
             self.current.update((current,))
 
     def close(self) -> None:
@@ -95,9 +97,9 @@ class Supersession(StatefulProcessor):
 
 
 def gate_requests(drafts: DataFrame) -> DataFrame:
-    """Exact replay detection for the life of the query."""
+    """Mark request ids that come back for another candidate of the same bundle."""
     fields = drafts.schema.fields
-    out = StructType(fields).add("is_replay", "boolean")
+    out = StructType(fields).add("is_reused", "boolean")
     return drafts.groupBy("bundle_id", "request_id").transformWithStateInPandas(
         statefulProcessor=RequestGate(), outputStructType=out, outputMode="append", timeMode="none"
     )
