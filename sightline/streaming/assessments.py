@@ -98,7 +98,7 @@ class Supersession(StatefulProcessor):
 
 def gate_requests(drafts: DataFrame) -> DataFrame:
     """Mark request ids that come back for another candidate of the same bundle."""
-    fields = drafts.schema.fields
+    fields = list(drafts.schema.fields)
     out = StructType(fields).add("is_reused", "boolean")
     return drafts.groupBy("bundle_id", "request_id").transformWithStateInPandas(
         statefulProcessor=RequestGate(), outputStructType=out, outputMode="append", timeMode="none"
