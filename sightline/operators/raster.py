@@ -41,13 +41,12 @@ class ChangePolicy:
 
 
 def per_run(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A table with one row per run, ready to meet the pixel table.
+    """A small table with one row per run, ready to meet the pixel table.
 
-    It is materialised once and counted; only a size below ``max_rows`` is broadcast,
-    anything larger stays an ordinary join side.
+    Its rows are counted first: only a size up to ``max_rows`` is broadcast, anything
+    larger stays an ordinary join side.  Pass a table that is cheap to read.
     """
-    kept = reliable_checkpoint(df)
-    return F.broadcast(kept) if kept.count() <= max_rows else kept
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
 # --- grids and lattices -----------------------------------------------------------
@@ -304,7 +303,7 @@ def stretch(value: Column, low: Column, high: Column) -> Column:
 
 
 def normalise_pair(paired: DataFrame, quality: DataFrame) -> DataFrame:
-    limits = quality.groupBy("run_id").agg(
+    limits = reliable_checkpoint(quality).groupBy("run_id").agg(
         *[
             F.max(F.when(F.col("role") == role, F.col(f"normalization_{end}"))).alias(f"_{role}_{end}")
             for role in ("before", "after")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,58 +12,72 @@ from sightline.operators.ranking import exact_percentiles
 from sightline.operators.raster import ChangePolicy, per_run
 from sightline.session import reliable_checkpoint
 
-LINE_BLOCK = 1024
+LABEL_BLOCK = 256
 SMALL_OUTLINE = 50_000
 
 
-def _cell_id(row: Column, col: Column) -> Column:
-    """Scan-order id of a cell: the least id of a set is its first cell."""
-    return F.shiftleft(row.cast("bigint"), 31) + col.cast("bigint")
-
-
-def row_runs(mask: DataFrame) -> DataFrame:
-    """Tag each true cell ``(run_id, row, col)`` with the id of its horizontal run.
-
-    Lines are cut every ``LINE_BLOCK`` columns, so a window never holds a whole line.
-    """
-    cut = mask.select("run_id", "row", "col", F.floor(F.col("col") / LINE_BLOCK).alias("_lb"))
-    line = Window.partitionBy("run_id", "row", "_lb").orderBy("col")
-    opens = F.lag("col").over(line).isNull() | (F.lag("col").over(line) != F.col("col") - 1)
-    return (
-        cut.withColumn("_start", F.when(opens, F.col("col")))
-        .withColumn("_start", F.max("_start").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-        .select("run_id", "row", "col", _cell_id(F.col("row"), F.col("_start")).alias("segment"))
-    )
-
-
-def label_components(mask: DataFrame, connectivity: int = 8) -> DataFrame:
+PIECE_SCHEMA = "run_id string, row int, col int, piece bigint"
+
+
+def _label_block(connectivity: int):
+    """Labeller of one block: joined cells share the least cell id among them."""
+    steps = ((0, 1), (1, 0), (1, 1), (1, -1)) if connectivity == 8 else ((0, 1), (1, 0))
+
+    def label(cells: pd.DataFrame) -> pd.DataFrame:
+        row, col = cells["row"].to_numpy("int64"), cells["col"].to_numpy("int64")
+        ident = (row << 31) + col
+        order = np.argsort(ident)
+        row, col, ident = row[order], col[order], ident[order]
+        a, b = [], []
+        for dr, dc in steps:
+            other = ((row + dr) << 31) + (col + dc)
+            at = np.minimum(np.searchsorted(ident, other), len(ident) - 1)
+            hit = np.flatnonzero(ident[at] == other)
+            a.append(hit)
+            b.append(at[hit])
+        a, b = np.concatenate(a), np.concatenate(b)
+        root = np.arange(len(ident))
+        while True:
+            low = np.minimum(root[a], root[b])
+            pulled = root.copy()
+            np.minimum.at(pulled, root[a], low)
+            np.minimum.at(pulled, root[b], low)
+            while not np.array_equal(pulled, pulled[pulled]):
+                pulled = pulled[pulled]
+            if np.array_equal(pulled, root):
+                break
+            root = pulled
+        return pd.DataFrame({"run_id": cells["run_id"].iloc[0], "row": row, "col": col, "piece": ident[root]})
+
+    return label
+
+
+def label_components(mask: DataFrame, connectivity: int = 8, size: int = LABEL_BLOCK) -> DataFrame:
     """``(run_id, row, col, root)``: cells of one component share their first cell's id.
 
-    Cells collapse to horizontal runs first; runs that touch across rows (or across a
-    line cut) become graph edges, found by equi-joins on the neighbouring cell.
+    Every block (at most ``size`` squared cells) is labelled inside its own task; only
+    the pieces that touch across a block border become graph edges.
     """
-    cells = reliable_checkpoint(row_runs(mask))
-    reach = (-1, 0, 1) if connectivity == 8 else (0,)
-    steps = [F.struct(F.lit(1).alias("dr"), F.lit(d).alias("dc")) for d in reach]
-    at_cut = (F.col("col") + 1) % LINE_BLOCK == 0
-    below = cells.select(
-        "run_id", "segment",
-        F.explode(
-            F.when(at_cut, F.array(*steps, F.struct(F.lit(0).alias("dr"), F.lit(1).alias("dc"))))
-            .otherwise(F.array(*steps))
-        ).alias("_s"),
-        "row", "col",
-    ).select(
-        "run_id", F.col("segment").alias("u"),
-        (F.col("row") + F.col("_s.dr")).alias("row"), (F.col("col") + F.col("_s.dc")).alias("col"),
-    )
-    edges = (
-        below.join(cells.withColumnRenamed("segment", "v"), ["run_id", "row", "col"])
-        .select("run_id", "u", "v").distinct()
+    br, bc = F.floor(F.col("row") / size).alias("_br"), F.floor(F.col("col") / size).alias("_bc")
+    blocks = mask.select("run_id", "row", "col", br, bc).groupBy("run_id", "_br", "_bc")
+    pieces = reliable_checkpoint(blocks.applyInPandas(_label_block(connectivity), PIECE_SCHEMA))
+    r, c = F.col("row"), F.col("col")
+    step = lambda dr, dc: F.struct((r + dr).alias("row"), (c + dc).alias("col"))
+    bottom, right, left = (r + 1) % size == 0, (c + 1) % size == 0, c % size == 0
+    diagonal = connectivity == 8
+    over = F.array_compact(
+        F.array(
+            F.when(bottom, step(1, 0)), F.when(right, step(0, 1)),
+            *([F.when(bottom | right, step(1, 1)), F.when(bottom | left, step(1, -1))] if diagonal else []),
+        )
     )
-    roots = connected_components(edges).withColumnRenamed("node", "segment")
-    return cells.join(roots, ["run_id", "segment"], "left").select(
-        "run_id", "row", "col", F.coalesce("root", "segment").alias("root")
+    leaving = pieces.where(bottom | right | left).select(
+        "run_id", F.col("piece").alias("u"), F.explode(over).alias("_n")
+    ).select("run_id", "u", "_n.row", "_n.col")
+    edges = leaving.join(pieces.withColumnRenamed("piece", "v"), ["run_id", "row", "col"]).select("run_id", "u", "v")
+    roots = connected_components(edges).withColumnRenamed("node", "piece")
+    return pieces.join(roots, ["run_id", "piece"], "left").select(
+        "run_id", "row", "col", F.coalesce("root", "piece").alias("root")
     )
 
 

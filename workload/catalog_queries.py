@@ -572,9 +572,9 @@ def pair_comparability(t: Inputs) -> DataFrame:
 
 
 _ROLES = """
-    SELECT CAST(floor(k / 20) AS BIGINT) AS bundle_id, CASE WHEN k % 20 = 0 THEN 'before' ELSE 'after' END AS role, item_id
-    FROM {v_item} WHERE k % 20 = 0 OR k % 20 = 10
-    UNION ALL SELECT CAST(floor(k / 20) AS BIGINT), 'context', item_id FROM {v_item} WHERE k % 100 = 5
+    SELECT CAST(floor(k / 10) AS BIGINT) AS bundle_id, CASE WHEN k % 10 = 3 THEN 'before' ELSE 'after' END AS role, item_id
+    FROM {v_item} WHERE k % 10 = 3 OR k % 10 = 4
+    UNION ALL SELECT CAST(floor(k / 10) AS BIGINT), 'context', item_id FROM {v_item} WHERE k % 100 = 5
 """
 
 

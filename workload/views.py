@@ -19,9 +19,9 @@ VIEWS: dict[str, str] = {
         SELECT seq, k, concat('acq-', CAST(k AS STRING)) AS item_id,
                CASE WHEN k % 2 = 0 THEN 'open-sar' ELSE 'sentinel-1' END AS provider,
                acquired_at,
-               -120e0 + 0.1e0 * CAST((cust * 7) % 300 AS DOUBLE) - 0.05e0 * CAST(1 + k % 5 AS DOUBLE) AS west,
+               -120e0 + 0.1e0 * CAST((cust * 7) % 300 AS DOUBLE) + 0.02e0 * CAST(k % 4 AS DOUBLE) - 0.05e0 * CAST(1 + k % 5 AS DOUBLE) AS west,
                20e0 + 0.1e0 * CAST((cust * 13) % 200 AS DOUBLE) - 0.05e0 * CAST(1 + k % 5 AS DOUBLE) AS south,
-               -120e0 + 0.1e0 * CAST((cust * 7) % 300 AS DOUBLE) + 0.05e0 * CAST(1 + k % 5 AS DOUBLE) AS east,
+               -120e0 + 0.1e0 * CAST((cust * 7) % 300 AS DOUBLE) + 0.02e0 * CAST(k % 4 AS DOUBLE) + 0.05e0 * CAST(1 + k % 5 AS DOUBLE) AS east,
                20e0 + 0.1e0 * CAST((cust * 13) % 200 AS DOUBLE) + 0.05e0 * CAST(1 + k % 5 AS DOUBLE) AS north,
                CASE WHEN k % 11 = 0 THEN NULL WHEN k % 3 = 0 THEN 'GEC' WHEN k % 3 = 1 THEN 'SLC' ELSE 'GRD' END AS product_type,
                CASE k % 4 WHEN 0 THEN 'VV' WHEN 1 THEN 'VV,VH' WHEN 2 THEN 'HH' ELSE 'HH,HV' END AS pol_text,
@@ -52,11 +52,12 @@ VIEWS: dict[str, str] = {
                CASE WHEN c_custkey % 6 = 0 THEN 2e0 ELSE NULL END AS max_resolution_m
         FROM {customer}
     """,
-    # Pairs chosen by a user: an item and a later-numbered one of the next customer site.
+    # Pairs chosen by a user: a site's first item with each other one, and some far apart.
     "v_pair": """
-        SELECT DISTINCT concat('acq-', CAST(a.k AS STRING)) AS before_id,
-               concat('acq-', CAST(a.k + 10 AS STRING)) AS after_id
-        FROM {v_base} a
+        SELECT DISTINCT concat('acq-', CAST(f.first_k AS STRING)) AS before_id,
+               concat('acq-', CAST(b.k AS STRING)) AS after_id
+        FROM {v_base} b JOIN (SELECT cust, min(k) AS first_k FROM {v_base} WHERE seq % 10 <> 9 GROUP BY cust) f ON f.cust = b.cust
+        WHERE b.k <> f.first_k
         UNION ALL
         SELECT DISTINCT concat('acq-', CAST(k AS STRING)), concat('acq-', CAST(k + 1 AS STRING))
         FROM {v_base} WHERE k % 10 = 3
