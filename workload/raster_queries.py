@@ -10,6 +10,7 @@ from sightline.functions.projection import project_box
 from sightline.operators import raster, regions, tiles
 from sightline.operators.raster import ChangePolicy
 from sightline.plans.change_run import detect_changes, normalised_cells
+from sightline.session import reliable_checkpoint
 from workload.registry import Inputs, query
 
 R6 = lambda c: F.bround(c, 6)
@@ -18,7 +19,10 @@ LOOSE = ChangePolicy(score_threshold=0.2, tolerance=1, opening=0, closing=0, min
 
 
 def pixels(t: Inputs) -> DataFrame:
-    return t.v_pix.select("run_id", "role", F.col("r").alias("row"), F.col("c").alias("col"), F.col("v").alias("value"))
+    """The derived pixel table, written once because the chain reads it several times."""
+    return reliable_checkpoint(
+        t.v_pix.select("run_id", "role", F.col("r").alias("row"), F.col("c").alias("col"), F.col("v").alias("value"))
+    )
 
 
 # SQL twins of the chain, one common table expression per stage.
