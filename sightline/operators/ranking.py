@@ -90,6 +90,7 @@ def exact_percentiles(
     ``6 / accuracy`` share of the rows per percentile.
     """
     keys = list(keys)
+    small = max(small, 2 * accuracy)  # below this the bracket would be under a few ranks wide
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     margin = 3.0 / accuracy
     wanted = list(percentiles.items())
