@@ -13,14 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.session import reliable_checkpoint
-
-
-def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
+from sightline.session import reliable_checkpoint, small_side
 
 
 def ranked(
@@ -30,7 +23,7 @@ def ranked(
 
     Rows are range-partitioned by (key, order), so a hot key spreads over many
     partitions; a small (key, partition) count table supplies the offsets.  The
-    sorted rows are checkpointed because their physical position is the rank.
+    sorted rows are written first because their physical position is the rank.
     """
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     sort = [F.col(k) for k in keys] + order
@@ -107,7 +100,7 @@ def exact_percentiles(
         tiny = F.col("_n") <= small
         bounds.append(F.when(tiny, F.col("_min")).otherwise(low).alias(f"_lo{i}"))
         bounds.append(F.when(tiny, F.col("_max")).otherwise(high).alias(f"_hi{i}"))
-    sketch = sketch.select(*keys, "_n", *bounds)
+    sketch = small_side(sketch.select(*keys, "_n", *bounds))
 
     joined = _join_keys(rows, sketch, keys)
     inside = F.lit(False)
@@ -143,4 +136,4 @@ def exact_percentiles(
 
 
 def _join_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    return left.join(right, keys) if keys else left.crossJoin(F.broadcast(right))
+    return left.join(right, keys) if keys else left.crossJoin(right)  # one row

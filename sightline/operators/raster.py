@@ -17,10 +17,9 @@ from pyspark.sql import functions as F
 
 from sightline.functions.projection import project, project_box
 from sightline.operators.ranking import exact_percentiles
-from sightline.session import reliable_checkpoint
+from sightline.session import small_side
 
 MAX_PIXELS = 1_000_000_000
-BROADCAST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -40,15 +39,6 @@ class ChangePolicy:
         return self.tolerance + 2 * self.opening + 2 * self.closing
 
 
-def per_run(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A small table with one row per run, ready to meet the pixel table.
-
-    Its rows are counted first: only a size up to ``max_rows`` is broadcast, anything
-    larger stays an ordinary join side.  Pass a table that is cheap to read.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 # --- grids and lattices -----------------------------------------------------------
 
 
@@ -94,13 +84,19 @@ def pair_roles(pixels: DataFrame, grids: DataFrame | None = None) -> DataFrame:
     """
     rows = pixels.select("run_id", "row", "col", "role", "value")
     if grids is not None:
-        blank = lattice(grids).select(
-            "run_id", "row", "col", F.lit(None).cast("string").alias("role"),
-            F.lit(None).cast("double").alias("value"),
-        )
-        rows = rows.unionByName(blank)
+        rows = rows.unionByName(_blank_cells(grids))
+    return _paired(rows, "run_id", "row", "col")
+
+
+def _blank_cells(grids: DataFrame) -> DataFrame:
+    return lattice(grids).select(
+        "run_id", "row", "col", F.lit(None).cast("string").alias("role"), F.lit(None).cast("double").alias("value")
+    )
+
+
+def _paired(rows: DataFrame, *keys: str) -> DataFrame:
     clean = F.when(~F.isnan("value"), F.col("value").cast("double"))
-    return rows.groupBy("run_id", "row", "col").agg(
+    return rows.groupBy(*keys).agg(
         F.max(F.when(F.col("role") == "before", clean)).alias("before"),
         F.max(F.when(F.col("role") == "after", clean)).alias("after"),
     )
@@ -204,8 +200,8 @@ def resample_bilinear(
     left out and the other weights rescaled; a cell with no usable tap is NULL.
     """
     keys, both = list(keys), [*keys, *cell_keys]
-    target = per_run(grids.select(*both, "minx", "maxy", "resolution"))
-    src = per_run(
+    target = small_side(grids.select(*both, "minx", "maxy", "resolution"))
+    src = small_side(
         source_grids.select(
             *keys, F.col("minx").alias("_sx"), F.col("maxy").alias("_sy"),
             F.col("resolution").alias("_sr"),
@@ -303,14 +299,14 @@ def stretch(value: Column, low: Column, high: Column) -> Column:
 
 
 def normalise_pair(paired: DataFrame, quality: DataFrame) -> DataFrame:
-    limits = reliable_checkpoint(quality).groupBy("run_id").agg(
+    limits = quality.groupBy("run_id").agg(
         *[
             F.max(F.when(F.col("role") == role, F.col(f"normalization_{end}"))).alias(f"_{role}_{end}")
             for role in ("before", "after")
             for end in ("low", "high")
         ]
     )
-    joined = paired.join(per_run(limits), "run_id")
+    joined = paired.join(small_side(limits), "run_id")
     return joined.select(
         "run_id", "row", "col",
         stretch(F.col("before"), F.col("_before_low"), F.col("_before_high")).alias("before"),
@@ -366,12 +362,38 @@ def score_cells(normalised: DataFrame, policy: ChangePolicy, size: int = 256) ->
     Input holds every grid cell.  Output adds ``common_valid``, ``score``,
     ``exceeds`` (threshold mask) and ``cleaned`` to each cell.
     """
-    t = policy.tolerance
+    if policy.reach == 0:
+        return _score(normalised, policy)
+    return _score(in_blocks(normalised, policy.reach, size), policy).where(_own_block(size)).drop("_br", "_bc")
+
+
+def score_pixels(
+    pixels: DataFrame, quality: DataFrame, policy: ChangePolicy, grids: DataFrame | None = None, size: int = 256
+) -> DataFrame:
+    """``score_cells`` straight from role rows, with a single shuffle of the pixels.
+
+    Values are stretched per row, sent to their blocks, and only there paired, scored
+    and cleaned.  ``grids`` adds the cells no row mentions; leave it out when the pixel
+    table already holds every cell.
+    """
+    limits = small_side(quality.select("run_id", "role", "normalization_low", "normalization_high"))
+    clean = F.when(~F.isnan("value"), F.col("value").cast("double"))
+    rows = pixels.join(limits, ["run_id", "role"]).select(
+        "run_id", "row", "col", "role",
+        stretch(clean, F.col("normalization_low"), F.col("normalization_high")).alias("value"),
+    )
+    if policy.reach == 0:
+        return _score(pair_roles(rows, grids), policy)
+    if grids is not None:
+        rows = rows.unionByName(_blank_cells(grids))
+    paired = _paired(in_blocks(rows, policy.reach, size), "run_id", "_br", "_bc", "row", "col")
+    return _score(paired, policy).where(_own_block(size)).drop("_br", "_bc")
+
+
+def _score(cells: DataFrame, policy: ChangePolicy) -> DataFrame:
+    t, place = policy.tolerance, [c for c in ("_br", "_bc") if c in cells.columns]
     both = F.col("before").isNotNull() & F.col("after").isNotNull()
-    cells = normalised.withColumn("common_valid", both)
-    needs_blocks = policy.reach > 0
-    if needs_blocks:
-        cells = in_blocks(cells, policy.reach, size)
+    cells = cells.withColumn("common_valid", both)
     if t == 0:
         scored = cells.withColumn("score", F.when(both, F.abs(F.col("after") - F.col("before"))))
     else:
@@ -379,13 +401,12 @@ def score_cells(normalised: DataFrame, policy: ChangePolicy, size: int = 256) ->
     marked = scored.withColumn(
         "exceeds", F.coalesce(F.col("score") >= policy.score_threshold, F.lit(False))
     ).withColumn("cleaned", F.col("exceeds"))
+    # Axes alternate so that neighbouring passes share a sort.
     marked = _spread(marked, "cleaned", policy.opening, ("col", "row"), grow=False)
     marked = _spread(marked, "cleaned", policy.opening + policy.closing, ("row", "col"), grow=True)
     marked = _spread(marked, "cleaned", policy.closing, ("col", "row"), grow=False)
-    if needs_blocks:
-        marked = marked.where(_own_block(size))
     return marked.select(
-        "run_id", "row", "col", "before", "after", "common_valid", "score", "exceeds", "cleaned"
+        "run_id", *place, "row", "col", "before", "after", "common_valid", "score", "exceeds", "cleaned"
     )
 
 

@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.operators.components import connected_components
-from sightline.operators.ranking import exact_percentiles
-from sightline.operators.raster import ChangePolicy, per_run
-from sightline.session import reliable_checkpoint
+from sightline.operators.ranking import exact_percentiles, ranked
+from sightline.operators.raster import ChangePolicy
+from sightline.session import reliable_checkpoint, small_side
 
 LABEL_BLOCK = 256
 SMALL_OUTLINE = 50_000
+USUAL_MAXIMUM = 10_000  # largest candidate limit a run may declare
 
 
 PIECE_SCHEMA = "run_id string, row int, col int, piece bigint"
@@ -84,14 +85,17 @@ def label_components(mask: DataFrame, connectivity: int = 8, size: int = LABEL_B
 def retain_components(labelled: DataFrame, policy: ChangePolicy) -> DataFrame:
     """Components of at least the minimum size, numbered in scan order per run.
 
-    ``(run_id, root, pixel_count, label)``.  Too many candidates fail the job; the
-    guard also bounds what the numbering window can meet per run.
+    ``(run_id, root, pixel_count, label)``.  Too many candidates fail the job, which
+    bounds the numbering window; a policy without a usual maximum is ranked by a
+    range sort instead.
     """
     sizes = labelled.groupBy("run_id", "root").agg(F.count(F.lit(1)).alias("pixel_count")).where(
         F.col("pixel_count") >= policy.minimum_pixels
     )
     sizes = reliable_checkpoint(sizes)
     guard_candidates(sizes, policy.maximum_candidates)
+    if policy.maximum_candidates > USUAL_MAXIMUM:
+        return ranked(sizes, ["run_id"], ["root"], "label").withColumn("label", F.col("label").cast("int"))
     order = Window.partitionBy("run_id").orderBy("root")
     return sizes.withColumn("label", F.row_number().over(order))
 
@@ -141,7 +145,7 @@ def candidate_measures(cells: DataFrame, scored: DataFrame, grids: DataFrame) ->
         F.min("col").alias("min_col"), F.max("col").alias("max_col"),
     )
     p95 = exact_percentiles(pixels, keys, "score", {"p95_change_score": 0.95})
-    g = per_run(grids.select("run_id", "resolution", F.col("minx").alias("_gx"), F.col("maxy").alias("_gy")))
+    g = small_side(grids.select("run_id", "resolution", F.col("minx").alias("_gx"), F.col("maxy").alias("_gy")))
     res = F.col("resolution")
     return (
         basic.join(p95, keys, "left").join(g, "run_id")
@@ -311,7 +315,7 @@ def outlines(cells: DataFrame, small: int = SMALL_OUTLINE) -> DataFrame:
 
 def outline_rings(corners: DataFrame, grids: DataFrame) -> DataFrame:
     """Closed projected rings ``(run_id, label, ring, is_hole, points)`` for GeoJSON output."""
-    g = per_run(grids.select("run_id", "minx", "maxy", "resolution"))
+    g = small_side(grids.select("run_id", "minx", "maxy", "resolution"))
     placed = corners.join(g, "run_id").select(
         "run_id", "label", "ring", "position",
         F.struct(
@@ -334,7 +338,7 @@ def geographic_envelopes(corners: DataFrame, grids: DataFrame, crs: str) -> Data
     """WGS84 box of each candidate from its outline corners."""
     from sightline.functions.projection import project
 
-    g = per_run(grids.select("run_id", "minx", "maxy", "resolution"))
+    g = small_side(grids.select("run_id", "minx", "maxy", "resolution"))
     x = F.col("minx") + F.col("c") * F.col("resolution")
     y = F.col("maxy") - F.col("r") * F.col("resolution")
     lonlat = corners.join(g, "run_id").select("run_id", "label", project(x, y, crs, "EPSG:4326").alias("p"))

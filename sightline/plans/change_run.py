@@ -34,15 +34,18 @@ def normalised_cells(pixels: DataFrame, grids: DataFrame, lower: float = 2.0, up
 
 
 def detect_changes(
-    pixels: DataFrame, grids: DataFrame, policy: ChangePolicy, lower: float = 2.0, upper: float = 98.0
+    pixels: DataFrame, grids: DataFrame, policy: ChangePolicy, lower: float = 2.0, upper: float = 98.0,
+    dense: bool = False,
 ) -> ChangeRun:
     """Stretch, score, clean, label, retain and measure all runs of a pixel table.
 
-    The scored cells are materialised once: labels, measures and counts read them.
+    The scored cells are written once: labels, measures and counts read them.  Say
+    ``dense`` when ``pixels`` holds a row (NULL for nodata) for every cell of a role.
     """
-    quality = raster.role_quality(pixels, lower, upper)
-    normalised = raster.normalise_pair(raster.pair_roles(pixels, grids), quality)
-    cells = reliable_checkpoint(raster.score_cells(normalised, policy))
+    quality = reliable_checkpoint(raster.role_quality(pixels, lower, upper))
+    cells = reliable_checkpoint(
+        raster.score_pixels(pixels, quality, policy, None if dense else grids)
+    )
     mask = cells.where("cleaned").select("run_id", "row", "col")
     labelled = reliable_checkpoint(regions.label_components(mask, policy.connectivity))
     retained = regions.retain_components(labelled, policy)

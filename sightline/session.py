@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -24,14 +26,40 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+BROADCAST_ROWS = 1_000_000
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Only when the session names none (a local test run) is a scratch folder chosen,
+    once per session.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sightline-checkpoint-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder.rstrip("/")
+
+
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+    """Cut lineage by writing ``df`` as a table in the shared checkpoint folder.
+
+    A written table survives lost executors, is read back column by column, and tells
+    the optimizer its true size.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/sightline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A table with one row per run or key, ready to meet a very large one.
 
-    The folder is the one named by ``spark.checkpoint.dir``; only when the session
-    names none (a local test run) is a scratch folder chosen.
+    It is written once and counted: up to ``max_rows`` it is broadcast, so the large
+    side is not shuffled on a key that may hold most of it; beyond that it stays an
+    ordinary join side.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sightline-checkpoint-"))
-    return df.checkpoint(eager=True)
+    kept = reliable_checkpoint(df)
+    return F.broadcast(kept) if kept.count() <= max_rows else kept
