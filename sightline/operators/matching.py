@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.operators.components import connected_components
-from sightline.session import reliable_checkpoint
+from sightline.session import reliable_checkpoint, ship_by_value
+
+ship_by_value(__name__)
 
 MATCH_SCHEMA = "case_id string, prediction bigint, reference bigint"
 

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from sightline.operators.components import connected_components
 from sightline.operators.ranking import exact_percentiles, ranked
 from sightline.operators.raster import ChangePolicy
-from sightline.session import reliable_checkpoint, small_side
+from sightline.session import reliable_checkpoint, ship_by_value, small_side
+
+ship_by_value(__name__)
 
 LABEL_BLOCK = 256
 SMALL_OUTLINE = 50_000

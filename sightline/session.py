@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +65,8 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """
     kept = reliable_checkpoint(df)
     return F.broadcast(kept) if kept.count() <= max_rows else kept
+
+
+def ship_by_value(module_name: str) -> None:
+    """Send a module's Python functions to executors whole, so that they need no copy of the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module_name])

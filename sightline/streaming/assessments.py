@@ -15,6 +15,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from sightline.operators.review import check_drafts, current_assessments
+from sightline.session import ship_by_value
+
+ship_by_value(__name__)
 
 DECISION_SCHEMA = """
     bundle_id string, candidate_id string, request_id string, seq bigint, disposition string,
