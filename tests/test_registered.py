@@ -20,7 +20,7 @@ def plain(df):
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
         df[c] = [
-            "" if v is None or v is pd.NaT or (isinstance(v, float) and np.isnan(v))
+            "" if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and np.isnan(v))
             else repr(round(float(v), 6) + 0.0) if isinstance(v, (int, float, np.integer, np.floating)) and not isinstance(v, (bool, np.bool_))
             else str(v)
             for v in df[c]
