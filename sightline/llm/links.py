@@ -7,9 +7,13 @@ written tables, one of which has a row per node, so adaptive execution can split
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sightline.llm.common import by_value
 from sightline.session import reliable_checkpoint
 
 
@@ -52,3 +56,30 @@ def linked_components(links: DataFrame) -> DataFrame:
             links = links.where(F.col("u") != F.col("v")).distinct() if end == "v" else reliable_checkpoint(links)
         links = reliable_checkpoint(links)
     return labels
+
+
+def spanning_forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
+    """Those pairs of rows that join parts not joined before: fewer than ``n``, and they link what all do."""
+    parent = np.arange(n)
+    out = []
+    for left, right in pairs:
+        apart = parent[left] != parent[right]
+        joined = False
+        for a, b in zip(left[apart].tolist(), right[apart].tolist(), strict=True):
+            ra, rb = a, b
+            while parent[ra] != ra:
+                ra = parent[ra]
+            while parent[rb] != rb:
+                rb = parent[rb]
+            if ra != rb:
+                parent[max(ra, rb)] = min(ra, rb)
+                out.append((a, b))
+                joined = True
+        while joined:
+            up = parent[parent]
+            joined = bool((up != parent).any())
+            parent = up
+    return out
+
+
+by_value(__name__)

@@ -89,3 +89,87 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select(
         F.col("row.event_id").alias("doc_id"), "row.held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+@query
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    from sightline.llm.quality import quality_verdicts
+
+    return quality_verdicts(statements(spark, folder)).drop("distance").withColumnRenamed("observation_id", "doc_id")
+
+
+@query
+def op7_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    from sightline.llm.vectors import vector_links
+
+    found = vector_links(
+        table(spark, folder, "embeddings").select(F.col("vec_id").alias("candidate_id"), F.col("embedding").alias("score_components"))
+    )
+    return found.select(F.col("candidate_id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
+@query
+def op8_links(spark: SparkSession, folder: str) -> DataFrame:
+    from sightline.llm.hrefs import LABELS, href_verdicts
+
+    pages = table(spark, folder, "pages").select("page_id", F.col("url").alias("href"))
+    judged = href_verdicts(pages)
+    # ``rule`` names the fixed rules only; what the label patterns decide shows in ``verdict`` and ``pattern``.
+    by_label = F.col("rule").isin(*LABELS)
+    return judged.select(
+        "page_id", F.col("link_host").alias("host"), F.col("link_path").alias("path"),
+        F.when(~by_label, F.col("rule")).alias("rule"), "verdict", F.when(by_label, F.col("rule")).alias("pattern"),
+    )
+
+
+ORACLES["op8_links"] = """
+WITH parts AS (
+  SELECT page_id,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+), rules(host_end, path_start, verdict) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), fits AS (
+  SELECT page_id, host, path, max_by(host_end || path_start, length(host_end) + length(path_start)) AS rule,
+    max_by(verdict, length(host_end) + length(path_start)) AS verdict
+  FROM parts JOIN rules ON (host = host_end OR ends_with(host, '.' || host_end)) AND starts_with(path, path_start)
+  GROUP BY ALL
+), labels(label) AS (VALUES ('casino-win'), ('cheap-pills'), ('free-bets'), ('spam-farm'), ('ads-track')
+), labelled AS (
+  SELECT page_id, host, path, arg_min(label, (-length(label), label)) AS label
+  FROM parts JOIN labels ON contains('.' || host || '.', '.' || label || '.')
+  GROUP BY ALL
+)
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, CASE WHEN l.label IS NOT NULL THEN 'block' END, 'allow') AS verdict,
+  CASE WHEN f.rule IS NULL THEN l.label END AS pattern
+FROM parts p
+LEFT JOIN fits f ON p.page_id = f.page_id AND p.host = f.host AND p.path = f.path
+LEFT JOIN labelled l ON p.page_id = l.page_id AND p.host = l.host AND p.path = l.path
+"""
+
+
+@query
+def op1_dialogues(spark: SparkSession, folder: str) -> DataFrame:
+    from sightline.llm.dialogues import dialogue_digests, format_turns, read_turns, text_part
+
+    said = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id BIGINT, turn BIGINT, role STRING, text STRING"
+    )
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    turns = turns.select(F.col("conv_id").alias("candidate_id"), F.col("turn").alias("seq"), "role", text_part(F.col("text")).alias("parts"))
+    return dialogue_digests(read_turns(format_turns(turns))).withColumnRenamed("candidate_id", "conv_id")
+
+
+@query
+def op4_languages(spark: SparkSession, folder: str) -> DataFrame:
+    from sightline.llm.languages import fit_languages, language_mixtures
+
+    rows = statements(spark, folder)
+    held_out = F.coalesce(F.crc32(F.col("observation_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = fit_languages(rows.where(~held_out))
+    return language_mixtures(rows, model).select(
+        F.col("observation_id").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score"
+    )

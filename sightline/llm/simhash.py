@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sightline.llm.common import by_value, field, grouped, id_key, int64, map_arrow, numbers
-from sightline.llm.links import linked_components
+from sightline.llm.links import linked_components, spanning_forest
 from sightline.session import reliable_checkpoint
 
 SEED = 42
@@ -128,30 +128,6 @@ def close_pairs(fps: np.ndarray, ends: np.ndarray, radius: int = 3) -> Iterator[
         rows = rows[room[rows] > d]
 
 
-def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
-    """Pairs that join parts not yet joined: as many as are needed to keep all rows linked that are."""
-    parent = np.arange(n)
-    out = []
-    for left, right in pairs:
-        apart = parent[left] != parent[right]
-        joined = False
-        for a, b in zip(left[apart].tolist(), right[apart].tolist(), strict=True):
-            ra, rb = a, b
-            while parent[ra] != ra:
-                ra = parent[ra]
-            while parent[rb] != rb:
-                rb = parent[rb]
-            if ra != rb:
-                parent[max(ra, rb)] = min(ra, rb)
-                out.append((a, b))
-                joined = True
-        while joined:
-            up = parent[parent]
-            joined = bool((up != parent).any())
-            parent = up
-    return out
-
-
 def _keys(bands: int, radius: int) -> list[list[tuple[int, int]]]:
     edges = [round(i * 64 / bands) for i in range(bands + 1)]
     ranges = [(edges[i], edges[i + 1] - edges[i]) for i in range(bands)]
@@ -197,7 +173,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 3, bands: int = 5, block: in
             fp, sizes = fp[several], sizes[sizes > 1]
             if len(fp):
                 ends = np.repeat(np.cumsum(sizes), sizes)
-                pairs = _forest(len(fp), close_pairs(fp, ends, radius))
+                pairs = spanning_forest(len(fp), close_pairs(fp, ends, radius))
                 if pairs:
                     left, right = np.array(pairs).T
                     yield pa.RecordBatch.from_arrays([int64(fp[left]), int64(fp[right])], names=["u", "v"])
