@@ -8,7 +8,6 @@ import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -28,43 +27,53 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-BROADCAST_ROWS = 1_000_000
-
-
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only when the session names none (a local test run) is a scratch folder chosen,
-    once per session.
+    A session on one machine that names none gets a scratch folder.  A cluster must name one: a folder
+    that its executors do not share would lose rows.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sightline-checkpoint-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage by writing ``df`` as a table in the shared checkpoint folder.
 
     A written table survives lost executors, is read back column by column, and tells
-    the optimizer its true size.
+    the optimizer its true size.  ``discard_tables`` removes what is no longer read.
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/sightline-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A table with one row per run or key, ready to meet a very large one.
+def discard_tables(spark: SparkSession) -> int:
+    """Delete the tables this process has written so far; their readers must be done.  Returns how many."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    done = 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        done += bool(path.getFileSystem(conf).delete(path, True))
+    return done
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A table with one row per run or key, written so that joins with it know its size.
 
-    It is written once and counted: up to ``max_rows`` it is broadcast, so the large
-    side is not shuffled on a key that may hold most of it; beyond that it stays an
-    ordinary join side.
+    Spark broadcasts it when its bytes are below the session's threshold and shuffles otherwise.
     """
-    kept = reliable_checkpoint(df)
-    return F.broadcast(kept) if kept.count() <= max_rows else kept
+    return reliable_checkpoint(df)
 
 
 def ship_by_value(module_name: str) -> None:

@@ -1,30 +1,31 @@
 """Assessment log as a stream: intake, exactly-once append, supersession, current view.
 
-Order is arrival order.  An event that names anything but the current event of its
-candidate is a conflict, however late or early it is; there is no late merge.
+Order is arrival order: batch after batch, and by ``seq`` inside a batch.  An event that names anything
+but the current event of its candidate is a conflict, however late or early it is; there is no late merge.
+
+Decisions and views are kept as one folder per batch under a shared path.  A batch that runs again after
+a failure writes the same folder again, so nothing is counted twice, and a view is never deleted before
+its successor is whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
 
-from sightline.operators.review import check_drafts, current_assessments
-from sightline.session import ship_by_value
+from sightline.operators.review import check_drafts, current_assessments, decide_drafts
 
-ship_by_value(__name__)
+OUTCOMES = ("accepted", "replay", "conflict", "unknown-candidate")
 
-DECISION_SCHEMA = """
-    bundle_id string, candidate_id string, request_id string, seq bigint, disposition string,
-    note string, supersedes_event_id string, event_id string, outcome string
-"""
 
-OUTCOMES = ("accepted", "replay", "conflict", "unknown-candidate")
+def table_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A Parquet table as a stream, whether it is one file or a folder of files.
+
+    A file source takes a plain path for a folder; written as a pattern, it also takes a file.
+    """
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def intake(drafts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -38,95 +39,71 @@ def first_requests(drafts: DataFrame, event_time: str, delay: str) -> DataFrame:
     return drafts.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["bundle_id", "request_id"])
 
 
-class RequestGate(StatefulProcessor):
-    """Keyed by (bundle, request): flags a request id reused for another candidate."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.owner = handle.getValueState("owner", "candidate_id string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        owner = self.owner.get()[0] if self.owner.exists() else None
-        for batch in rows:
-            batch = batch.sort_values("seq", kind="stable").reset_index(drop=True)
-            if owner is None:
-                owner = str(batch.candidate_id.iloc[0])
-                self.owner.update((owner,))
-            yield batch.assign(is_reused=batch.candidate_id != owner)
-
-    def close(self) -> None:
-        pass
-
-
-class Supersession(StatefulProcessor):
-    """Keyed by (bundle, candidate): state is the current event id and the accepted requests."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.current = handle.getValueState("current", "event_id string")
-        self.requests = handle.getMapState("requests", "request_id string", "event_id string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = current = self.current.get()[0] if self.current.exists() else None
-        for batch in rows:
-            batch = batch.sort_values("seq", kind="stable").reset_index(drop=True)
-            outcomes, ids = [], []
-            for seq, request, named, known, reused in zip(
-                batch.seq, batch.request_id, batch.supersedes_event_id, batch.is_known, batch.is_reused
-            ):
-                named = None if pd.isna(named) else named
-                event_id = None
-                if reused:
-                    outcome = "replay"
-                elif self.requests.containsKey((request,)):
-                    outcome, event_id = "replay", self.requests.getValue((request,))[0]
-                elif not known:
-                    outcome = "unknown-candidate"
-                elif named != current:
-                    outcome = "conflict"
-                else:
-                    outcome, event_id = "accepted", f"assessment-{int(seq):04d}"
-                    current = event_id
-                    self.requests.updateValue((request,), (event_id,))
-                outcomes.append(outcome)
-                ids.append(event_id)
-            yield batch.assign(event_id=ids, outcome=outcomes)[
-                ["bundle_id", "candidate_id", "request_id", "seq", "disposition", "note",
-                 "supersedes_event_id", "event_id", "outcome"]
-            ]
-        if current != before:
-            self.current.update((current,))
-
-    def close(self) -> None:
-        pass
-
-
-def gate_requests(drafts: DataFrame) -> DataFrame:
-    """Mark request ids that come back for another candidate of the same bundle."""
-    fields = list(drafts.schema.fields)
-    out = StructType(fields).add("is_reused", "boolean")
-    return drafts.groupBy("bundle_id", "request_id").transformWithStateInPandas(
-        statefulProcessor=RequestGate(), outputStructType=out, outputMode="append", timeMode="none"
-    )
-
-
-def decide(gated: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Accept, replay, conflict or unknown-candidate for every draft.
-
-    ``gated`` is the output of ``gate_requests``; an event id is its arrival number, so
-    ids are unique per log without a shared counter.
+def _with(schema: StructType, **columns: str) -> StructType:
+    """``schema`` and more columns, as a new type."""
+    return StructType([*schema.fields, *StructType.fromDDL(", ".join(f"{n} {t}" for n, t in columns.items())).fields])
+
+
+def _batches(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """All batch folders with their number in ``batch``."""
+    return spark.read.schema(_with(schema, batch="bigint")).option("basePath", folder).parquet(folder)
+
+
+def decide(drafts: DataFrame, candidates: DataFrame, folder: str) -> DataStreamWriter:
+    """A writer that appends the decision on every draft to ``folder``; read it with ``decisions``.
+
+    Each batch is one ``decide_drafts`` over its drafts, the current events left by the batch before and the
+    request ids accepted so far.  The requests are those of the batch only: a join on them reads the
+    accepted part of the log, and no state grows in memory.
+    """
+    schema = _with(drafts.schema, event_id="string", outcome="string")
+    current_schema = "bundle_id string, candidate_id string, event_id string"
+    known = candidates.select("bundle_id", "candidate_id")
+
+    def append(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        log = f"{folder}/decisions"
+        requests = current = None
+        if number:
+            current = spark.read.schema(current_schema).parquet(f"{folder}/current/batch={number - 1}")
+            accepted = _batches(spark, log, schema).where(F.col("batch") < number).where("outcome = 'accepted'")
+            asked = batch.select("bundle_id", "request_id").distinct()
+            requests = accepted.join(asked, ["bundle_id", "request_id"], "left_semi").select("bundle_id", "request_id", "event_id")
+        decide_drafts(batch, known, current, requests).write.mode("overwrite").parquet(f"{log}/batch={number}")
+        made = spark.read.schema(schema).parquet(f"{log}/batch={number}").where("outcome = 'accepted'")
+        latest = made.groupBy("bundle_id", "candidate_id").agg(F.max_by("event_id", "seq").alias("event_id"))
+        if current is not None:
+            kept = current.join(latest.select("bundle_id", "candidate_id"), ["bundle_id", "candidate_id"], "left_anti")
+            latest = latest.unionByName(kept)
+        latest.write.mode("overwrite").parquet(f"{folder}/current/batch={number}")
+
+    return drafts.writeStream.foreachBatch(append).option("checkpointLocation", f"{folder}/progress")
+
+
+def decisions(spark: SparkSession, folder: str, drafts: DataFrame) -> DataFrame:
+    """All decisions that ``decide`` has written for this stream."""
+    return _batches(spark, f"{folder}/decisions", _with(drafts.schema, event_id="string", outcome="string")).drop("batch")
+
+
+def keep_current(events: DataFrame, folder: str) -> DataStreamWriter:
+    """A writer that keeps the current event of every candidate; read it with ``current_view``.
+
+    A batch is folded first and merged with the view before it, so its work follows the batch and the
+    number of candidates, not the length of the log.
     """
-    known = candidates.select("bundle_id", "candidate_id").distinct().withColumn("is_known", F.lit(True))
-    flagged = gated.join(known, ["bundle_id", "candidate_id"], "left").withColumn(
-        "is_known", F.coalesce("is_known", F.lit(False))
-    )
-    return flagged.groupBy("bundle_id", "candidate_id").transformWithStateInPandas(
-        statefulProcessor=Supersession(), outputStructType=_decision_type(gated), outputMode="append", timeMode="none"
-    )
+    schema = events.schema
 
+    def merge(batch: DataFrame, number: int) -> None:
+        rows = current_assessments(batch)
+        if number:
+            rows = current_assessments(rows.unionByName(batch.sparkSession.read.schema(schema).parquet(f"{folder}/view/batch={number - 1}")))
+        rows.write.mode("overwrite").parquet(f"{folder}/view/batch={number}")
 
-def _decision_type(df: DataFrame) -> StructType:
-    return StructType.fromDDL(DECISION_SCHEMA)
+    return events.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/progress")
 
 
-def current_view(events: DataFrame) -> DataFrame:
-    """Running current event of every candidate (update or complete mode)."""
-    return current_assessments(events)
+def current_view(spark: SparkSession, folder: str, events: DataFrame) -> DataFrame:
+    """The newest whole view that ``keep_current`` has written."""
+    parts = _batches(spark, f"{folder}/view", events.schema)
+    last = parts.agg(F.max("batch")).first()[0]
+    return parts.where(F.col("batch") == F.lit(last)).drop("batch")

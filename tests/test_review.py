@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -51,12 +52,9 @@ def test_event_numbers_continue(spark):
 
 def decide_in_order(rows, known):
     """One draft after another, the plain way."""
-    current, accepted, owner, out = {}, {}, {}, {}
+    current, accepted, out = {}, {}, {}
     for seq, request, bundle, candidate, _, _, names in rows:
-        first = owner.setdefault((bundle, request), candidate)
-        if first != candidate:
-            out[seq] = ("replay", None)
-        elif (bundle, request) in accepted:
+        if (bundle, request) in accepted:
             out[seq] = ("replay", accepted[bundle, request])
         elif (bundle, candidate) not in known:
             out[seq] = ("unknown-candidate", None)
@@ -69,35 +67,86 @@ def decide_in_order(rows, known):
     return out
 
 
-@pytest.mark.parametrize("batches", [1, 3])
-def test_stream_decisions(spark, tmp_path, batches):
-    rng = random.Random(batches)
+def tangled_log(rng, n):
     rows, last = [], {}
-    for seq in range(90):
+    for seq in range(n):
         bundle, candidate = rng.choice("bx"), f"c{rng.randint(0, 4)}"
         names = last.get((bundle, candidate)) if rng.random() < 0.7 else rng.choice([None, "assessment-0003"])
-        request = f"r{rng.randint(0, 70)}"
-        rows.append(draft(seq, request, candidate, names=names, bundle=bundle))
+        rows.append(draft(seq, f"r{rng.randint(0, 70 * n // 90)}", candidate, names=names, bundle=bundle))
         last[bundle, candidate] = f"assessment-{seq:04d}" if rng.random() < 0.8 else last.get((bundle, candidate))
-    known = {(b, f"c{i}") for b in "bx" for i in range(4)}
+    return rows
+
+
+KNOWN = {(b, f"c{i}") for b in "bx" for i in range(4)}
+
+
+@pytest.mark.parametrize("batches", [1, 3])
+def test_stream_decisions(spark, tmp_path, batches):
+    rows = tangled_log(random.Random(batches), 90)
     source, step = tmp_path / "in", -(-len(rows) // batches)
     source.mkdir()
-    candidates = spark.createDataFrame(sorted(known), "bundle_id string, candidate_id string")
-    query = None
+    candidates = spark.createDataFrame(sorted(KNOWN), "bundle_id string, candidate_id string")
     for i in range(batches):
-        spark.createDataFrame(rows[i * step:(i + 1) * step], DRAFT).coalesce(1).write.mode("append").parquet(str(source))
+        part = rows[i * step:(i + 1) * step]
+        random.Random(i).shuffle(part)
+        spark.createDataFrame(part, DRAFT).repartition(3).write.mode("append").parquet(str(source))
         stream = spark.readStream.schema(DRAFT).parquet(str(source))
-        decided = assessments.decide(assessments.gate_requests(stream), candidates)
-        query = (
-            decided.writeStream.outputMode("append").trigger(availableNow=True)
-            .option("checkpointLocation", str(tmp_path / "state")).format("parquet").start(str(tmp_path / "out"))
-        )
-        query.awaitTermination()
-    got = {r["seq"]: (r["outcome"], r["event_id"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == decide_in_order(rows, known)
+        assessments.decide(stream, candidates, str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+    got = {r["seq"]: (r["outcome"], r["event_id"]) for r in assessments.decisions(spark, str(tmp_path / "log"), stream).collect()}
+    assert got == decide_in_order(rows, KNOWN)
     assert {o for o, _ in got.values()} == set(assessments.OUTCOMES)
 
 
+def test_decisions_on_a_long_tangled_log(spark):
+    rows = tangled_log(random.Random(8), 400)
+    drafts = spark.createDataFrame(rows, DRAFT).repartition(7)
+    got = review.decide_drafts(drafts, spark.createDataFrame(sorted(KNOWN), "bundle_id string, candidate_id string"))
+    assert {r["seq"]: (r["outcome"], r["event_id"]) for r in got.collect()} == decide_in_order(rows, KNOWN)
+
+
+def test_one_candidate_may_hold_the_whole_log(spark):
+    """50,000 sound drafts of one candidate, each naming the one before, in shuffled files; one is sent twice."""
+    n = 50_000
+    drafts = spark.range(n).selectExpr(
+        "id AS seq", "concat('r', id) AS request_id", "'b' AS bundle_id", "'hot' AS candidate_id", "'supported' AS disposition", "'' AS note",
+        "CASE WHEN id > 0 THEN format_string('assessment-%04d', id - 1) END AS supersedes_event_id",
+    )
+    again = drafts.where("seq = 25000").withColumn("seq", F.lit(n).cast("bigint"))
+    late = drafts.where("seq = 30000").selectExpr("CAST(60000 AS BIGINT) AS seq", "'rx' AS request_id", "bundle_id", "candidate_id", "disposition", "note", "supersedes_event_id")
+    known = spark.createDataFrame([("b", "hot")], "bundle_id string, candidate_id string")
+    log = drafts.unionByName(again).unionByName(late).repartition(16, F.xxhash64("seq"))
+    got = {r["outcome"]: r["n"] for r in review.decide_drafts(log, known).groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {"accepted": n, "replay": 1, "conflict": 1}
+
+
+def test_refused_drafts_do_not_own_their_request(spark):
+    rows = [draft(1, "r", "ghost"), draft(2, "r", "c0"), draft(3, "r", "c1"), draft(4, "q", "c0", names="assessment-0002")]
+    got = review.decide_drafts(spark.createDataFrame(rows, DRAFT), spark.createDataFrame(sorted(KNOWN), "bundle_id string, candidate_id string"))
+    assert [(r["outcome"], r["event_id"]) for r in got.orderBy("seq").collect()] == [
+        ("unknown-candidate", None), ("accepted", "assessment-0002"), ("replay", "assessment-0002"), ("accepted", "assessment-0004")
+    ]
+
+
+@pytest.mark.parametrize("as_folder", [True, False])
+def test_current_view_reads_files_and_folders(spark, tmp_path, as_folder):
+    rows = [(i, f"e{i}", "b", f"c{i % 7}") for i in range(100)]
+    frame = spark.createDataFrame(rows, "seq long, event_id string, bundle_id string, candidate_id string")
+    frame.repartition(4 if as_folder else 1).write.parquet(str(tmp_path / "events.parquet"))
+    path = tmp_path / "events.parquet" if as_folder else next((tmp_path / "events.parquet").glob("part-*"))
+    stream = assessments.table_stream(spark, str(path), frame.schema)
+    assessments.keep_current(stream, str(tmp_path / "kept")).trigger(availableNow=True).start().awaitTermination()
+    got = {r["candidate_id"]: r["seq"] for r in assessments.current_view(spark, str(tmp_path / "kept"), stream).collect()}
+    assert got == {f"c{i % 7}": i for i in range(93, 100)}
+
+
+def test_exported_records_hold_whole_events(spark):
+    events = spark.createDataFrame([(3, "e3", "b", "c", "q", "supported", "n", None)], "seq long, event_id string, bundle_id string, candidate_id string, request_id string, disposition string, note string, supersedes_event_id string")
+    cands = spark.createDataFrame([("b", "c", 0.5)], "bundle_id string, candidate_id string, score double")
+    bundles = spark.createDataFrame([("b", "succeeded")], "bundle_id string, status string")
+    rows = {r["part"]: json.loads(r["record"]) for r in review.evidence_export(cands, bundles, events).collect()}
+    assert rows["assessment"] == {"seq": 3, "event_id": "e3", "request_id": "q", "disposition": "supported", "note": "n"}
+
+
 def test_intake_splits(spark):
     good, bad = assessments.intake(spark.createDataFrame([draft(1), draft(2, disposition="maybe")], DRAFT))
     assert [r["seq"] for r in good.collect()] == [1] and [r["seq"] for r in bad.collect()] == [2]

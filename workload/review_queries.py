@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.operators import review
+from sightline.session import checkpoint_folder
 from sightline.streaming import assessments
 from workload.registry import Inputs, query
+from workload.views import VIEWS
 
 _PROBLEM = """CASE WHEN disposition = 'undecided' THEN 'Choose a valid assessment action.'
     WHEN disposition = 'needs-context' AND note = '' THEN 'Add a note describing the context needed.' END"""
@@ -118,37 +119,27 @@ def evidence_export(t: Inputs) -> DataFrame:
 
 
 def _shared_folder(t: Inputs) -> str:
-    """A new folder in the cluster's shared checkpoint area (local scratch in tests)."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/sightline-stream-{uuid.uuid4().hex}"
+    """A new folder in the cluster's shared checkpoint area."""
+    return f"{checkpoint_folder(t.spark)}/sightline-stream-{uuid.uuid4().hex}"
 
 
 def _event_stream(t: Inputs) -> DataFrame:
-    """The events table read as a stream and shaped like the log view."""
-    from workload.views import VIEWS
-
-    raw = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+    """The events table, a file or a folder of files, read as a stream and shaped like the log view."""
+    raw = assessments.table_stream(t.spark, f"{t.folder}/events.parquet", t.events.schema)
     return t.spark.sql(VIEWS["v_evt"], events=raw)
 
 
-def _run_to_end(t: Inputs, stream: DataFrame, mode: str = "append") -> DataFrame:
+def _run_to_end(t: Inputs, stream: DataFrame) -> DataFrame:
     """Drain what is there, then hand back the written table."""
     folder = _shared_folder(t)
     run = (
-        stream.writeStream.outputMode(mode).trigger(availableNow=True)
+        stream.writeStream.outputMode("append").trigger(availableNow=True)
         .option("checkpointLocation", f"{folder}/state").format("parquet").start(f"{folder}/out")
     )
     run.awaitTermination()
     return t.spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def _use_state_store(t: Inputs) -> None:
-    t.spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
-
-
 @query("streamed_intake", f"SELECT seq, trim(note) AS note FROM {{v_evt}} WHERE ({_PROBLEM}) IS NULL")
 def streamed_intake(t: Inputs) -> DataFrame:
     good, _ = assessments.intake(_event_stream(t))
@@ -164,25 +155,43 @@ def streamed_rejects(t: Inputs) -> DataFrame:
     return _run_to_end(t, bad.select("seq", "problem"))
 
 
-@query("streamed_decisions")
+# One draft after another: a candidate's events are consecutive, and only neighbours share a request id.
+_DECIDED = f"""/*recursive*/ WITH sound AS (
+      SELECT seq, bundle_id, candidate_id, request_id, trim(supersedes_event_id) AS names, 'assessment-' || CASE WHEN seq < 10000 THEN lpad(CAST(seq AS VARCHAR), 4, '0') ELSE CAST(seq AS VARCHAR) END AS own_id,
+        row_number() OVER (ORDER BY seq) AS n
+      FROM {{v_evt}} WHERE ({_PROBLEM}) IS NULL),
+    drafts AS (SELECT s.*, c.candidate_id IS NOT NULL AS known FROM sound s
+      LEFT JOIN (SELECT * FROM {{v_cand}} WHERE k % 10 <> 9) c ON c.bundle_id = s.bundle_id AND c.candidate_id = s.candidate_id),
+    steps AS (
+      SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS bundle_id, CAST(NULL AS VARCHAR) AS candidate_id, CAST(NULL AS VARCHAR) AS current_id,
+        CAST(NULL AS VARCHAR) AS taken_request, CAST(NULL AS VARCHAR) AS taken_bundle, CAST(NULL AS VARCHAR) AS taken_id,
+        CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS VARCHAR) AS event_id
+      UNION ALL
+      SELECT n, bundle_id, candidate_id, CASE WHEN outcome = 'accepted' THEN own_id ELSE here END,
+        CASE WHEN outcome = 'accepted' THEN request_id ELSE taken_request END, CASE WHEN outcome = 'accepted' THEN bundle_id ELSE taken_bundle END,
+        CASE WHEN outcome = 'accepted' THEN own_id ELSE taken_id END, seq, outcome,
+        CASE outcome WHEN 'accepted' THEN own_id WHEN 'replay' THEN taken_id END
+      FROM (SELECT x.*, CASE WHEN taken_request = request_id AND taken_bundle = bundle_id THEN 'replay' WHEN NOT known THEN 'unknown-candidate'
+              WHEN names IS DISTINCT FROM here THEN 'conflict' ELSE 'accepted' END AS outcome
+            FROM (SELECT d.*, s.taken_request, s.taken_bundle, s.taken_id,
+                    CASE WHEN s.candidate_id = d.candidate_id AND s.bundle_id = d.bundle_id THEN s.current_id END AS here
+                  FROM steps s JOIN drafts d ON d.n = s.n + 1) x) y)
+    SELECT seq, outcome, event_id FROM steps WHERE n > 0"""
+
+
+@query("streamed_decisions", _DECIDED)
 def streamed_decisions(t: Inputs) -> DataFrame:
     """Accept, replay, conflict or unknown-candidate for every sound draft."""
-    _use_state_store(t)
     good, _ = assessments.intake(_event_stream(t))
     drafts = good.select("seq", "request_id", "bundle_id", "candidate_id", "disposition", "note", "supersedes_event_id")
-    known = t.v_cand.where("k % 10 <> 9")
-    return _run_to_end(t, assessments.decide(assessments.gate_requests(drafts), known))
+    folder = _shared_folder(t)
+    assessments.decide(drafts, t.v_cand.where("k % 10 <> 9"), folder).trigger(availableNow=True).start().awaitTermination()
+    return assessments.decisions(t.spark, folder, drafts).select("seq", "outcome", "event_id")
 
 
 @query("streamed_current", f"SELECT bundle_id, candidate_id, event_id FROM ({_CURRENT}) c")
 def streamed_current(t: Inputs) -> DataFrame:
     """The current view kept by a stream, one row per candidate."""
-    folder = _shared_folder(t)
-    view = assessments.current_view(_event_stream(t)).select("bundle_id", "candidate_id", "event_id")
-    run = (
-        view.writeStream.outputMode("complete").trigger(availableNow=True)
-        .option("checkpointLocation", f"{folder}/state")
-        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/out")).start()
-    )
-    run.awaitTermination()
-    return t.spark.read.schema(view.schema).parquet(f"{folder}/out")
+    folder, events = _shared_folder(t), _event_stream(t).select("bundle_id", "candidate_id", "event_id", "seq")
+    assessments.keep_current(events, folder).trigger(availableNow=True).start().awaitTermination()
+    return assessments.current_view(t.spark, folder, events).select("bundle_id", "candidate_id", "event_id")
