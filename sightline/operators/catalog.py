@@ -181,8 +181,9 @@ def first_per_provider(items: DataFrame, n: int, seq: str = "seq") -> DataFrame:
 
 def revisit_key() -> Column:
     """Centre of the box on a quarter-degree grid, as text."""
-    lat = F.rint((F.col("south") + F.col("north")) / 2 * 4) / 4
-    lon = F.rint((F.col("west") + F.col("east")) / 2 * 4) / 4
+    # Adding zero turns a negative zero, which would print as "-0.00", into zero.
+    lat = F.rint((F.col("south") + F.col("north")) / 2 * 4) / 4 + F.lit(0.0)
+    lon = F.rint((F.col("west") + F.col("east")) / 2 * 4) / 4 + F.lit(0.0)
     return F.format_string("%.2f,%.2f", lat, lon)
 
 

@@ -39,7 +39,7 @@ def safe_path(path: Column) -> Column:
 def artifact_audit(
     declared: DataFrame, files: DataFrame, max_bytes: int = MAX_ARTIFACT_BYTES
 ) -> DataFrame:
-    """First fault of each declared artifact against the files found.
+    """First fault of each declared artifact against the files found, and files that nothing declares.
 
     ``declared(bundle_id, artifact_id, path, media_type, status, size_bytes, sha256)``,
     ``files(bundle_id, path, length, sha256, magic)``.
@@ -54,16 +54,18 @@ def artifact_audit(
     missing = F.col("status") == "missing"
     present = F.col("f_length").isNotNull()
     reason = (
-        F.when(~safe_path(F.col("path")), "path is unsafe")
+        F.when(F.col("_undeclared"), "file is not declared")
+        .when(~safe_path(F.col("path")), "path is unsafe")
         .when(missing & present, "artifact marked missing is present")
         .when(missing, None)
         .when(~present, "file is missing")
         .when((F.col("f_length") <= 0) | (F.col("f_length") > max_bytes), "file exceeds its size limit")
-        .when(F.col("f_length") != F.col("size_bytes"), "file size changed")
-        .when(F.col("f_sha256") != F.col("sha256"), "file checksum changed")
+        .when(~F.col("f_length").eqNullSafe(F.col("size_bytes")), "file size changed")
+        .when(~F.col("f_sha256").eqNullSafe(F.col("sha256")), "file checksum changed")
         .when(signature.isNotNull() & ~F.col("f_magic").startswith(signature), "signature does not match media type")
     )
-    return declared.join(found, ["bundle_id", "path"], "left").select(
+    both = declared.withColumn("_declared", F.lit(True)).join(found, ["bundle_id", "path"], "full")
+    return both.withColumn("_undeclared", F.col("_declared").isNull()).select(
         "bundle_id", "artifact_id", "path", reason.alias("reason")
     )
 
@@ -71,7 +73,7 @@ def artifact_audit(
 def artifact_violations(declared: DataFrame, files: DataFrame) -> DataFrame:
     """Audit faults plus reused ids and paths."""
     audit = artifact_audit(declared, files).where(F.col("reason").isNotNull()).select(
-        "bundle_id", F.col("artifact_id").alias("subject"), "reason"
+        "bundle_id", F.coalesce("artifact_id", "path").alias("subject"), "reason"
     )
     ids = duplicates(declared, ["bundle_id", "artifact_id"]).select(
         "bundle_id", F.col("artifact_id").alias("subject"), F.lit("artifact ID is duplicated").alias("reason")
@@ -180,16 +182,17 @@ def component_violations(bundles: DataFrame, components: DataFrame, acquisitions
             (~closed, "AOI polygon rings must be closed"),
         ],
     )
-    return stack(per_component, reused, role_violations(acquisitions), aoi)
+    return stack(per_component, reused, role_violations(bundles, acquisitions), aoi)
 
 
-def role_violations(acquisitions: DataFrame) -> DataFrame:
-    """Exactly one before and one after acquisition per bundle, with distinct ids."""
+def role_violations(bundles: DataFrame, acquisitions: DataFrame) -> DataFrame:
+    """Exactly one before and one after acquisition for every bundle, with distinct ids."""
     roles = acquisitions.groupBy("bundle_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("role") == "before").alias("b"), F.count_if(F.col("role") == "after").alias("a"),
     )
-    wrong = roles.where("n <> 2 OR b <> 1 OR a <> 1").select(
+    every = bundles.select("bundle_id").distinct().join(roles, "bundle_id", "full")
+    wrong = every.where("coalesce(n, 0) <> 2 OR b <> 1 OR a <> 1").select(
         "bundle_id", F.lit("acquisitions").alias("subject"),
         F.lit("acquisitions must contain exactly before and after roles").alias("reason"),
     )
@@ -216,7 +219,7 @@ def display_violations(
         "bundle_id", F.col("candidate_id").alias("subject"), F.lit("duplicate candidate ID").alias("reason")
     )
     return stack(
-        state, role_violations(acquisitions), twice,
+        state, role_violations(views, acquisitions), twice,
         unresolved_evidence(candidates, artifacts.select("bundle_id", "artifact_id").distinct(), "candidate_id"),
     )
 
@@ -229,18 +232,19 @@ def uncited(observations: DataFrame, citations: DataFrame) -> DataFrame:
 
 
 def case_violations(
-    acquisitions: DataFrame, observations: DataFrame, citations: DataFrame, residuals: DataFrame
+    cases: DataFrame, acquisitions: DataFrame, observations: DataFrame, citations: DataFrame, residuals: DataFrame
 ) -> DataFrame:
-    """Investigation-case rules.
+    """Rules of investigation cases; a case without any acquisition, citation or residual breaks them too.
 
-    ``acquisitions(case_id, position, role, checksum)``, ``residuals(case_id, metres)``.
+    ``cases(case_id)``, ``acquisitions(case_id, position, role, checksum)``, ``residuals(case_id, metres)``.
     """
     order = acquisitions.groupBy("case_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.min_by("role", "position").alias("first"), F.max_by("role", "position").alias("last"),
     )
-    five = residuals.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
-    cases = acquisitions.select("case_id").distinct()
+    cases = cases.select("case_id").distinct()
+    order = cases.join(order, "case_id", "full")
+    five = cases.join(residuals.groupBy("case_id").agg(F.count(F.lit(1)).alias("n")), "case_id", "full")
     counts = cases.join(
         citations.groupBy("case_id").agg(F.count(F.lit(1)).alias("_cites")), "case_id", "left"
     ).join(observations.groupBy("case_id").agg(F.count(F.lit(1)).alias("_seen")), "case_id", "left")
@@ -249,15 +253,15 @@ def case_violations(
         return df.select("case_id", F.col(subject).cast("string").alias("subject"), F.lit(reason).alias("reason"))
 
     return stack(
-        rows(order.where("n <> 2 OR first <> 'before' OR last <> 'after'"), "case_id",
+        rows(order.where("coalesce(n, 0) <> 2 OR first IS DISTINCT FROM 'before' OR last IS DISTINCT FROM 'after'"), "case_id",
              "acquisitions must be ordered before, then after"),
-        rows(acquisitions.where(~F.col("checksum").rlike("^[a-f0-9]{64}$")), "role", "checksum must be SHA-256"),
+        rows(acquisitions.where(~F.coalesce(F.col("checksum").rlike("^[a-f0-9]{64}$"), F.lit(False))), "role", "checksum must be SHA-256"),
         rows(counts.where(F.col("_cites").isNull()), "case_id", "citations must be a non-empty list"),
         rows(counts.where(F.col("_seen").isNull()), "case_id", "observations must be a non-empty list"),
         rows(duplicates(citations, ["case_id", "citation_id"]), "citation_id", "citation IDs must be unique"),
         rows(duplicates(observations, ["case_id", "observation_id"]), "observation_id", "observation IDs must be unique"),
         rows(uncited(observations, citations), "observation_id", "citation is not declared"),
-        rows(five.where("n <> 5"), "case_id", "residuals must contain five controls"),
+        rows(five.where("coalesce(n, 0) <> 5"), "case_id", "residuals must contain five controls"),
     )
 
 

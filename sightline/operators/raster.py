@@ -293,8 +293,8 @@ def common_valid_fraction(paired: DataFrame, aoi: DataFrame) -> DataFrame:
 
 
 def stretch(value: Column, low: Column, high: Column) -> Column:
-    """Percentile stretch to 0-1; nodata stays NULL."""
-    scaled = (value - low) / (high - low)
+    """Percentile stretch to 0-1; nodata stays NULL, and a raster without a range becomes nodata."""
+    scaled = F.try_divide(value - low, high - low)
     return F.when(scaled.isNotNull(), F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0)))
 
 

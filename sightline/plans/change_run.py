@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sightline.operators import raster, regions
 from sightline.operators.raster import ChangePolicy
@@ -26,6 +27,23 @@ class ChangeRun:
     def funnel(self) -> DataFrame:
         return raster.run_funnel(self.cells, self.retained)
 
+    @property
+    def violations(self) -> DataFrame:
+        """``(run_id, reason)`` of runs whose result does not count; the other runs of the table stand."""
+        flat = self.quality.where("normalization_low >= normalization_high").select(
+            "run_id", F.lit("raster has no usable normalization range").alias("reason")
+        ).distinct()
+        valid = self.cells.groupBy("run_id").agg(F.count_if("common_valid").alias("n"))
+        none = valid.where("n = 0").select("run_id", F.lit("no common valid pixels after edge guard").alias("reason"))
+        return flat.unionByName(none)
+
+
+def holds_every_cell(pixels: DataFrame, grids: DataFrame) -> bool:
+    """Whether each role of each run has as many rows as its grid has cells."""
+    counts = pixels.groupBy("run_id", "role").agg(F.count(F.lit(1)).alias("n"))
+    cells = grids.select("run_id", (F.col("width").cast("bigint") * F.col("height")).alias("cells"))
+    return not counts.join(cells, "run_id", "left").where("n IS DISTINCT FROM cells").limit(1).count()
+
 
 def normalised_cells(pixels: DataFrame, grids: DataFrame, lower: float = 2.0, upper: float = 98.0) -> DataFrame:
     """Every grid cell with both stretched values."""
@@ -40,8 +58,10 @@ def detect_changes(
     """Stretch, score, clean, label, retain and measure all runs of a pixel table.
 
     The scored cells are written once: labels, measures and counts read them.  Say
-    ``dense`` when ``pixels`` holds a row (NULL for nodata) for every cell of a role.
+    ``dense`` when ``pixels`` holds a row (NULL for nodata) for every cell of a role; row counts are
+    checked, and missing cells are added when they do not bear it out.
     """
+    dense = dense and holds_every_cell(pixels, grids)
     quality = reliable_checkpoint(raster.role_quality(pixels, lower, upper))
     cells = reliable_checkpoint(
         raster.score_pixels(pixels, quality, policy, None if dense else grids)
@@ -50,5 +70,5 @@ def detect_changes(
     labelled = reliable_checkpoint(regions.label_components(mask, policy.connectivity))
     retained = regions.retain_components(labelled, policy)
     candidates = reliable_checkpoint(regions.candidate_cells(labelled, retained))
-    measures = regions.candidate_measures(candidates, cells, grids)
+    measures = regions.candidate_measures(candidates, cells.where("cleaned"), grids)
     return ChangeRun(quality, cells, labelled, retained, candidates, measures)

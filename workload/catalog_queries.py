@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sightline.functions import geometry as geo
 from sightline.functions.scalars import clean_polarizations, clean_products, parse_time, seconds_between
 from sightline.operators import catalog, pairs
+from sightline.operators.ranking import ranked
 from sightline.sources import catalog as scans
 from workload.registry import Inputs, query
 
@@ -115,23 +116,15 @@ def first_per_provider(t: Inputs) -> DataFrame:
 @query(
     "merged_order",
     f"""SELECT provider, item_id, seq, row_number() OVER (ORDER BY acquired_at DESC, seq) AS position
-        FROM ({_LATEST}) m ORDER BY position LIMIT 100""",
+        FROM ({_LATEST}) m""",
 )
 def merged_order(t: Inputs) -> DataFrame:
-    """The newest hundred merged hits with their place in the list."""
+    """Every merged hit with its place in the list, newest first."""
     hits = catalog.latest_arrivals(catalog.matching(footprinted(t.v_acq), REQUEST))
-    top = catalog.in_merged_order(hits).limit(100)
-    place = F.row_number().over(_listed("acquired_at", "seq"))
-    return top.select("provider", "item_id", "seq", place.alias("position"))
+    return ranked(hits, [], [F.desc("acquired_at"), "seq"], "position").select("provider", "item_id", "seq", "position")
 
 
-def _listed(time: str, tie: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(F.desc(time), tie)  # over at most one page of rows
-
-
-_KEY = """printf('%.2f,%.2f', round_even((south + north) / 2 * 4, 0) / 4, round_even((west + east) / 2 * 4, 0) / 4)"""
+_KEY = """printf('%.2f,%.2f', round_even((south + north) / 2 * 4, 0) / 4 + 0e0, round_even((west + east) / 2 * 4, 0) / 4 + 0e0)"""
 
 
 @query(
@@ -190,9 +183,8 @@ def _provider_report(t: Inputs) -> DataFrame:
     requested = t.sql(
         "SELECT DISTINCT provider, true AS configured FROM {v_acq} UNION ALL SELECT 'archive', false FROM {region} WHERE r_regionkey = 0"
     )
-    pages = t.sql("SELECT provider, count(*) > 1000000 AS has_more, false AS failed FROM {v_acq} GROUP BY provider")
-    warned = t.v_warning.where("provider = 'open-sar'")
-    return catalog.provider_report(requested, hits, warned, pages)
+    pages = t.sql("SELECT provider, count(*) > 500 AS has_more, false AS failed FROM {v_acq} GROUP BY provider")
+    return catalog.provider_report(requested, hits, t.v_warning, pages)
 
 
 _REPORT = f"""
@@ -200,8 +192,8 @@ _REPORT = f"""
            found AS result_count, more AS has_more, CASE WHEN configured THEN warned ELSE 1 END AS warning_count
     FROM (SELECT q.provider, configured,
             (SELECT count(*) FROM ({_LATEST}) m WHERE m.provider = q.provider) AS found,
-            (SELECT count(*) FROM {{v_warning}} w WHERE w.provider = q.provider AND w.provider = 'open-sar') AS warned,
-            (SELECT count(*) FROM {{v_acq}} a WHERE a.provider = q.provider) > 1000000 AS more
+            (SELECT count(*) FROM {{v_warning}} w WHERE w.provider = q.provider) AS warned,
+            (SELECT count(*) FROM {{v_acq}} a WHERE a.provider = q.provider) > 500 AS more
           FROM (SELECT DISTINCT provider, true AS configured FROM {{v_acq}} UNION ALL SELECT 'archive', false) q) p
 """
 

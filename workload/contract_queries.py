@@ -31,12 +31,12 @@ def declared(t: Inputs) -> DataFrame:
     )
 
 
-_AUDIT = """SELECT d.bundle_id, d.artifact_id, d.path, CASE
-    WHEN d.doc_id % 71 = 0 THEN 'path is unsafe' WHEN d.status = 'missing' AND f.path IS NOT NULL THEN 'artifact marked missing is present'
+_AUDIT = """SELECT coalesce(d.bundle_id, f.bundle_id) AS bundle_id, d.artifact_id, coalesce(d.path, f.path) AS path, CASE
+    WHEN d.doc_id IS NULL THEN 'file is not declared' WHEN d.doc_id % 71 = 0 THEN 'path is unsafe' WHEN d.status = 'missing' AND f.path IS NOT NULL THEN 'artifact marked missing is present'
     WHEN d.status = 'missing' THEN NULL WHEN f.path IS NULL THEN 'file is missing'
     WHEN f.chars <= 0 OR f.chars > 268435456 THEN 'file exceeds its size limit' WHEN f.chars <> declared_chars THEN 'file size changed'
     WHEN d.tamper = 0 THEN 'file checksum changed' WHEN d.media_type = 'image/png' THEN 'signature does not match media type' END AS reason
-    FROM {v_declared} d LEFT JOIN {v_file} f ON f.bundle_id = d.bundle_id AND f.path = d.path"""
+    FROM {v_declared} d FULL JOIN {v_file} f ON f.bundle_id = d.bundle_id AND f.path = d.path"""
 
 
 @query("artifact_audit", _AUDIT)
@@ -46,7 +46,7 @@ def artifact_audit(t: Inputs) -> DataFrame:
 
 @query(
     "artifact_faults",
-    f"""SELECT bundle_id, artifact_id AS subject, reason FROM ({_AUDIT}) a WHERE reason IS NOT NULL
+    f"""SELECT bundle_id, coalesce(artifact_id, path) AS subject, reason FROM ({_AUDIT}) a WHERE reason IS NOT NULL
         UNION ALL SELECT bundle_id, artifact_id, 'artifact ID is duplicated' FROM {{v_declared}} GROUP BY bundle_id, artifact_id HAVING count(*) > 1
         UNION ALL SELECT bundle_id, path, 'artifact path is reused' FROM {{v_declared}} GROUP BY bundle_id, path HAVING count(*) > 1""",
 )
@@ -101,7 +101,7 @@ _COMPONENTS = """SELECT doc_id % 40 AS bundle_id, CASE WHEN doc_id % 3 = 0 THEN
     CASE WHEN doc_id % 13 = 0 THEN 999 ELSE doc_id % 40 END AS declared_bundle_id, CASE WHEN doc_id % 17 = 0 THEN '2.0.0' ELSE '1.0.0' END AS version,
     concat('change-', CAST(CASE WHEN doc_id % 21 = 0 THEN 0 ELSE doc_id % 40 END AS STRING)) AS change_run_id, concat('source-', CAST(doc_id % 40 AS STRING)) AS source_run_id FROM {documents}"""
 _ROLES = """SELECT doc_id % 40 AS bundle_id, CASE WHEN doc_id % 80 < 40 THEN 'before' ELSE 'after' END AS role,
-    concat('acq-', CAST(doc_id % 400 AS STRING)) AS acquisition_id FROM {documents} WHERE doc_id % 40 % 4 <> 0 OR doc_id % 120 < 40"""
+    concat('acq-', CAST(doc_id % 400 AS STRING)) AS acquisition_id FROM {documents} WHERE (doc_id % 40 % 4 <> 0 OR doc_id % 120 < 40) AND doc_id % 40 <> 22"""
 _AOIS = "SELECT doc_id % 40 AS bundle_id, doc_id, text AS geometry_text FROM {documents}"
 
 
@@ -114,6 +114,7 @@ _AOIS = "SELECT doc_id % 40 AS bundle_id, doc_id, text AS geometry_text FROM {do
         UNION ALL SELECT bundle_id, path, 'component path is reused' FROM c GROUP BY bundle_id, path HAVING count(*) > 1
         UNION ALL SELECT bundle_id, 'acquisitions', 'acquisitions must contain exactly before and after roles' FROM r GROUP BY bundle_id
           HAVING count(*) <> 2 OR count(*) FILTER (WHERE role = 'before') <> 1 OR count(*) FILTER (WHERE role = 'after') <> 1
+        UNION ALL SELECT DISTINCT doc_id % 40, 'acquisitions', 'acquisitions must contain exactly before and after roles' FROM {{documents}} WHERE doc_id % 40 NOT IN (SELECT bundle_id FROM r)
         UNION ALL SELECT bundle_id, acquisition_id, 'acquisition IDs must be unique' FROM r GROUP BY bundle_id, acquisition_id HAVING count(*) > 1
         UNION ALL SELECT bundle_id, 'aoi', 'AOI geometry checksum does not match' FROM ({_AOIS}) a WHERE doc_id % 19 = 0
         UNION ALL SELECT bundle_id, 'aoi', 'AOI polygon rings must be closed' FROM ({_AOIS}) a WHERE doc_id % 23 = 0""",
@@ -151,10 +152,10 @@ def display_rules(t: Inputs) -> DataFrame:
 _CASES = "SELECT DISTINCT doc_id % 50 AS case_id FROM {documents}"
 _OBS = "SELECT doc_id % 50 AS case_id, concat('o-', CAST(doc_id - CASE WHEN doc_id % 83 = 82 THEN 50 ELSE 0 END AS STRING)) AS observation_id, doc_id % 9 AS citation_id FROM {documents} WHERE doc_id % 50 <> 11"
 _CITES = "SELECT DISTINCT doc_id % 50 AS case_id, doc_id % 8 AS citation_id FROM {documents} WHERE doc_id % 50 <> 12"
-_RES = "SELECT c.case_id, 2e0 * r_regionkey + c.case_id % 4 AS metres FROM ({cases}) c CROSS JOIN {region} WHERE r_regionkey < 5 - CASE WHEN c.case_id % 10 = 3 THEN 1 ELSE 0 END".replace("{cases}", _CASES)
+_RES = "SELECT c.case_id, 2e0 * r_regionkey + c.case_id % 4 AS metres FROM ({cases}) c CROSS JOIN {region} WHERE r_regionkey < 5 - CASE WHEN c.case_id % 10 = 3 THEN 1 ELSE 0 END AND c.case_id <> 21".replace("{cases}", _CASES)
 _CASE_ACQ = """SELECT case_id, position, CASE WHEN (position = 0) = (case_id % 9 <> 4) THEN 'before' ELSE 'after' END AS role,
     CASE WHEN case_id % 12 = 5 AND position = 1 THEN 'nothex' ELSE repeat('ab', 32) END AS checksum FROM (
-    SELECT DISTINCT doc_id % 50 AS case_id, 0 AS position FROM {documents} UNION ALL SELECT DISTINCT doc_id % 50, 1 FROM {documents}) p"""
+    SELECT DISTINCT doc_id % 50 AS case_id, 0 AS position FROM {documents} UNION ALL SELECT DISTINCT doc_id % 50, 1 FROM {documents}) p WHERE case_id <> 24"""
 _UNCITED = f"SELECT o.* FROM ({_OBS}) o WHERE NOT EXISTS (SELECT 1 FROM ({_CITES}) c WHERE c.case_id = o.case_id AND c.citation_id = o.citation_id)"
 
 
@@ -165,22 +166,22 @@ def uncited_observations(t: Inputs) -> DataFrame:
 
 @query(
     "case_rules",
-    f"""SELECT case_id, CAST(case_id AS STRING) AS subject, 'acquisitions must be ordered before, then after' AS reason FROM ({_CASES}) c WHERE case_id % 9 = 4
+    f"""SELECT case_id, CAST(case_id AS STRING) AS subject, 'acquisitions must be ordered before, then after' AS reason FROM ({_CASES}) c WHERE case_id % 9 = 4 OR case_id = 24
         UNION ALL SELECT case_id, role, 'checksum must be SHA-256' FROM ({_CASE_ACQ}) a WHERE checksum = 'nothex'
         UNION ALL SELECT case_id, CAST(case_id AS STRING), 'citations must be a non-empty list' FROM ({_CASES}) c WHERE case_id = 12
         UNION ALL SELECT case_id, CAST(case_id AS STRING), 'observations must be a non-empty list' FROM ({_CASES}) c WHERE case_id = 11
         UNION ALL SELECT case_id, observation_id, 'observation IDs must be unique' FROM ({_OBS}) o GROUP BY case_id, observation_id HAVING count(*) > 1
         UNION ALL SELECT case_id, observation_id, 'citation is not declared' FROM ({_UNCITED}) u
-        UNION ALL SELECT case_id, CAST(case_id AS STRING), 'residuals must contain five controls' FROM ({_CASES}) c WHERE case_id % 10 = 3""",
+        UNION ALL SELECT case_id, CAST(case_id AS STRING), 'residuals must contain five controls' FROM ({_CASES}) c WHERE case_id % 10 = 3 OR case_id = 21""",
 )
 def case_rules(t: Inputs) -> DataFrame:
-    return contracts.case_violations(t.sql(_CASE_ACQ), t.sql(_OBS), t.sql(_CITES), t.sql(_RES))
+    return contracts.case_violations(t.sql(_CASES), t.sql(_CASE_ACQ), t.sql(_OBS), t.sql(_CITES), t.sql(_RES))
 
 
 @query(
     "attribution_rules",
     f"""SELECT case_id, 'required source attribution is missing' AS reason FROM ({_CASES}) c WHERE case_id % 6 = 0
-        UNION ALL SELECT case_id, 'five-point grid alignment is outside tolerance' FROM ({_CASES}) c WHERE case_id % 10 = 3 OR case_id % 4 = 3
+        UNION ALL SELECT case_id, 'five-point grid alignment is outside tolerance' FROM ({_CASES}) c WHERE case_id % 10 = 3 OR case_id % 4 = 3 OR case_id = 21
         UNION ALL SELECT case_id, 'thumbnail is too small' FROM ({_CASES}) c WHERE case_id % 5 = 0""",
 )
 def attribution_rules(t: Inputs) -> DataFrame:

@@ -167,13 +167,22 @@ _COVER = f"""
     SELECT item_id, z, x, unnest(range(y0, y1 + 1)) AS y FROM (
       SELECT item_id, z, unnest(range(x0, x1 + 1)) AS x, y0, y1 FROM (
         SELECT item_id, z, {_X0} AS x0, {_X1} AS x1, {_Y0} AS y0, {_Y1} AS y1
-        FROM (SELECT *, unnest(range(8, 12)) AS z FROM {{v_item}}) a) b) c
+        FROM (SELECT *, unnest(range(8, 15)) AS z FROM {{v_item}}) a) b) c
 """
 
 
-@query("tile_cover", _COVER)
+@query(
+    "tile_cover",
+    f"""SELECT item_id, z, count(*) AS tile_count, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, CAST(sum(x * y) AS BIGINT) AS xy_sum
+        FROM ({_COVER}) c GROUP BY item_id, z""",
+)
 def tile_cover(t: Inputs) -> DataFrame:
-    return tiles.tile_cover(t.v_item, 8, 11).select("item_id", "z", "x", "y")
+    """The tiles of every item at all zooms, summed up per item and zoom."""
+    x, y = F.col("x").cast("bigint"), F.col("y").cast("bigint")
+    return tiles.tile_cover(t.v_item, 8, 14).groupBy("item_id", "z").agg(
+        F.count(F.lit(1)).alias("tile_count"), F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"),
+        F.sum(x * y).alias("xy_sum"),
+    )
 
 
 @query(
@@ -183,7 +192,7 @@ def tile_cover(t: Inputs) -> DataFrame:
         UNION ALL SELECT z + 10, x, y, 'unexpected' FROM cover WHERE (x + y) % 17 = 0""",
 )
 def tile_set_differences(t: Inputs) -> DataFrame:
-    expected = tiles.tile_cover(t.v_item, 8, 11).select("z", "x", "y")
+    expected = tiles.tile_cover(t.v_item, 8, 14).select("z", "x", "y")
     actual = expected.where("(x + y) % 13 <> 0").unionAll(
         expected.where("(x + y) % 17 = 0").select(F.col("z") + 10, "x", "y")
     )

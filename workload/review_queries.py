@@ -155,19 +155,21 @@ def streamed_rejects(t: Inputs) -> DataFrame:
     return _run_to_end(t, bad.select("seq", "problem"))
 
 
-# One draft after another: a candidate's events are consecutive, and only neighbours share a request id.
-_DECIDED = f"""/*recursive*/ WITH sound AS (
+# One draft after another.  Candidates are six events in a row and only the last two of nine share a request
+# id, so blocks of eighteen events are decided side by side.
+_DECIDED = f"""WITH /*recursive*/ sound AS (
       SELECT seq, bundle_id, candidate_id, request_id, trim(supersedes_event_id) AS names, 'assessment-' || CASE WHEN seq < 10000 THEN lpad(CAST(seq AS VARCHAR), 4, '0') ELSE CAST(seq AS VARCHAR) END AS own_id,
-        row_number() OVER (ORDER BY seq) AS n
+        CAST(floor(seq / 18) AS BIGINT) AS block, row_number() OVER (PARTITION BY CAST(floor(seq / 18) AS BIGINT) ORDER BY seq) AS n
       FROM {{v_evt}} WHERE ({_PROBLEM}) IS NULL),
     drafts AS (SELECT s.*, c.candidate_id IS NOT NULL AS known FROM sound s
       LEFT JOIN (SELECT * FROM {{v_cand}} WHERE k % 10 <> 9) c ON c.bundle_id = s.bundle_id AND c.candidate_id = s.candidate_id),
     steps AS (
-      SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS bundle_id, CAST(NULL AS VARCHAR) AS candidate_id, CAST(NULL AS VARCHAR) AS current_id,
+      SELECT DISTINCT block, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS bundle_id, CAST(NULL AS VARCHAR) AS candidate_id, CAST(NULL AS VARCHAR) AS current_id,
         CAST(NULL AS VARCHAR) AS taken_request, CAST(NULL AS VARCHAR) AS taken_bundle, CAST(NULL AS VARCHAR) AS taken_id,
         CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS VARCHAR) AS event_id
+      FROM drafts
       UNION ALL
-      SELECT n, bundle_id, candidate_id, CASE WHEN outcome = 'accepted' THEN own_id ELSE here END,
+      SELECT block, n, bundle_id, candidate_id, CASE WHEN outcome = 'accepted' THEN own_id ELSE here END,
         CASE WHEN outcome = 'accepted' THEN request_id ELSE taken_request END, CASE WHEN outcome = 'accepted' THEN bundle_id ELSE taken_bundle END,
         CASE WHEN outcome = 'accepted' THEN own_id ELSE taken_id END, seq, outcome,
         CASE outcome WHEN 'accepted' THEN own_id WHEN 'replay' THEN taken_id END
@@ -175,7 +177,7 @@ _DECIDED = f"""/*recursive*/ WITH sound AS (
               WHEN names IS DISTINCT FROM here THEN 'conflict' ELSE 'accepted' END AS outcome
             FROM (SELECT d.*, s.taken_request, s.taken_bundle, s.taken_id,
                     CASE WHEN s.candidate_id = d.candidate_id AND s.bundle_id = d.bundle_id THEN s.current_id END AS here
-                  FROM steps s JOIN drafts d ON d.n = s.n + 1) x) y)
+                  FROM steps s JOIN drafts d ON d.block = s.block AND d.n = s.n + 1) x) y)
     SELECT seq, outcome, event_id FROM steps WHERE n > 0"""
 
 

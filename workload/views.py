@@ -38,7 +38,9 @@ VIEWS: dict[str, str] = {
                       '/items/', CAST(k AS STRING), '.json') AS source_url
         FROM {v_base}
     """,
-    "v_item": "SELECT * FROM {v_acq} WHERE seq % 10 <> 9",
+    # Items: the latest arrival of each.
+    "v_last": "SELECT b.* FROM {v_base} b JOIN (SELECT max(seq) AS last_seq FROM {v_base} GROUP BY k) m ON m.last_seq = b.seq",
+    "v_item": "SELECT a.* FROM {v_acq} a JOIN (SELECT max(seq) AS last_seq FROM {v_base} GROUP BY k) m ON m.last_seq = a.seq",
     "v_request": """
         SELECT CAST(c_custkey AS BIGINT) AS request_id,
                -120e0 + 0.1e0 * CAST((c_custkey * 7) % 300 AS DOUBLE) - 0.3e0 AS west,
@@ -56,7 +58,7 @@ VIEWS: dict[str, str] = {
     "v_pair": """
         SELECT DISTINCT concat('acq-', CAST(f.first_k AS STRING)) AS before_id,
                concat('acq-', CAST(b.k AS STRING)) AS after_id
-        FROM {v_base} b JOIN (SELECT cust, min(k) AS first_k FROM {v_base} WHERE seq % 10 <> 9 GROUP BY cust) f ON f.cust = b.cust
+        FROM {v_last} b JOIN (SELECT cust, min(k) AS first_k FROM {v_last} GROUP BY cust) f ON f.cust = b.cust
         WHERE b.k <> f.first_k
         UNION ALL
         SELECT DISTINCT concat('acq-', CAST(k AS STRING)), concat('acq-', CAST(k + 1 AS STRING))
@@ -66,7 +68,7 @@ VIEWS: dict[str, str] = {
         SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 2 = 0 THEN 'open-sar' ELSE 'sentinel-1' END AS provider,
                CASE WHEN o_orderkey % 400 = 33 THEN 'item_invalid' WHEN o_orderkey % 7 = 0 THEN 'empty_asset_href'
                     WHEN o_orderkey % 7 = 3 THEN 'missing_task_id' ELSE 'malformed_link' END AS code
-        FROM {orders} WHERE o_orderstatus = 'F'
+        FROM {orders}
     """,
     # Stored objects: one per order line, keyed under the order's task.
     "v_object": """
