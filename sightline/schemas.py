@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-BOX = "west DOUBLE, south DOUBLE, east DOUBLE, north DOUBLE"
-
 CATALOG_ITEM = """
     id STRING,
     bbox ARRAY<DOUBLE>,
-    geometry STRUCT<type: STRING, coordinates: ARRAY<ARRAY<ARRAY<DOUBLE>>>>,
+    geometry STRING,
     properties STRUCT<
         datetime: STRING, start_datetime: STRING,
         `sar:product_type`: STRING, `product:type`: STRING,
-        `sar:polarizations`: ARRAY<STRING>,
+        `sar:polarizations`: ARRAY<VARIANT>,
         `sar:resolution_range`: DOUBLE, `sar:pixel_spacing_range`: DOUBLE,
         `sar:resolution_azimuth`: DOUBLE, `sar:pixel_spacing_azimuth`: DOUBLE,
         platform: STRING, `sar:observation_direction`: STRING, `sat:orbit_state`: STRING,
@@ -46,8 +44,3 @@ RUN_MANIFEST = """
     artifacts ARRAY<STRUCT<artifact_id: STRING, role: STRING, kind: STRING,
                            relative_path: STRING, sha256: STRING, size_bytes: BIGINT>>
 """
-
-ASSESSMENT = """
-    seq BIGINT, request_id STRING, bundle_id STRING, candidate_id STRING,
-    disposition STRING, note STRING, supersedes_event_id STRING, created_at TIMESTAMP
-"""

@@ -5,24 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.operators.contracts import MAX_ARTIFACT_BYTES
 
-
-def scan_files(spark: SparkSession, root: str, pattern: str = "*", max_bytes: int = MAX_ARTIFACT_BYTES) -> DataFrame:
+def scan_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """``path, length, sha256, magic`` of every file below ``root``.
 
-    A file above ``max_bytes`` is listed with its size but its bytes are never loaded:
-    it breaks the artifact limit whatever it holds.
+    Sizes come from the listing and cost no read.  A file is hashed as one value, so one beyond 2 GiB,
+    which no artifact may reach, fails the task that asks for its checksum rather than passing unread.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    files = reader.load(root)
-    small = files.where(F.col("length") <= max_bytes).select(
+    return reader.load(root).select(
         "path", "length", F.sha2("content", 256).alias("sha256"), F.substring("content", 1, 8).alias("magic")
     )
-    large = files.where(F.col("length") > max_bytes).select(
-        "path", "length", F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("binary").alias("magic")
-    )
-    return small.unionByName(large)
 
 
 def relative_to(files: DataFrame, root: str) -> DataFrame:

@@ -61,9 +61,16 @@ def resolve_link(base: Column, href: Column) -> Column:
     return F.when((text != "") & joined.rlike(r"^https://[^/?#]+"), joined)
 
 
+def _no_coordinates(text: Column) -> Column:
+    """Missing, null, or lists with nothing in them; otherwise a geometry of any type counts."""
+    return ~F.coalesce(text.rlike("[0-9]"), F.lit(False))
+
+
 def normalise_items(documents: DataFrame) -> DataFrame:
     """Catalog items from ``source_url`` and JSON ``body``; faults in ``problem``.
 
+    Any geometry type with coordinates is an item; ``geometry`` keeps its JSON text, and ``footprint``
+    holds the rings of polygons only.  Polarizations that are not text are left out.
     Rows with a NULL ``problem`` are usable acquisitions; the others are the
     quarantine and become ``item_invalid`` warnings.
     """
@@ -81,11 +88,20 @@ def normalise_items(documents: DataFrame) -> DataFrame:
         F.col("_d.id").alias("item_id"),
         parse_time(when_text).alias("acquired_at"),
         box[0].alias("west"), box[1].alias("south"), box[2].alias("east"), box[3].alias("north"),
-        F.col("_d.geometry.type").alias("geometry_type"),
-        geo.drop_altitude(F.col("_d.geometry.coordinates")).alias("footprint"),
+        F.col("_d.geometry").alias("geometry"),
+        F.get_json_object("_d.geometry", "$.type").alias("geometry_type"),
+        geo.drop_altitude(
+            F.when(
+                F.get_json_object("_d.geometry", "$.type") == "Polygon",
+                F.from_json(F.get_json_object("_d.geometry", "$.coordinates"), "array<array<array<double>>>"),
+            )
+        ).alias("footprint"),
         first_text(p["sar:product_type"], p["product:type"]).alias("product_type"),
         F.coalesce(
-            F.filter(p["sar:polarizations"], lambda v: v.isNotNull()),
+            F.transform(
+                F.filter(p["sar:polarizations"], lambda v: F.schema_of_variant(v) == "STRING"),
+                lambda v: F.try_variant_get(v, "$", "string"),
+            ),
             F.array().cast("array<string>"),
         ).alias("polarizations"),
         rng.alias("resolution_range_m"), azm.alias("resolution_azimuth_m"),
@@ -102,7 +118,7 @@ def normalise_items(documents: DataFrame) -> DataFrame:
         F.size("_d.bbox").alias("_nbox"),
         (F.col("_unread") | F.col("_d").isNull()).alias("_unread"),
         p.isNull().alias("_noprops"), F.col("_d.geometry").isNull().alias("_nogeom"),
-        F.col("_d.geometry.coordinates").isNull().alias("_nocoord"),
+        _no_coordinates(F.get_json_object("_d.geometry", "$.coordinates")).alias("_nocoord"),
     )
     problem = (
         F.when(F.col("_unread"), "document is not an object")
@@ -190,6 +206,18 @@ def page_warnings(features: DataFrame) -> DataFrame:
     )
 
 
+def unread_pages(pages: DataFrame) -> DataFrame:
+    """Feature pages (``page_url``, ``body``) whose body is not an object with a list of features.
+
+    Nothing can be taken from them, so each is a warning instead of no rows.
+    """
+    features = F.get_json_object("body", "$.features")
+    return pages.where(~F.coalesce(features.startswith("["), F.lit(False))).select(
+        F.lit("page_unreadable").alias("code"), F.col("page_url").alias("source_url"),
+        F.lit("page has no list of features").alias("message"),
+    )
+
+
 def has_next_page(pages: DataFrame) -> DataFrame:
     links = F.from_json("body", schemas.FEATURE_PAGE)["links"]
     return pages.select(
@@ -219,6 +247,16 @@ def listing_objects(pages: DataFrame, bucket_url: str) -> DataFrame:
     )
 
 
+def listing_page_warnings(pages: DataFrame) -> DataFrame:
+    """Listing pages that cannot be read, or that are cut off without a token for the next page."""
+    read = pages.select("listing_url", "body", computed_once(F.from_xml("body", schemas.LISTING_PAGE)).alias("_p"))
+    whole = F.coalesce(F.rtrim("body").endswith("</ListBucketResult>"), F.lit(False))
+    cut = (F.lower("_p.IsTruncated") == "true") & (F.coalesce(F.trim("_p.NextContinuationToken"), F.lit("")) == "")
+    message = F.when(F.col("_p").isNull() | ~whole, "listing page cannot be read").when(cut, "truncated listing has no continuation token")
+    code = F.when(message == "listing page cannot be read", "listing_unreadable").otherwise("listing_truncated")
+    return read.where(message.isNotNull()).select(code.alias("code"), F.col("listing_url").alias("source_url"), message.alias("message"))
+
+
 def listing_warnings(objects: DataFrame) -> DataFrame:
     return objects.where(F.col("object_key").isNull()).select(
         F.lit("malformed_s3_object").alias("code"), F.col("listing_url").alias("source_url"),

@@ -175,3 +175,44 @@ def test_pair_evidence(spark):
         "before acquisition must precede after acquisition",
         "acquisition footprints do not have a polygonal intersection", "acquisition is unknown",
     ]
+
+
+def test_any_geometry_with_coordinates_is_an_item(spark):
+    def body(geometry, polarizations=("VV",)):
+        return json.dumps({
+            "id": "i", "bbox": [0, 0, 1, 1], "geometry": geometry, "assets": {}, "links": [],
+            "properties": {"datetime": "2025-01-01T00:00:00Z", "sar:polarizations": list(polarizations)},
+        })
+
+    ring = [[0, 0], [1, 0], [1, 1], [0, 0]]
+    docs = [
+        ("polygon", body({"type": "Polygon", "coordinates": [ring]}, ["VV", 3, None, {"a": 1}, "VH"])),
+        ("many", body({"type": "MultiPolygon", "coordinates": [[ring]]})), ("point", body({"type": "Point", "coordinates": [0.5, 0.5]})),
+        ("empty", body({"type": "Polygon", "coordinates": []})), ("hollow", body({"type": "Polygon", "coordinates": [[]]})),
+        ("untyped", body({"coordinates": [ring]})),
+    ]
+    rows = {r["source_url"]: r for r in scans.normalise_items(spark.createDataFrame(docs, "source_url string, body string")).collect()}
+    assert {k for k, r in rows.items() if r["problem"] is None} == {"polygon", "many", "point"}
+    assert rows["polygon"]["polarizations"] == ["VV", "VH"]
+    assert rows["polygon"]["footprint"] is not None and rows["many"]["footprint"] is None
+    assert json.loads(rows["point"]["geometry"]) == {"type": "Point", "coordinates": [0.5, 0.5]}
+
+
+def test_bad_pages_are_reported(spark):
+    key = "<Contents><Key>a</Key></Contents>"
+    pages = [
+        ("good", f"<ListBucketResult>{key}</ListBucketResult>"),
+        ("cut", f"<ListBucketResult>{key}<IsTruncated>true</IsTruncated></ListBucketResult>"),
+        ("more", f"<ListBucketResult>{key}<IsTruncated>true</IsTruncated><NextContinuationToken>t</NextContinuationToken></ListBucketResult>"),
+        ("broken", f"<ListBucketResult>{key}<Cont"), ("none", None),
+    ]
+    got = scans.listing_page_warnings(spark.createDataFrame(pages, "listing_url string, body string")).collect()
+    assert {r["source_url"]: r["code"] for r in got} == {"cut": "listing_truncated", "broken": "listing_unreadable", "none": "listing_unreadable"}
+    found = [("ok", '{"features": [], "links": []}'), ("list", "[]"), ("half", '{"features": ['), ("other", '{"features": {}}'), ("null", None)]
+    bad = scans.unread_pages(spark.createDataFrame(found, "page_url string, body string"))
+    assert {r["source_url"] for r in bad.collect()} == {"list", "half", "other", "null"}
+
+
+def test_sites_on_the_equator_have_one_key(spark):
+    boxes = spark.createDataFrame([(-0.1, 0.08, -0.1, 0.08), (-0.08, 0.1, -0.08, 0.1)], "south double, north double, west double, east double")
+    assert {r[0] for r in boxes.select(catalog.revisit_key()).collect()} == {"0.00,0.00"}

@@ -29,8 +29,26 @@ def test_artifact_files(spark, tmp_path):
         "ok": None, "fake": "signature does not match media type", "size": "file size changed", "sum": "file checksum changed",
         "gone": "file is missing", "here": "artifact marked missing is present", "away": None, "up": "path is unsafe",
     }
-    limited = {r["path"].split("/")[-1]: r["sha256"] for r in artifacts.scan_files(spark, str(root), max_bytes=5).collect()}
-    assert limited["ok.png"] is None and limited["size.txt"] == sha(b"abc")
+    unsummed = contracts.artifact_audit(declared.where("artifact_id = 'ok'").withColumn("sha256", F.lit(None).cast("string")), files)
+    assert {(r["artifact_id"], r["path"]): r["reason"] for r in unsummed.collect()} == {
+        ("ok", "ok.png"): "file checksum changed",
+        **{(None, name): "file is not declared" for name in ("fake.png", "size.txt", "sum.txt", "here.txt")},
+    }
+
+
+def test_parents_without_children_break_the_rules(spark):
+    bundles = spark.createDataFrame([("b",), ("empty",)], "bundle_id string")
+    roles = spark.createDataFrame([("b", "before", "x"), ("b", "after", "y")], "bundle_id string, role string, acquisition_id string")
+    assert [r["bundle_id"] for r in contracts.role_violations(bundles, roles).collect()] == ["empty"]
+    cases = spark.createDataFrame([(1,), (2,)], "case_id int")
+    acquisitions = spark.createDataFrame([(1, 0, "before", "a" * 64), (1, 1, "after", None)], "case_id int, position int, role string, checksum string")
+    seen = spark.createDataFrame([(1, "o", "k")], "case_id int, observation_id string, citation_id string")
+    residuals = spark.createDataFrame([(1, 0.1)] * 5, "case_id int, metres double")
+    got = contracts.case_violations(cases, acquisitions, seen, seen.select("case_id", "citation_id"), residuals)
+    assert sorted((r["case_id"], r["reason"]) for r in got.collect()) == [
+        (1, "checksum must be SHA-256"), (2, "acquisitions must be ordered before, then after"), (2, "citations must be a non-empty list"),
+        (2, "observations must be a non-empty list"), (2, "residuals must contain five controls"),
+    ]
 
 
 @pytest.mark.parametrize("path,safe", [("a/b.txt", True), ("/a", False), ("a//b", False), ("./a", False), ("a/../b", False), ("a\\b", False), ("s3://a", False)])

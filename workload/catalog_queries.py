@@ -350,7 +350,7 @@ def item_documents(t: Inputs) -> DataFrame:
             F.when(k % 37 == 0, "  ").otherwise(F.col("item_id")).alias("id"),
             F.when(k % 41 == 0, F.array(F.col("east"), F.col("south"), F.col("west"), F.col("north")))
             .otherwise(F.array(F.col("west"), F.col("south"), F.col("east"), F.col("north"))).alias("bbox"),
-            F.when(k % 43 != 0, F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))).alias("geometry"),
+            F.when(k % 43 != 0, F.struct(F.lit("Polygon").alias("type"), F.when(k % 59 == 0, F.array().cast("array<array<array<double>>>")).otherwise(F.array(ring)).alias("coordinates"))).alias("geometry"),
             properties.alias("properties"),
             F.create_map(
                 F.lit("main"), asset(F.concat(F.lit("../data/./"), F.col("item_id"), F.lit(".tif"))),
@@ -366,7 +366,8 @@ def item_documents(t: Inputs) -> DataFrame:
 
 _FAULT = """CASE WHEN k % 47 = 0 THEN 'document is not an object' WHEN k % 43 = 0 THEN 'item geometry is missing'
     WHEN k % 37 = 0 THEN 'item id is missing' WHEN k % 10 = 0 THEN 'item acquisition time is missing'
-    WHEN k % 41 = 0 THEN 'bbox must be an ordered WGS84 extent' END"""
+    WHEN k % 41 = 0 THEN 'bbox must be an ordered WGS84 extent'
+    WHEN k % 59 = 0 THEN 'geometry requires a type and non-empty coordinates' END"""
 _FAULTS = f"SELECT *, {_FAULT} AS problem FROM {{v_item}}"
 
 
@@ -488,6 +489,34 @@ def listing_faults(t: Inputs) -> DataFrame:
     return scans.listing_warnings(scans.listing_objects(_listing(t), "https://bucket.example.org/")).select("code", "source_url")
 
 
+@query(
+    "listing_page_faults",
+    """SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'listing_unreadable' ELSE 'listing_truncated' END AS code, concat('page-', CAST(o_orderkey AS STRING)) AS source_url
+       FROM {orders} WHERE o_orderkey % 7 = 0 OR (o_orderkey % 3 = 0 AND o_orderkey % 2 = 0)""",
+)
+def listing_page_faults(t: Inputs) -> DataFrame:
+    """A page per order: every seventh breaks off, every third is truncated, half of these without a token."""
+    k = F.col("o_orderkey")
+    token = F.when(k % 2 == 1, F.lit("<NextContinuationToken>t</NextContinuationToken>")).otherwise(F.lit("<NextContinuationToken/>"))
+    page = F.concat(
+        F.lit("<ListBucketResult><Contents><Key>a</Key></Contents>"),
+        F.when(k % 3 == 0, F.concat(F.lit("<IsTruncated>true</IsTruncated>"), token)).otherwise(F.lit("<IsTruncated>false</IsTruncated>")),
+        F.when(k % 7 == 0, F.lit("<Cont")).otherwise(F.lit("</ListBucketResult>")),
+    )
+    pages = t.orders.select(F.concat(F.lit("page-"), k.cast("string")).alias("listing_url"), page.alias("body"))
+    return scans.listing_page_warnings(pages).select("code", "source_url")
+
+
+@query(
+    "page_faults",
+    f"SELECT DISTINCT concat('https://search.example.org/', CAST(page_no AS STRING)) AS source_url FROM ({_PAGES}) p WHERE page_no % 5 = 0 OR page_no % 7 = 0",
+)
+def page_faults(t: Inputs) -> DataFrame:
+    """Search pages of which some break off and some hold no list."""
+    body = F.when(F.col("page_no") % 5 == 0, F.substring("body", 1, 9)).when(F.col("page_no") % 7 == 0, '{"features":{}}').otherwise(F.col("body"))
+    return scans.unread_pages(_pages(t).withColumn("body", body)).select("source_url")
+
+
 # --- traversal ----------------------------------------------------------------------
 
 _WALK = """/*recursive*/ walk(url, depth) AS (
