@@ -16,7 +16,6 @@ ship_by_value(__name__)
 
 LABEL_BLOCK = 256
 SMALL_OUTLINE = 50_000
-USUAL_MAXIMUM = 10_000  # largest candidate limit a run may declare
 
 
 PIECE_SCHEMA = "run_id string, row int, col int, piece bigint"
@@ -84,35 +83,26 @@ def label_components(mask: DataFrame, connectivity: int = 8, size: int = LABEL_B
     )
 
 
-def retain_components(labelled: DataFrame, policy: ChangePolicy) -> DataFrame:
-    """Components of at least the minimum size, numbered in scan order per run.
+def component_sizes(labelled: DataFrame, policy: ChangePolicy) -> DataFrame:
+    """``(run_id, root, pixel_count)`` of the components of at least the minimum size."""
+    sizes = labelled.groupBy("run_id", "root").agg(F.count(F.lit(1)).alias("pixel_count"))
+    return reliable_checkpoint(sizes.where(F.col("pixel_count") >= policy.minimum_pixels))
 
-    ``(run_id, root, pixel_count, label)``.  Too many candidates fail the job, which
-    bounds the numbering window; a policy without a usual maximum is ranked by a
-    range sort instead.
-    """
-    sizes = labelled.groupBy("run_id", "root").agg(F.count(F.lit(1)).alias("pixel_count")).where(
-        F.col("pixel_count") >= policy.minimum_pixels
-    )
-    sizes = reliable_checkpoint(sizes)
-    guard_candidates(sizes, policy.maximum_candidates)
-    if policy.maximum_candidates > USUAL_MAXIMUM:
-        return ranked(sizes, ["run_id"], ["root"], "label").withColumn("label", F.col("label").cast("int"))
-    order = Window.partitionBy("run_id").orderBy("root")
-    return sizes.withColumn("label", F.row_number().over(order))
 
+def crowded_runs(sizes: DataFrame, maximum: int) -> DataFrame:
+    """``(run_id, candidate_count)`` of runs with more components than a run may have."""
+    return sizes.groupBy("run_id").agg(F.count(F.lit(1)).alias("candidate_count")).where(F.col("candidate_count") > maximum)
 
-class TooManyCandidates(ValueError):
-    """A policy produced more candidates than its run allows."""
 
+def retain_components(labelled: DataFrame, policy: ChangePolicy) -> DataFrame:
+    """Components of at least the minimum size, numbered in scan order per run.
 
-def guard_candidates(components: DataFrame, maximum: int) -> None:
-    worst = components.groupBy("run_id").count().orderBy(F.desc("count"), "run_id").first()
-    if worst is not None and worst["count"] > maximum:
-        raise TooManyCandidates(
-            f"policy produced {worst['count']} candidates in run {worst['run_id']}, "
-            f"above the configured maximum of {maximum}"
-        )
+    ``(run_id, root, pixel_count, label)``.  A run with more than the policy's maximum is refused whole,
+    as ``crowded_runs`` reports, and the others stand.  Numbers come from a range sort.
+    """
+    sizes = component_sizes(labelled, policy)
+    sizes = sizes.join(crowded_runs(sizes, policy.maximum_candidates), "run_id", "left_anti")
+    return ranked(sizes, ["run_id"], ["root"], "label").withColumn("label", F.col("label").cast("int"))
 
 
 def candidate_cells(labelled: DataFrame, retained: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ class ChangeRun:
     retained: DataFrame
     candidates: DataFrame
     measures: DataFrame
+    crowded: DataFrame
 
     @property
     def funnel(self) -> DataFrame:
@@ -35,7 +36,8 @@ class ChangeRun:
         ).distinct()
         valid = self.cells.groupBy("run_id").agg(F.count_if("common_valid").alias("n"))
         none = valid.where("n = 0").select("run_id", F.lit("no common valid pixels after edge guard").alias("reason"))
-        return flat.unionByName(none)
+        many = self.crowded.select("run_id", F.lit("more candidates than the policy allows").alias("reason"))
+        return flat.unionByName(none).unionByName(many)
 
 
 def holds_every_cell(pixels: DataFrame, grids: DataFrame) -> bool:
@@ -69,6 +71,7 @@ def detect_changes(
     mask = cells.where("cleaned").select("run_id", "row", "col")
     labelled = reliable_checkpoint(regions.label_components(mask, policy.connectivity))
     retained = regions.retain_components(labelled, policy)
+    crowded = regions.crowded_runs(regions.component_sizes(labelled, policy), policy.maximum_candidates)
     candidates = reliable_checkpoint(regions.candidate_cells(labelled, retained))
     measures = regions.candidate_measures(candidates, cells.where("cleaned"), grids)
-    return ChangeRun(quality, cells, labelled, retained, candidates, measures)
+    return ChangeRun(quality, cells, labelled, retained, candidates, measures, crowded)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sightline.operators import raster, regions
 from sightline.operators.raster import ChangePolicy
-from sightline.operators.regions import TooManyCandidates
+from sightline.plans.change_run import detect_changes, holds_every_cell
 
 QUIET = dict(score_threshold=0.5, tolerance=0, opening=0, closing=0, minimum_pixels=4, maximum_candidates=20)
 
@@ -81,11 +81,35 @@ def test_diagonal(spark, connectivity, expected):
     assert kept.count() == expected
 
 
-def test_too_many_candidates_fail(spark):
+def test_a_run_with_too_many_candidates_is_refused(spark):
     before, after = np.zeros((16, 16)), np.zeros((16, 16))
     after[2, 2] = after[2, 12] = 100
-    with pytest.raises(TooManyCandidates):
-        candidates(spark, before, after, minimum_pixels=1, maximum_candidates=1)
+    _, labelled, kept = candidates(spark, before, after, minimum_pixels=1, maximum_candidates=1)
+    assert kept.count() == 0
+    sizes = regions.component_sizes(labelled, ChangePolicy(**{**QUIET, "minimum_pixels": 1}))
+    assert [r["candidate_count"] for r in regions.crowded_runs(sizes, 1).collect()] == [2]
+    assert regions.crowded_runs(sizes, 2).count() == 0
+
+
+def test_a_constant_raster_does_not_stop_the_table(spark):
+    rng = np.random.default_rng(0)
+    rasters = {"flat": (np.full((12, 12), 5.0), rng.random((12, 12))), "good": (rng.random((12, 12)), rng.random((12, 12)))}
+    rows = [(run, role, r, c, float(side[r, c])) for run, pair in rasters.items() for role, side in zip(("before", "after"), pair) for r in range(12) for c in range(12)]
+    pixels = spark.createDataFrame(rows, "run_id string, role string, row int, col int, value double")
+    grids = spark.createDataFrame([(run, 12, 12, 1.0, 0.0, 12.0) for run in rasters], "run_id string, width int, height int, resolution double, minx double, maxy double")
+    run = detect_changes(pixels, grids, ChangePolicy(**QUIET), dense=True)
+    assert {(r["run_id"], r["reason"]) for r in run.violations.collect()} == {
+        ("flat", "raster has no usable normalization range"), ("flat", "no common valid pixels after edge guard")
+    }
+    assert run.cells.where("run_id = 'good' AND common_valid").count() == 144
+
+
+def test_missing_lines_are_noticed(spark):
+    grids = spark.createDataFrame([("r", 6, 6)], "run_id string, width int, height int")
+    rows = [("r", role, r, c, 1.0) for role in ("before", "after") for r in range(6) for c in range(6)]
+    whole = spark.createDataFrame(rows, "run_id string, role string, row int, col int, value double")
+    assert holds_every_cell(whole, grids)
+    assert not holds_every_cell(whole.where("row <> 3"), grids)
 
 
 def shifted(a, dr, dc, fill):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +15,12 @@ from sightline.plans.change_run import detect_changes, normalised_cells
 from sightline.session import reliable_checkpoint
 from workload.registry import Inputs, query
 
+# Policies without clean-up keep the SQL twins of labels and outlines small; FULL runs every step.
 R6 = lambda c: F.bround(c, 6)
-SHARP = ChangePolicy(score_threshold=0.5, tolerance=0, opening=0, closing=0, minimum_pixels=4, maximum_candidates=10**9)
-LOOSE = ChangePolicy(score_threshold=0.2, tolerance=1, opening=0, closing=0, minimum_pixels=1, maximum_candidates=10**9)
+SHARP = ChangePolicy(score_threshold=0.5, tolerance=0, opening=0, closing=0, minimum_pixels=4, maximum_candidates=10_000)
+LOOSE = ChangePolicy(score_threshold=0.2, tolerance=1, opening=0, closing=0, minimum_pixels=1, maximum_candidates=10_000)
+
+FULL = ChangePolicy(score_threshold=0.05, tolerance=1, opening=1, closing=1, minimum_pixels=1, maximum_candidates=10_000)
 
 
 def pixels(t: Inputs) -> DataFrame:
@@ -229,6 +234,30 @@ def run_funnel(t: Inputs) -> DataFrame:
     return detect_changes(pixels(t), t.v_grid, SHARP).funnel
 
 
+_FULL = f"""{_SCORE1}, flag0 AS (SELECT run_id, r, c, coalesce(score >= 0.05e0, false) AS f FROM score1),
+    {_square('e1', 'flag0', 'f', 1, _ALL9)}, {_square('d1', 'e1', 'f', 1, _ANY)}, {_square('d2', 'd1', 'f', 1, _ANY)}, {_square('e2', 'd2', 'f', 1, _ALL9)}"""
+
+
+@query(
+    "policy_funnel",
+    f"""WITH {_FULL} SELECT s.run_id, count(*) FILTER (WHERE common_valid) AS common_valid_pixel_count, count(*) FILTER (WHERE z.f) AS threshold_pixel_count,
+        count(*) FILTER (WHERE e.f AND common_valid) AS cleaned_pixel_count
+        FROM score1 s JOIN flag0 z ON z.run_id = s.run_id AND z.r = s.r AND z.c = s.c JOIN e2 e ON e.run_id = s.run_id AND e.r = s.r AND e.c = s.c GROUP BY s.run_id""",
+)
+def policy_funnel(t: Inputs) -> DataFrame:
+    """Pixels left after tolerance, opening and closing."""
+    return detect_changes(pixels(t), t.v_grid, FULL).funnel.select(
+        "run_id", "common_valid_pixel_count", "threshold_pixel_count", "cleaned_pixel_count"
+    )
+
+
+@query("crowded_runs", f"WITH {_KEPT} SELECT run_id, count(*) AS candidate_count FROM kept GROUP BY run_id HAVING count(*) > 2")
+def crowded_runs(t: Inputs) -> DataFrame:
+    """Runs with more candidates than a policy of two allows."""
+    run = detect_changes(pixels(t), t.v_grid, replace(SHARP, maximum_candidates=2))
+    return run.crowded
+
+
 @query("outline_areas", f"WITH {_KEPT} SELECT run_id, label, count(*) * 4e0 AS outline_area FROM cand GROUP BY run_id, label")
 def outline_areas(t: Inputs) -> DataFrame:
     """Area inside every candidate's rings, holes taken off."""
