@@ -5,6 +5,8 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -58,13 +60,26 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard_tables(spark: SparkSession) -> int:
-    """Delete the tables this process has written so far; their readers must be done.  Returns how many."""
+@contextmanager
+def tables_written() -> Iterator[list[str]]:
+    """Collects the paths of the tables that ``reliable_checkpoint`` writes inside the block."""
+    start, paths = len(_WRITTEN), []
+    yield paths
+    paths.extend(_WRITTEN[start:])
+
+
+def discard_tables(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete the given written tables, or all that this process wrote; their readers must be done.
+
+    Returns how many there were.
+    """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     done = 0
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    for name in list(_WRITTEN if paths is None else paths):
+        path = jvm.org.apache.hadoop.fs.Path(name)
         done += bool(path.getFileSystem(conf).delete(path, True))
+        if name in _WRITTEN:
+            _WRITTEN.remove(name)
     return done
 
 
