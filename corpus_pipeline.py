@@ -6,6 +6,9 @@ last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,30 +18,51 @@ from sightline.llm.queries import WORDS, labelled_notes
 from sightline.llm.repeats import without_repeats
 from sightline.llm.simhash import one_per_group
 from sightline.llm.toxicity import fit_toxicity, toxicity_scores
-from sightline.session import reliable_checkpoint, tune
+from sightline.session import checkpoint_folder, discard_tables, tables_written, tune
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+#: Tables in the shared folder that the stage before wrote while it was put together.
+_LEFT: list[str] = []
+
+
+def stage(work):
+    """A stage that first deletes the working tables of the one before, whose result has been written by then."""
+
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        tune(spark)
+        discard_tables(spark, _LEFT)
+        _LEFT.clear()
+        with tables_written() as written:
+            kept = work(spark, docs, sf_dir.rstrip("/"))
+        _LEFT.extend(written)
+        return kept
+
+    return run_stage
+
+
 #: No SQL twin: trained scores, fingerprint links, tokens and packing are beyond SQL; see tests/llm.
 ORACLE_SQL = None
 
 
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model trained on ``labels`` calls toxic go; those without letters stay."""
     notes = docs.select(F.col("doc_id").alias("event_id"), F.col("text").alias("note"))
-    model = fit_toxicity(labelled_notes(notes, tune(spark), sf_dir))
+    model = fit_toxicity(labelled_notes(notes, spark, sf_dir))
     return toxicity_scores(docs, model, "text").where("score < 0.5").select("row.*").select(*COLUMNS)
 
 
+@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that with the least ``doc_id``."""
-    tune(spark)
     return one_per_group(docs, "doc_id", "text").select(*COLUMNS)
 
 
+@stage
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes under repeated 200-byte strings go from the texts; a character that loses a byte goes whole."""
-    tune(spark)
     cut = without_repeats(docs, "doc_id", "text")
     text = F.when(F.col("n_removed") > 0, F.col("text")).otherwise(F.col("row.text"))
     kept = cut.withColumn("text", valid_text(F.col("kept"))).withColumn("text", text)
@@ -53,17 +77,17 @@ def valid_text(data):
     return F.regexp_replace(F.make_valid_utf8(data.cast("string")), "�", "")
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole passes over documents so that sources meet their targets, in the order of the curriculum."""
-    tune(spark)
     return curriculum(docs, F.regexp_count("text", F.lit(WORDS)), "doc_id", "source").select(*COLUMNS)
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces in sequences of at most 2048 tokens."""
     import public_tokenizers
 
-    tune(spark)
     return packed(token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), "doc_id", "text"))
 
 
@@ -79,8 +103,11 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir.rstrip("/"))
-        if name != STAGES[-1][0]:
-            docs = reliable_checkpoint(docs)
-    return docs
+    folder, before = f"{checkpoint_folder(spark)}/corpus-{uuid.uuid4().hex}", None
+    for name, work in STAGES[:-1]:
+        work(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            discard_tables(spark, [before])
+        before = f"{folder}/{name}"
+    return STAGES[-1][1](spark, docs, sf_dir)
