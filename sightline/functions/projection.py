@@ -60,38 +60,59 @@ def _zone(epsg: int) -> tuple[float, float]:
     raise ValueError(f"unsupported projection EPSG:{epsg}")
 
 
-def lonlat_to_utm(lon: Column, lat: Column, epsg: int) -> Column:
-    meridian, false_northing = _zone(epsg)
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, as a lambda variable."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def lonlat_to_utm(lon: Column, lat: Column, epsg: int | Column) -> Column:
+    meridian, false_northing = _zone_columns(epsg) if isinstance(epsg, Column) else _zone(epsg)
     phi, lam = F.radians(lat), F.radians(lon - meridian)
-    t = F.sinh(F.atanh(F.sin(phi)) - _ECC * F.atanh(_ECC * F.sin(phi)))
-    xi = F.atan2(t, F.cos(lam))
-    eta = F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
-    east, north = eta, xi
-    for j, a in enumerate(_ALPHA, start=1):
-        east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return F.struct(
-        (FALSE_EASTING + UTM_SCALE * _RECTIFYING * east).alias("x"),
-        (false_northing + UTM_SCALE * _RECTIFYING * north).alias("y"),
+    conformal = F.struct(F.sinh(F.atanh(F.sin(phi)) - _ECC * F.atanh(_ECC * F.sin(phi))).alias("t"), lam.alias("lam"))
+
+    def angles(p: Column) -> Column:
+        return F.struct(
+            F.atan2(p["t"], F.cos(p["lam"])).alias("xi"), F.atanh(F.sin(p["lam"]) / F.sqrt(1 + p["t"] * p["t"])).alias("eta")
+        )
+
+    def placed(p: Column) -> Column:
+        east, north = p["eta"], p["xi"]
+        for j, a in enumerate(_ALPHA, start=1):
+            east = east + a * F.cos(2 * j * p["xi"]) * F.sinh(2 * j * p["eta"])
+            north = north + a * F.sin(2 * j * p["xi"]) * F.cosh(2 * j * p["eta"])
+        return F.struct(
+            (FALSE_EASTING + UTM_SCALE * _RECTIFYING * east).alias("x"),
+            (false_northing + UTM_SCALE * _RECTIFYING * north).alias("y"),
+        )
+
+    return _let(_let(conformal, angles), placed)
+
+
+def utm_to_lonlat(x: Column, y: Column, epsg: int | Column) -> Column:
+    meridian, false_northing = _zone_columns(epsg) if isinstance(epsg, Column) else _zone(epsg)
+    given = F.struct(
+        ((y - false_northing) / (UTM_SCALE * _RECTIFYING)).alias("xi"), ((x - FALSE_EASTING) / (UTM_SCALE * _RECTIFYING)).alias("eta")
     )
 
+    def angles(p: Column) -> Column:
+        xi, eta = p["xi"], p["eta"]
+        for j, b in enumerate(_BETA, start=1):
+            xi = xi - b * F.sin(2 * j * p["xi"]) * F.cosh(2 * j * p["eta"])
+            eta = eta - b * F.cos(2 * j * p["xi"]) * F.sinh(2 * j * p["eta"])
+        return F.struct(xi.alias("xi"), eta.alias("eta"))
 
-def utm_to_lonlat(x: Column, y: Column, epsg: int) -> Column:
-    meridian, false_northing = _zone(epsg)
-    xi0 = (y - false_northing) / (UTM_SCALE * _RECTIFYING)
-    eta0 = (x - FALSE_EASTING) / (UTM_SCALE * _RECTIFYING)
-    xi, eta = xi0, eta0
-    for j, b in enumerate(_BETA, start=1):
-        xi = xi - b * F.sin(2 * j * xi0) * F.cosh(2 * j * eta0)
-        eta = eta - b * F.cos(2 * j * xi0) * F.sinh(2 * j * eta0)
-    chi = F.asin(F.sin(xi) / F.cosh(eta))
-    phi = chi
-    for j, d in enumerate(_DELTA, start=1):
-        phi = phi + d * F.sin(2 * j * chi)
-    return F.struct(
-        (meridian + F.degrees(F.atan2(F.sinh(eta), F.cos(xi)))).alias("x"),
-        F.degrees(phi).alias("y"),
-    )
+    def conformal(p: Column) -> Column:
+        return F.struct(
+            F.asin(F.sin(p["xi"]) / F.cosh(p["eta"])).alias("chi"), F.atan2(F.sinh(p["eta"]), F.cos(p["xi"])).alias("lam")
+        )
+
+    def placed(p: Column) -> Column:
+        phi = p["chi"]
+        for j, d in enumerate(_DELTA, start=1):
+            phi = phi + d * F.sin(2 * j * p["chi"])
+        return F.struct((meridian + F.degrees(p["lam"])).alias("x"), F.degrees(phi).alias("y"))
+
+    return _let(_let(_let(given, angles), conformal), placed)
 
 
 def project(x: Column, y: Column, source: str, target: str) -> Column:
@@ -108,6 +129,36 @@ def project(x: Column, y: Column, source: str, target: str) -> Column:
     return lonlat_to_mercator(x, y) if code == 3857 else lonlat_to_utm(x, y, code)
 
 
+def _zone_columns(code: Column) -> tuple[Column, Column]:
+    """Central meridian and false northing of UTM codes 326zz and 327zz in a column."""
+    zone = code % 100
+    return (zone * 6 - 183).cast("double"), F.when(code >= 32700, F.lit(10_000_000.0)).otherwise(F.lit(0.0))
+
+
+def project_by(x: Column, y: Column, source: Column, target: Column) -> Column:
+    """``project`` between systems that differ by row; NULL where one is not supported."""
+    def code(name: Column) -> Column:
+        return F.regexp_extract(name, r"^EPSG:(\d+)$", 1).try_cast("int")
+
+    def is_utm(epsg: Column) -> Column:
+        return (epsg % 100).between(1, 60) & F.floor(epsg / 100).isin(326, 327)
+
+    given, wanted = code(source), code(target)
+    same = F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    lonlat = (
+        F.when(given == 4326, same).when(given == 3857, mercator_to_lonlat(x, y))
+        .when(is_utm(given), utm_to_lonlat(x, y, given))
+    )
+
+    def onward(p: Column) -> Column:
+        return (
+            F.when(wanted == 4326, p).when(wanted == 3857, lonlat_to_mercator(p["x"], p["y"]))
+            .when(is_utm(wanted), lonlat_to_utm(p["x"], p["y"], wanted))
+        )
+
+    return F.when(source == target, same).otherwise(_let(lonlat, onward))
+
+
 def project_ring(ring: Column, source: str, target: str) -> Column:
     return F.transform(ring, lambda p: project(p["x"], p["y"], source, target))
 

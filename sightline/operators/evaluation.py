@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.functions.projection import project_ring
+from sightline.functions.projection import project_by
 from sightline.functions.scalars import rate
 from sightline.operators.matching import match_regions
 from sightline.operators.raster import rasterize, ring_to_pixels
@@ -20,19 +20,19 @@ FAILURE_CLASSES = (
 def pixel_polygons(shapes: DataFrame, cases: DataFrame, keys: list[str]) -> DataFrame:
     """Shapes of a case in pixel units of its grid, ready to rasterize.
 
-    ``shapes(case_id, …, rings)``; ``cases(case_id, width, height, transform)``.
+    ``shapes(case_id, …, rings)``; ``cases(case_id, width, height, transform)``.  With ``geometry_crs`` and
+    ``grid_crs`` among the cases' columns, geometry moves from the one to the other first, case by case.
     """
-    g = cases.select("case_id", "width", "height", "transform")
+    systems = [c for c in ("geometry_crs", "grid_crs") if c in cases.columns]
+    g = cases.select("case_id", "width", "height", "transform", *systems)
+    rings = F.col("rings")
+    if len(systems) == 2:
+        rings = F.transform(rings, lambda r: F.transform(r, lambda p: project_by(p["x"], p["y"], F.col("geometry_crs"), F.col("grid_crs"))))
     return shapes.join(g, "case_id").select(
-        *keys, "width", "height",
-        F.transform("rings", lambda r: ring_to_pixels(r, F.col("transform"))).alias("rings"),
+        *keys, "width", "height", F.transform(rings, lambda r: ring_to_pixels(r, F.col("transform"))).alias("rings"),
     )
 
 
-def to_grid_crs(shapes: DataFrame, source: str, target: str) -> DataFrame:
-    return shapes.withColumn("rings", F.transform("rings", lambda r: project_ring(r, source, target)))
-
-
 def evaluated_cells(cases: DataFrame) -> DataFrame:
     """Cells inside each case's evaluation geometry."""
     shapes = cases.select("case_id", F.col("evaluation_rings").alias("rings"))
@@ -63,10 +63,6 @@ def overlaps(predicted: DataFrame, expected: DataFrame) -> DataFrame:
     )
 
 
-def mask_union(cells: DataFrame) -> DataFrame:
-    return cells.select("case_id", "row", "col").distinct()
-
-
 def pixel_counts(evaluated: DataFrame, predicted: DataFrame, expected: DataFrame) -> DataFrame:
     """TP/FP/FN/TN cells per case from one grouped pass over the three masks."""
     def flagged(df: DataFrame, e: bool, p: bool, x: bool) -> DataFrame:
@@ -94,6 +90,20 @@ COUNTS = (
 )
 
 
+def region_faults(cases: DataFrame, regions: DataFrame, predictions: DataFrame) -> DataFrame:
+    """``(case_id, subject, reason)``: what must not enter a report.
+
+    Candidate ids that repeat within a case, and reference regions without a pixel in the evaluated area.
+    """
+    evaluated = reliable_checkpoint(evaluated_cells(cases))
+    held = clipped_cells(regions, cases, evaluated, "reference").select("case_id", "reference").distinct()
+    hollow = regions.join(held, ["case_id", "reference"], "left_anti")
+    twice = duplicates(predictions, ["case_id", "id"])
+    return hollow.select(
+        "case_id", F.col("reference").cast("string").alias("subject"), F.lit("reference region covers no evaluated pixel").alias("reason")
+    ).unionByName(twice.select("case_id", F.col("id").alias("subject"), F.lit("candidate IDs must be unique within a case").alias("reason")))
+
+
 def case_counts(
     cases: DataFrame, regions: DataFrame, predictions: DataFrame, annotations: DataFrame,
     threshold: float = 0.5,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sightline.functions.projection import utm_to_lonlat
 from sightline.operators import evaluation, matching
 from workload.registry import Inputs, query
 
@@ -71,6 +72,41 @@ def region_overlaps(t: Inputs) -> DataFrame:
     return evaluation.overlaps(predicted, expected).withColumn("iou", R6("iou"))
 
 
+def _on_earth(df: DataFrame, column: str) -> DataFrame:
+    """Rings of pixel units placed on a 2 m grid of zone 12 and written as longitudes and latitudes."""
+    return df.withColumn(
+        column,
+        F.transform(column, lambda r: F.transform(r, lambda p: utm_to_lonlat(400000 + 2 * p["x"], 4480000 + 2 * p["y"], 32612))),
+    )
+
+
+@query("lonlat_overlaps", f"WITH {_IOU} SELECT CAST(case_id AS STRING) AS case_id, prediction, reference, CAST(intersection AS BIGINT) AS intersection, CAST(union_area AS BIGINT) AS union_area, round_even(iou, 6) AS iou FROM overlap")
+def lonlat_overlaps(t: Inputs) -> DataFrame:
+    """The overlaps when all geometry is in degrees and the grids are in metres."""
+    transform = F.array(*[F.lit(v) for v in (2.0, 0.0, 400000.0, 0.0, -2.0, 4480000.0)])
+    cs = _on_earth(cases(t), "evaluation_rings").withColumns(
+        {"transform": transform, "geometry_crs": F.lit("EPSG:4326"), "grid_crs": F.lit("EPSG:32612")}
+    )
+    evaluated = evaluation.evaluated_cells(cs)
+    expected = evaluation.clipped_cells(_on_earth(references(t), "rings"), cs, evaluated, "reference")
+    predicted = evaluation.clipped_cells(_on_earth(predictions(t), "rings"), cs, evaluated, "prediction")
+    return evaluation.overlaps(predicted, expected).withColumn("iou", R6("iou"))
+
+
+@query(
+    "region_faults",
+    f"""SELECT CAST(case_id AS STRING) AS case_id, CAST(reference AS STRING) AS subject, 'reference region covers no evaluated pixel' AS reason
+        FROM (SELECT case_id, reference, x0 + CASE WHEN reference % 7 = 0 THEN 62 ELSE 0 END AS x0, y0, w, h FROM {{v_ref}}) r WHERE {_AREA.format(a='r')} <= 0
+        UNION ALL SELECT CAST(case_id AS STRING), id, 'candidate IDs must be unique within a case' FROM
+          (SELECT case_id, CASE WHEN prediction % 10 = 1 THEN concat('cand-', CAST(prediction - 1 AS STRING)) ELSE id END AS id FROM {{v_pred}}) p GROUP BY case_id, id HAVING count(*) > 1""",
+)
+def region_faults(t: Inputs) -> DataFrame:
+    """Every seventh region moved off the evaluated area, every tenth id used again."""
+    away = t.v_ref.withColumn("x0", F.col("x0") + F.when(F.col("reference") % 7 == 0, 62).otherwise(0))
+    again = F.when(F.col("prediction") % 10 == 1, F.concat(F.lit("cand-"), (F.col("prediction") - 1).cast("string"))).otherwise(F.col("id"))
+    return evaluation.region_faults(cases(t), _shapes(away, "reference"), predictions(t).withColumn("id", again))
+
+
 def _counts(t: Inputs):
     return evaluation.case_counts(cases(t), references(t), predictions(t), annotations(t))
 
