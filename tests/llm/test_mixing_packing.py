@@ -56,6 +56,14 @@ def test_mixing_meets_its_targets(spark, items):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_targets_of_equal_sources(spark):
+    sizes = {"a": 10, "b": 10, "c": 10, "d": 10, "e": 10, "f": 10, "g": 500, "h": 10}
+    rows = spark.createDataFrame(list(sizes.items()), "provider STRING, source_size BIGINT")
+    got = {r["provider"]: r["target"] for r in source_targets(rows).collect()}
+    want = targets(sizes, {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(sizes))})
+    assert got == pytest.approx(want) and sum(got.values()) == pytest.approx(570)
+
+
 def test_positions_follow_the_schedules(spark, items):
     got = mixing_plan(spark.createDataFrame(items, ITEMS), F.col("words")).collect()
     early = [p for r in got if r["provider"] == "a" for p in r["positions"]]
