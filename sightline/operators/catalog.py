@@ -96,36 +96,43 @@ def search(acquisitions: DataFrame, request: SearchRequest, offset: int = 0) ->
 # --- many requests at once -------------------------------------------------------
 
 BASE_CELL = 1.0
-LEVELS = range(10)
 BUCKET_DAYS = 30
+#: Cell and bucket sizes grow by this power of two from one level to the next.
+STEP = 2
 
 
 def _cells(low: Column, high: Column, size: Column) -> Column:
     return F.explode(F.sequence(F.floor(low / size), F.floor(high / size)))
 
 
-def _bucket(t: Column) -> Column:
-    return F.floor(F.unix_date(t.cast("date")) / BUCKET_DAYS)
+def _level(extent: Column, unit: float) -> Column:
+    """The first level whose size, ``unit * 2 ** (STEP * level)``, is at least the extent."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(1e-9)) / unit) / STEP)).cast("int")
 
 
-def match_requests(acquisitions: DataFrame, requests: DataFrame) -> DataFrame:
-    """Every (request, acquisition) match for a table of requests.
+def _size(level: Column, unit: float) -> Column:
+    return F.lit(unit) * F.pow(F.lit(2.0), STEP * level)
+
+
+def _days(t: Column) -> Column:
+    return F.unix_date(t.cast("date"))
+
+
+def _span(prefix: str = "") -> Column:
+    west, south, east, north = (F.col(prefix + c) for c in ("west", "south", "east", "north"))
+    return F.greatest(east - west, north - south)
+
 
-    Boxes meet in a grid hierarchy: an acquisition is filed once at the level
-    whose cell is at least its own size (so in four cells at most), a request in
-    the cells it covers at every level.  Month buckets join the key, so a site with
-    a very long history spreads over many keys.  A pair is kept only in the cell
-    holding the corner (max west, max south): no duplicates, no distinct.
+def _present(df: DataFrame, *columns: str) -> list[tuple]:
+    """Distinct levels; there are as many as sizes have powers of two, whatever the rows."""
+    return sorted(tuple(r) for r in df.select(*columns).distinct().collect())
+
+
+def filed_requests(requests: DataFrame, item_levels: list[int]) -> DataFrame:
+    """Requests in the cells and buckets of their own size, and in those of larger acquisitions.
+
+    That is at most four cells and two buckets a level, for a request of any extent and duration.
     """
-    extent = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south"))
-    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(1e-9)) / BASE_CELL))).cast("int")
-    filed = (
-        acquisitions.withColumn("_level", level)
-        .withColumn("_cell", F.lit(BASE_CELL) * F.pow(F.lit(2.0), F.col("_level")))
-        .withColumn("_bucket", _bucket(F.col("acquired_at")))
-        .withColumn("_cx", _cells(F.col("west"), F.col("east"), F.col("_cell")))
-        .withColumn("_cy", _cells(F.col("south"), F.col("north"), F.col("_cell")))
-    )
     asked = requests.select(
         "request_id",
         F.col("west").alias("r_west"), F.col("south").alias("r_south"),
@@ -134,19 +141,56 @@ def match_requests(acquisitions: DataFrame, requests: DataFrame) -> DataFrame:
         F.col("providers").alias("r_providers"), F.col("product_types").alias("r_products"),
         F.col("polarizations").alias("r_polarizations"), F.col("max_resolution_m").alias("r_max"),
     )
-    asked = (
-        asked.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in LEVELS])))
-        .withColumn("_rcell", F.lit(BASE_CELL) * F.pow(F.lit(2.0), F.col("_level")))
-        .withColumn("_cx", _cells(F.col("r_west"), F.col("r_east"), F.col("_rcell")))
-        .withColumn("_cy", _cells(F.col("r_south"), F.col("r_north"), F.col("_rcell")))
-        .withColumn("_bucket", F.explode(F.sequence(_bucket(F.col("r_start")), _bucket(F.col("r_end")))))
-        .drop("_rcell")
+    levels = F.array(*[F.lit(v).cast("int") for v in item_levels]) if item_levels else F.array().cast("array<int>")
+    asked = asked.withColumn("_own", _level(_span("r_"), BASE_CELL)).withColumn(
+        "_tlevel", _level((_days(F.col("r_end")) - _days(F.col("r_start")) + 1).cast("double"), float(BUCKET_DAYS))
     )
+    asked = asked.withColumn(
+        "_level", F.explode(F.array_union(F.array("_own"), F.filter(levels, lambda v: v > F.col("_own"))))
+    )
+    bucket = _size(F.col("_tlevel"), float(BUCKET_DAYS))
+    cell = _size(F.col("_level"), BASE_CELL)
+    return (
+        asked.withColumn("_cx", _cells(F.col("r_west"), F.col("r_east"), cell))
+        .withColumn("_cy", _cells(F.col("r_south"), F.col("r_north"), cell))
+        .withColumn("_bucket", _cells(_days(F.col("r_start")), _days(F.col("r_end")), bucket))
+    )
+
+
+def match_requests(acquisitions: DataFrame, requests: DataFrame) -> DataFrame:
+    """Every (request, acquisition) match for a table of requests.
+
+    Boxes meet in a grid hierarchy at the larger of their two levels: each is filed at its own level, and
+    the smaller at those levels of the other table that occur.  Times meet in buckets as long as the
+    request.  So neither a wide request nor a wide acquisition is spelled out cell by cell, and a site
+    with a very long history spreads over many keys.  A pair is kept only in the cell holding the corner
+    (max west, max south): no duplicates, no distinct.
+    """
+    sized = acquisitions.withColumn("_own", _level(_span(), BASE_CELL))
+    item_levels = [v for (v,) in _present(sized, "_own")]
+    asked = filed_requests(requests, item_levels)
+    pairs = _present(asked.select("_own", "_tlevel"), "_own", "_tlevel")
+    meet = F.array(*[F.struct(F.greatest("_own", F.lit(a)).alias("level"), F.lit(t).alias("tlevel")) for a, t in pairs])
+    if not pairs:
+        meet = F.array().cast("array<struct<level: int, tlevel: int>>")
+    filed = (
+        sized.withColumn("_at", F.explode(F.array_distinct(meet)))
+        .withColumn("_level", F.col("_at.level")).withColumn("_tlevel", F.col("_at.tlevel"))
+        .withColumn("_cell", _size(F.col("_level"), BASE_CELL))
+        .withColumn("_bucket", F.floor(_days(F.col("acquired_at")) / _size(F.col("_tlevel"), float(BUCKET_DAYS))))
+        .withColumn("_cx", _cells(F.col("west"), F.col("east"), F.col("_cell")))
+        .withColumn("_cy", _cells(F.col("south"), F.col("north"), F.col("_cell")))
+        .drop("_at", "_own")
+    )
+    # A request filed above its own level waits for acquisitions of that very level only.
+    filed = filed.withColumn("_item", _level(_span(), BASE_CELL))
+    asked = asked.withColumnRenamed("_own", "_asked")
     home_x = F.floor(F.greatest("west", "r_west") / F.col("_cell")) == F.col("_cx")
     home_y = F.floor(F.greatest("south", "r_south") / F.col("_cell")) == F.col("_cy")
     absent = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
-    kept = filed.join(asked, ["_level", "_cx", "_cy", "_bucket"]).where(
-        box_intersects(
+    kept = filed.join(asked, ["_level", "_tlevel", "_cx", "_cy", "_bucket"]).where(
+        (F.col("_level") == F.greatest("_item", "_asked"))
+        & box_intersects(
             F.col("west"), F.col("south"), F.col("east"), F.col("north"),
             F.col("r_west"), F.col("r_south"), F.col("r_east"), F.col("r_north"),
         )

@@ -77,6 +77,16 @@ def test_request_join_equals_brute_force(spark):
     assert want and got == want
 
 
+def test_a_request_for_the_whole_globe_adds_few_rows(spark):
+    schema = "request_id int, west double, south double, east double, north double, start_at timestamp, end_at timestamp, providers array<string>, product_types array<string>, polarizations array<string>, max_resolution_m double"
+    globe = (1, -180.0, -90.0, 180.0, 90.0, dt.datetime(2015, 1, 1), dt.datetime(2025, 12, 31), [], [], [], None)
+    asks = spark.createDataFrame([globe], schema)
+    assert catalog.filed_requests(asks, [0, 1, 2, 3, 4, 5]).count() < 100
+    items = spark.createDataFrame([item("a"), item("wide", box=(-180, -90, 180, 90)), item("b", box=(170, 80, 171, 81))], ITEM)
+    assert {r["item_id"] for r in catalog.match_requests(items, asks).collect()} == {"a", "wide", "b"}
+    assert catalog.match_requests(items, asks.limit(0)).count() == 0 and catalog.match_requests(items.limit(0), asks).count() == 0
+
+
 def test_provider_status(spark):
     requested = spark.createDataFrame([("a", True), ("b", True), ("c", False), ("d", True), ("e", True)], "provider string, configured boolean")
     results = spark.createDataFrame([("a",), ("a",), ("b",), ("d",)], "provider string")
