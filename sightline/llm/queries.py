@@ -60,6 +60,33 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return plan.select(F.col("observation_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+ORACLES["op6_mixing"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    md5(CAST(doc_id AS VARCHAR)) AS place FROM documents
+), totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM totals
+), placed AS (SELECT *, row_number() OVER (ORDER BY source_size * 3e0 / weight, source NULLS LAST) AS spot FROM weighed
+), shared AS (
+  SELECT *, source_size * 3e0 / weight AS ratio,
+    CAST(sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (ORDER BY spot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+      / CAST(sum(weight) OVER (ORDER BY spot ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS share
+  FROM placed
+), aimed AS (
+  SELECT source, source_size, CASE WHEN source_size > 0 THEN
+    least(source_size * 3e0, (SELECT arg_min(share, spot) FROM shared WHERE ratio >= share) * weight) ELSE 0e0 END AS target
+  FROM shared
+), ordered AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY place NULLS FIRST, doc_id NULLS FIRST, size
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sized
+)
+SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE
+  CAST(greatest(least(floor((2 * target - CAST(2 * before + size AS DOUBLE)) / CAST(2 * source_size AS DOUBLE)) + 1, 3), 0) AS BIGINT) * size END AS taken
+FROM ordered o JOIN aimed a ON o.source IS NOT DISTINCT FROM a.source
+"""
+
+
 @query
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
@@ -73,9 +100,13 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def labelled_notes(notes: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
-    """The notes that ``labels`` covers, with its mark; several marks of a note count as the highest."""
+    """The notes that ``labels`` covers, with its mark; several marks of a note count as the highest.
+
+    A merge join at any size: with small labels Spark would broadcast them, and what the step needs would
+    jump when they outgrow the threshold.
+    """
     marks = table(spark, folder, "labels").where("toxic IS NOT NULL").groupBy(F.col("doc_id").alias("event_id")).agg(F.max("toxic").alias("toxic"))
-    return notes.select("event_id", "note").join(marks, "event_id").select("event_id", "note", "toxic")
+    return notes.select("event_id", "note").join(marks.hint("merge"), "event_id").select("event_id", "note", "toxic")
 
 
 @query
