@@ -473,7 +473,10 @@ def traverse(
         added = placed.count()
         if added == 0:
             break
-        visited = reliable_checkpoint(visited.unionByName(placed))
+        # One table per level; they are joined into one only every sixteenth, so little is written twice.
+        visited = visited.unionByName(placed)
+        if depth % 16 == 0:
+            visited = reliable_checkpoint(visited)
         frontier, count = placed, count + added
     found = (
         links.where(F.col("rel") == "item").join(parents(visited), "parent_url")
