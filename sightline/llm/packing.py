@@ -9,7 +9,9 @@ pieces then take their slots by joining on their rank within their length.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,28 +28,59 @@ SIZE = 2048
 #: Slots of one plan row that one task spells out.
 SLOTS = 1 << 16
 #: Words whose ids a worker remembers; the memory starts anew beyond.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
+#: Letters that lower-casing and Unicode normalisation leave letters, one for one.
+PLAIN = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+WORD_AND_MARKS = re.compile(rf"({PLAIN.pattern})([,.;:!?]+)")
 
 
-def _ids_of(words: list[bytes], tokenizer: str) -> dict[bytes, bytes]:
-    """The ids of each white-space separated word, as little-endian unsigned 32-bit numbers.
+def _byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: itself where printable, else one from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
-    The tokenizer drops white space and merges inside words only, so a text's ids are its words' ids.
+
+class WordIds(dict):
+    """Ids of white-space separated words as little-endian unsigned 32-bit numbers, found when first asked for.
+
+    The tokenizer drops white space, ignores case and merges inside runs of letters or of marks only, so a
+    text's ids are its words' ids.  Plain words go to its merges directly, and a plain word with marks behind
+    it is two known parts; all others go through the whole tokenizer.
     """
-    store = worker_store("token ids")
-    if tokenizer not in store:
+
+    def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        store[tokenizer] = (Tokenizer.from_file(tokenizer), {})
-    encoder, known = store[tokenizer]
-    if len(known) > REMEMBERED:
-        known.clear()
-    new = list({w for w in words if w not in known})
-    for start in range(0, len(new), 1 << 14):
-        part = new[start : start + (1 << 14)]
-        for word, found in zip(part, encoder.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-            known[word] = np.array(found.ids, "<u4").tobytes()
-    return known
+        super().__init__()
+        self.encoder = Tokenizer.from_file(path)
+        self.merges = self.encoder.model
+        self.letters = _byte_letters()
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) > REMEMBERED:
+            self.clear()
+        text = word.decode()
+        marked = WORD_AND_MARKS.fullmatch(text)
+        if marked:
+            ids = self[marked[1].lower().encode()] + self[marked[2].encode()]
+        elif PLAIN.fullmatch(text):
+            low = text.lower()
+            if not low.isascii():
+                low = "".join(map(self.letters.__getitem__, low.encode()))
+            ids = array("I", [t.id for t in self.merges.tokenize(low)]).tobytes()
+        else:
+            ids = array("I", self.encoder.encode(text, add_special_tokens=False).ids).tobytes()
+        self[word] = ids
+        return ids
+
+
+def _word_ids(tokenizer: str) -> WordIds:
+    """This worker's ids; one set for all tasks of a tokenizer that treats words as ``WordIds`` does."""
+    store = worker_store("token ids")
+    if tokenizer not in store:
+        store[tokenizer] = WordIds(tokenizer)
+    return store[tokenizer]
 
 
 def token_pieces(
@@ -58,7 +91,8 @@ def token_pieces(
 
     A statement's ids are those of its whole text followed by ``end_id``; null and empty statements have
     only ``end_id``.  Statements of more than ``size`` ids are cut into pieces of ``size``, the last may be
-    shorter.  ``tokenizer`` is the path of a ``tokenizers`` file that merges inside words only.
+    shorter.  ``tokenizer`` is the path of a lower-casing byte-level ``tokenizers`` file, as described at
+    ``WordIds``.
     """
     fields = [
         field(observations, id_col, "_id"), T.StructField("piece", T.IntegerType()),
@@ -72,11 +106,13 @@ def token_pieces(
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         end = np.array([end_id], "<u4").tobytes()
+        known = _word_ids(tokenizer)
         for batch in batches:
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, value in enumerate(batch.column(1)):
-                words = (value.as_py() or b"").split()
-                known = _ids_of(words, tokenizer)
+                data = value.as_py() or b""
+                # Special tokens are told by their case, so a text that may hold one keeps it.
+                words = (data if b"<|" in data else data.lower()).split()
                 whole = b"".join(map(known.__getitem__, words)) + end
                 for p, a in enumerate(range(0, len(whole), 4 * size)):
                     part = whole[a : a + 4 * size]
