@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sightline.functions.scalars import fingerprint, short_id
 from sightline.operators import raster, regions
 from sightline.operators.raster import ChangePolicy
 from sightline.session import reliable_checkpoint
@@ -40,6 +41,22 @@ class ChangeRun:
         return flat.unionByName(none).unionByName(many)
 
 
+def change_run_ids(runs: DataFrame, policy: ChangePolicy, software_commit: str) -> DataFrame:
+    """``runs`` with ``change_run_id``: the same inputs, parameters and software always give the same id.
+
+    ``runs(run_id, manifest_sha256, quality_sha256, before_sha256, after_sha256)`` are the source runs.
+    """
+    digest = fingerprint(
+        parameters=F.struct(*[F.lit(value).alias(name) for name, value in sorted(asdict(policy).items())]),
+        software_commit=F.lit(software_commit),
+        source_aligned_artifacts=F.struct(F.col("after_sha256").alias("after"), F.col("before_sha256").alias("before")),
+        source_processing_manifest_sha256=F.col("manifest_sha256"),
+        source_processing_run_id=F.col("run_id").cast("string"),
+        source_quality_report_sha256=F.col("quality_sha256"),
+    )
+    return runs.withColumn("change_run_id", short_id("change", digest))
+
+
 def holds_every_cell(pixels: DataFrame, grids: DataFrame) -> bool:
     """Whether each role of each run has as many rows as its grid has cells."""
     counts = pixels.groupBy("run_id", "role").agg(F.count(F.lit(1)).alias("n"))

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.scalars import fingerprint, short_id
 from sightline.operators import contracts
 from sightline.operators.evaluation import duplicates
+from sightline.operators.raster import ChangePolicy
+from sightline.plans.change_run import change_run_ids
+from sightline.session import checkpoint_folder
 from sightline.sources import artifacts as artifact_files
-from sightline.sources import manifests
+from sightline.sources import manifests, sinks
 from workload.registry import Inputs, query
 
 # Character counts stand for bytes in the declarations, so both engines agree on sizes.
@@ -240,6 +246,31 @@ def canonical_fingerprints(t: Inputs) -> DataFrame:
     return t.pages.select("page_id", digest.alias("digest"), short_id("page", digest).alias("short_id"))
 
 
+_SOURCE_RUNS = "SELECT m.*, concat('b', CAST(run_id AS STRING)) AS before_sha256, concat('a', CAST(run_id AS STRING)) AS after_sha256 FROM ({manifests}) m".replace("{manifests}", _MANIFESTS)
+_RUN_IDS = f"""SELECT run_id, concat('change-', substr(sha256(concat(
+    '{{"parameters":{{"closing":1,"connectivity":8,"maximum_candidates":500,"minimum_pixels":512,"opening":1,"score_threshold":0.5,"tolerance":2}},"software_commit":"c0ffee","source_aligned_artifacts":{{"after":"',
+    after_sha256, '","before":"', before_sha256, '"}},"source_processing_manifest_sha256":"', manifest_sha256, '","source_processing_run_id":"', CAST(run_id AS STRING),
+    '","source_quality_report_sha256":"', quality_sha256, '"}}')), 1, 20)) AS change_run_id FROM ({_SOURCE_RUNS}) r"""
+
+
+@query("change_run_ids", _RUN_IDS)
+def run_ids(t: Inputs) -> DataFrame:
+    return change_run_ids(t.sql(_SOURCE_RUNS), ChangePolicy(), "c0ffee").select("run_id", "change_run_id")
+
+
+@query("published_runs", f"SELECT run_id, change_run_id, true AS second_refused FROM ({_RUN_IDS}) r")
+def published_runs(t: Inputs) -> DataFrame:
+    """Run ids written as a run's table, a second write that must fail, and the table read back."""
+    root, ids = f"{checkpoint_folder(t.spark)}/sightline-runs-{uuid.uuid4().hex}", run_ids(t)
+    sinks.write_run(ids, root, "change-all", "runs")
+    try:
+        sinks.write_run(ids.limit(0), root, "change-all", "runs")
+        refused = False
+    except AnalysisException:
+        refused = True
+    return sinks.read_run(t.spark, root, "change-all", "runs").withColumn("second_refused", F.lit(refused))
+
+
 @query("checksum_faults", "SELECT doc_id FROM {documents} WHERE doc_id % 19 = 0")
 def checksum_faults(t: Inputs) -> DataFrame:
     stored = F.when(F.col("doc_id") % 19 == 0, "f" * 64).otherwise(F.sha2("text", 256))
