@@ -132,12 +132,31 @@ def supersession_violations(assessments: DataFrame) -> DataFrame:
     )
 
 
+def repeated_ids(rows: DataFrame, id_column: str, reason: str) -> DataFrame:
+    return duplicates(rows, ["bundle_id", id_column]).select("bundle_id", F.col(id_column).alias("subject"), F.lit(reason).alias("reason"))
+
+
+def summary_violations(summaries: DataFrame, candidates: DataFrame, available: DataFrame) -> DataFrame:
+    """``summaries(bundle_id, candidate_ids, artifact_ids)`` must name candidates and artifacts of their bundle."""
+    named = summaries.select("bundle_id", F.explode("candidate_ids").alias("candidate_id"))
+    used = summaries.select("bundle_id", F.explode("artifact_ids").alias("artifact_id"))
+    return unknown_candidates(named, candidates, "candidate_id", "summary names an unknown candidate").unionByName(
+        used.join(available, ["bundle_id", "artifact_id"], "left_anti").select(
+            "bundle_id", F.col("artifact_id").alias("subject"), F.lit("summary names an unavailable artifact").alias("reason")
+        )
+    )
+
+
 def reference_violations(
-    declared: DataFrame, candidates: DataFrame, assessments: DataFrame
+    declared: DataFrame, candidates: DataFrame, assessments: DataFrame, summaries: DataFrame | None = None
 ) -> DataFrame:
-    """Candidate, assessment and artifact ids of every bundle must resolve."""
+    """Candidate, assessment, summary and artifact ids of every bundle must resolve, and ids must not repeat."""
     available = available_artifacts(declared)
+    extra = [] if summaries is None else [summary_violations(summaries, candidates, available)]
     return stack(
+        *extra,
+        repeated_ids(candidates, "candidate_id", "candidate ID is duplicated"),
+        repeated_ids(assessments, "assessment_id", "assessment ID is duplicated"),
         unresolved_evidence(candidates, available, "candidate_id"),
         unresolved_evidence(assessments, available, "assessment_id"),
         unknown_candidates(assessments, candidates, "assessment_id", "assessment references an unknown candidate"),

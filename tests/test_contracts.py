@@ -36,6 +36,18 @@ def test_artifact_files(spark, tmp_path):
     }
 
 
+def test_repeated_ids_and_summaries(spark):
+    declared = spark.createDataFrame([("b", "a1", "available")], "bundle_id string, artifact_id string, status string")
+    candidates = spark.createDataFrame([("b", "c", ["a1"])] * 2, "bundle_id string, candidate_id string, evidence_artifact_ids array<string>")
+    assessments = spark.createDataFrame([("b", "e", 1, "c", [], None)] * 2, "bundle_id string, assessment_id string, seq int, candidate_id string, evidence_artifact_ids array<string>, supersedes_event_id string")
+    summaries = spark.createDataFrame([("b", ["c", "ghost"], ["a1", "a9"])], "bundle_id string, candidate_ids array<string>, artifact_ids array<string>")
+    got = contracts.reference_violations(declared, candidates, assessments, summaries).collect()
+    assert sorted((r["subject"], r["reason"]) for r in got) == [
+        ("a9", "summary names an unavailable artifact"), ("c", "candidate ID is duplicated"),
+        ("e", "assessment ID is duplicated"), ("ghost", "summary names an unknown candidate"),
+    ]
+
+
 def test_parents_without_children_break_the_rules(spark):
     bundles = spark.createDataFrame([("b",), ("empty",)], "bundle_id string")
     roles = spark.createDataFrame([("b", "before", "x"), ("b", "after", "y")], "bundle_id string, role string, acquisition_id string")

@@ -76,7 +76,9 @@ def bundle_states(t: Inputs) -> DataFrame:
 
 
 _CANDS = """SELECT doc_id % 40 AS bundle_id, concat('c-', CAST(doc_id AS STRING)) AS candidate_id,
-    concat('art-', CAST(doc_id AS STRING)) AS art1, concat('art-', CAST(doc_id + 40 AS STRING)) AS art2 FROM {documents} WHERE doc_id % 2 = 0"""
+    concat('art-', CAST(doc_id AS STRING)) AS art1, concat('art-', CAST(doc_id + 40 AS STRING)) AS art2 FROM {documents}"""
+_SUMMARIES = """SELECT bundle_id, concat('c-', CAST(bundle_id AS STRING)) AS c1, concat('c-', CAST(bundle_id + 41 AS STRING)) AS c2,
+    concat('art-', CAST(bundle_id AS STRING)) AS a1 FROM (SELECT DISTINCT doc_id % 40 AS bundle_id FROM {documents}) b"""
 _ASSESS = """SELECT event_id % 40 AS bundle_id, concat('a-', CAST(event_id AS STRING)) AS assessment_id, event_id AS seq,
     concat('c-', CAST(event_id AS STRING)) AS candidate_id, concat('art-', CAST(event_id AS STRING)) AS art1,
     CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 7 = 0 THEN concat('a-', CAST(event_id + 40 AS STRING))
@@ -94,12 +96,20 @@ _AVAILABLE = "SELECT DISTINCT bundle_id, artifact_id FROM {v_declared} WHERE sta
         UNION ALL SELECT bundle_id, assessment_id, 'assessment references an unknown candidate' FROM a
           WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.bundle_id = a.bundle_id AND c.candidate_id = a.candidate_id)
         UNION ALL SELECT a.bundle_id, a.assessment_id, 'supersedes an unknown or later event' FROM a LEFT JOIN a p ON p.bundle_id = a.bundle_id AND p.assessment_id = a.supersedes_event_id
-          WHERE a.supersedes_event_id IS NOT NULL AND (p.seq IS NULL OR p.seq >= a.seq)""",
+          WHERE a.supersedes_event_id IS NOT NULL AND (p.seq IS NULL OR p.seq >= a.seq)
+        UNION ALL SELECT bundle_id, candidate_id, 'candidate ID is duplicated' FROM c GROUP BY bundle_id, candidate_id HAVING count(*) > 1
+        UNION ALL SELECT bundle_id, assessment_id, 'assessment ID is duplicated' FROM a GROUP BY bundle_id, assessment_id HAVING count(*) > 1
+        UNION ALL SELECT bundle_id, cid, 'summary names an unknown candidate' FROM (
+          SELECT bundle_id, c1 AS cid FROM ({_SUMMARIES}) s1 UNION ALL SELECT bundle_id, c2 FROM ({_SUMMARIES}) s2) x
+          WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.bundle_id = x.bundle_id AND c.candidate_id = x.cid)
+        UNION ALL SELECT bundle_id, a1, 'summary names an unavailable artifact' FROM ({_SUMMARIES}) s3
+          WHERE NOT EXISTS (SELECT 1 FROM av WHERE av.bundle_id = s3.bundle_id AND av.artifact_id = s3.a1)""",
 )
 def bundle_references(t: Inputs) -> DataFrame:
     candidates = t.sql(_CANDS).select("bundle_id", "candidate_id", F.array("art1", "art2").alias("evidence_artifact_ids"))
     assessments = t.sql(_ASSESS).withColumn("evidence_artifact_ids", F.array("art1"))
-    return contracts.reference_violations(declared(t), candidates, assessments)
+    summaries = t.sql(_SUMMARIES).select("bundle_id", F.array("c1", "c2").alias("candidate_ids"), F.array("a1").alias("artifact_ids"))
+    return contracts.reference_violations(declared(t), candidates, assessments, summaries)
 
 
 _COMPONENTS = """SELECT doc_id % 40 AS bundle_id, CASE WHEN doc_id % 3 = 0 THEN 'candidates' ELSE concat('part-', CAST(doc_id AS STRING)) END AS name,
