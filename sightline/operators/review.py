@@ -207,6 +207,11 @@ def in_queue_order(queue: DataFrame) -> DataFrame:
     return queue.orderBy("reviewed", F.desc("score"), "candidate_id")
 
 
+def queue_positions(queue: DataFrame) -> DataFrame:
+    """The queue with each candidate's ``position`` in its order, by a range sort."""
+    return ranked(queue, [], ["reviewed", F.desc("score"), "candidate_id"], "position")
+
+
 def queue_counts(queue: DataFrame) -> DataFrame:
     return queue.groupBy("bundle_id").agg(
         F.count(F.lit(1)).alias("all_count"),

@@ -81,10 +81,14 @@ _QUEUE = f"""SELECT c.bundle_id, c.candidate_id, c.score, e.disposition AS curre
     FROM {{v_cand}} c LEFT JOIN ({_CURRENT}) e ON e.bundle_id = c.bundle_id AND e.candidate_id = c.candidate_id"""
 
 
-@query("review_queue", f"SELECT bundle_id, candidate_id, score, current_disposition, reviewed FROM ({_QUEUE}) q")
+@query(
+    "review_queue",
+    f"""SELECT bundle_id, candidate_id, score, current_disposition, reviewed,
+        row_number() OVER (ORDER BY reviewed, score DESC, candidate_id) AS position FROM ({_QUEUE}) q""",
+)
 def review_queue(t: Inputs) -> DataFrame:
     queue = review.review_queue(t.v_cand, review.current_assessments(t.v_evt))
-    return review.in_queue_order(queue).select("bundle_id", "candidate_id", "score", "current_disposition", "reviewed")
+    return review.queue_positions(queue).select("bundle_id", "candidate_id", "score", "current_disposition", "reviewed", "position")
 
 
 @query("pending_queue", f"SELECT bundle_id, candidate_id, score FROM ({_QUEUE}) q WHERE NOT reviewed")
