@@ -183,7 +183,8 @@ def vector_links(
 
 def _lists(rows: np.ndarray) -> pa.ListArray:
     n, width = rows.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * width, max(width, 1), dtype=np.int32)[: n + 1] if width else np.zeros(n + 1, np.int32)), pa.array(np.ascontiguousarray(rows).ravel()))
+    ends = np.arange(n + 1, dtype=np.int32) * width
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(rows).ravel()))
 
 
 by_value(__name__)
