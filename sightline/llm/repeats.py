@@ -101,22 +101,50 @@ def _keyed(observations: DataFrame, id_col: str, text: str) -> DataFrame:
 RUN = ["doc", "body", "first", "last", "anchor", "run"]
 
 
+def _own_repeats(first: np.ndarray, last: np.ndarray, anchors: np.ndarray, digests: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the runs of one statement: which are the first of their kind, how many of each such kind there
+    are, and the stretches (first, last) of all runs that occur in it more than once."""
+    order = np.lexsort((first, digests, anchors))
+    a, d = anchors[order], digests[order]
+    heads = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (d[1:] != d[:-1])])
+    copies = np.diff(np.r_[heads, len(order)])
+    twice = np.zeros(len(first), bool)
+    twice[order] = np.repeat(copies > 1, copies)
+    begin, end = first[twice], last[twice]
+    cut = np.flatnonzero(np.r_[True, begin[1:] != end[:-1] + 1]) if len(begin) else np.zeros(0, np.int64)
+    return order[heads], copies, begin[cut], end[np.r_[cut[1:], len(end)].astype(np.int64) - 1] if len(begin) else end
+
+
 def _runs_table(keyed: DataFrame, threshold: int, width: int) -> DataFrame:
+    """One row for each different run of a statement, with its ``copies`` there; stretches that a statement
+    repeats within itself need no partner and come as rows without an anchor."""
+    names = [*RUN, "copies"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[] for _ in RUN]
+            out = [[] for _ in names]
+            settled = [[] for _ in range(4)]
             doc, body = numbers(batch, "doc"), numbers(batch, "body")
             for i, value in enumerate(batch.column("_text")):
-                for first, last, anchors, digests in runs(value.as_py(), threshold, width):
-                    n = len(first)
-                    for column, part in zip(
-                        out, (np.full(n, doc[i]), np.full(n, body[i]), first.astype(np.uint64), last.astype(np.uint64), anchors, digests), strict=True
-                    ):
-                        column.append(part)
+                parts = list(runs(value.as_py(), threshold, width))
+                if not parts:
+                    continue
+                first, last, anchors, digests = (np.concatenate(c) for c in zip(*parts, strict=True))
+                kept, copies, begin, end = _own_repeats(first, last, anchors, digests)
+                n = len(kept)
+                for column, part in zip(
+                    out, (np.full(n, doc[i]), np.full(n, body[i]), first[kept], last[kept], anchors[kept], digests[kept], copies), strict=True
+                ):
+                    column.append(part.astype(np.uint64))
+                for column, part in zip(settled, (np.full(len(begin), doc[i]), np.full(len(begin), body[i]), begin, end), strict=True):
+                    column.append(part.astype(np.uint64))
             if out[0]:
-                yield pa.RecordBatch.from_arrays([int64(np.concatenate(c)) for c in out], names=RUN)
+                yield pa.RecordBatch.from_arrays([int64(np.concatenate(c)) for c in out], names=names)
+                spans = [int64(np.concatenate(c)) for c in settled]
+                if len(spans[0]):
+                    yield pa.RecordBatch.from_arrays([*spans, *[pa.nulls(len(spans[0]), pa.int64())] * 3], names=names)
 
-    return map_arrow(keyed, run, _longs(*RUN))
+    return map_arrow(keyed, run, _longs(*names))
 
 
 def _pruned(table: DataFrame, shared: np.ndarray, mixed: np.ndarray) -> DataFrame:
@@ -238,14 +266,16 @@ def repeated_windows(
     keep rows from being shuffled; rows they let through in vain change nothing.
     """
     keyed = _keyed(observations, id_col, text)
-    table = reliable_checkpoint(_runs_table(keyed, threshold, anchor))
-    anchors = table.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("run").alias("a"), F.max("run").alias("b"))
+    written = reliable_checkpoint(_runs_table(keyed, threshold, anchor))
+    own = written.where("anchor IS NULL").select("doc", "body", "first", "last")
+    table = written.where("anchor IS NOT NULL")
+    anchors = table.groupBy("anchor").agg(F.sum("copies").alias("n"), F.min("run").alias("a"), F.max("run").alias("b"))
     again = anchors.where("n > 1").select(F.col("anchor").alias("shared"), F.when(F.col("a") != F.col("b"), F.col("anchor")).alias("mixed"))
     shared, mixed = membership(again, ["shared", "mixed"], bits)
     members = reliable_checkpoint(_pruned(table, shared, mixed))
     kinds = reliable_checkpoint(
         members.groupBy("anchor", "run").agg(
-            F.count(F.lit(1)).alias("n"), F.max("mixed").alias("mixed"), F.min(F.struct("doc", "body", "first")).alias("rep")
+            F.sum("copies").alias("n"), F.max("mixed").alias("mixed"), F.min(F.struct("doc", "body", "first")).alias("rep")
         )
     )
     whole = members.join(kinds.where("n > 1").select("anchor", "run"), ["anchor", "run"]).select("doc", "body", "first", "last")
@@ -257,7 +287,7 @@ def repeated_windows(
     payload = reliable_checkpoint(payload.join(crowded, "anchor", "left"))
     single = _window_spans(payload.where("crowded IS NULL").drop("crowded"), threshold)
     many = _joined_window_spans(payload.where("crowded").drop("crowded"), threshold)
-    return whole.unionAll(single).unionAll(many)
+    return own.unionAll(whole).unionAll(single).unionAll(many)
 
 
 def _places(first_of_kind: DataFrame) -> DataFrame:
