@@ -130,3 +130,36 @@ def test_expectation_maximisation_never_lowers_the_likelihood():
         finally:
             languages.ROUNDS = kept
     assert fits == sorted(fits)
+
+
+def test_toxic_compounds_are_found_in_each_language(spark):
+    """Toxic notes hold words that begin with one compound of the syllables that all words are made of."""
+    rng = random.Random(12)
+    syllables = {"it": ["ba", "co", "di", "fu"], "fr": ["bé", "çà", "dê", "fô"], "ru": ["ба", "ко", "ди", "фу"]}
+    rows = []
+    for i in range(900):
+        lang = list(syllables)[i % 3]
+        bad = "".join(syllables[lang])
+        words = ["".join(rng.choices(syllables[lang], k=rng.randint(2, 6))) for _ in range(rng.randint(20, 90))]
+        words = [w for w in words if bad not in w]
+        toxic = i // 3 % 5 == 0
+        if toxic:
+            for _ in range(1 + len(words) // 15):
+                words.insert(rng.randrange(len(words)), bad + "".join(rng.choices(syllables[lang], k=2)))
+        rows.append((i, " ".join(words), int(toxic), lang))
+    frame = spark.createDataFrame(rows, "event_id BIGINT, note STRING, toxic INT, lang STRING")
+    scored = toxicity_scores(frame, fit_toxicity(frame.where("event_id % 4 <> 0"))).collect()
+    for lang in syllables:
+        held = [(r["row"]["toxic"], r["score"] >= 0.5) for r in scored if r["row"]["lang"] == lang and r["row"]["event_id"] % 4 == 0]
+        assert sum(t for t, _ in held) >= 10
+        assert sum(p for t, p in held if t) >= 0.9 * sum(t for t, _ in held) and sum(p for t, p in held if not t) <= 1
+
+
+def test_expressions_do_not_depend_on_how_a_text_is_cut(monkeypatch):
+    from sightline.llm import toxicity
+
+    text = "Über,  den -- Fluß: 12 x größer\n" * 40
+    whole = toxicity._note_grams(text)
+    monkeypatch.setattr(toxicity, "CHARS", 11)
+    parts = toxicity._note_grams(text)
+    assert whole[1] == parts[1] == 5 and (whole[0] == parts[0]).all()
