@@ -248,3 +248,21 @@ def test_grid_snaps_outward(spark):
     g = raster.build_grids(runs, "EPSG:32612", 10.0).first()
     assert g["problem"] is None and g["minx"] % 10 == 0 and g["maxy"] % 10 == 0
     assert g["width"] == round((g["maxx"] - g["minx"]) / 10) and g["height"] == round((g["maxy"] - g["miny"]) / 10)
+
+
+def test_queries_list_the_candidates_of_a_very_crowded_run(spark):
+    """10,201 squares of four pixels, more than a run may have under the default parameter ranges."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import functions as F
+
+    from workload import raster_queries
+
+    side = 303
+    cells = spark.range(side * side).select(F.expr(f"CAST(id DIV {side} AS INT)").alias("r"), F.expr(f"CAST(id % {side} AS INT)").alias("c"))
+    ground = F.when((F.col("r") % 3 < 2) & (F.col("c") % 3 < 2), F.col("square")).otherwise(100.0 * (F.col("r") % 2))
+    roles = spark.createDataFrame([("before", 0.0), ("after", 100.0)], "role string, square double")
+    pix = cells.crossJoin(roles).select(F.lit("crowded").alias("run_id"), "role", "r", "c", ground.alias("v"))
+    grid = spark.createDataFrame([("crowded", side, side, 2.0, 0.0, 0.0)], "run_id string, width int, height int, resolution double, minx double, maxy double")
+    row = raster_queries.run_funnel(SimpleNamespace(v_pix=pix, v_grid=grid)).first()
+    assert (row["candidate_count"], row["candidate_pixel_count"]) == (10_201, 40_804)

@@ -16,9 +16,10 @@ from sightline.session import reliable_checkpoint
 from workload.registry import Inputs, query
 
 # Policies without clean-up keep the SQL twins of labels and outlines small; FULL runs every step.
+# Runs of these tables grow with them, so SHARP and LOOSE have a limit that none reaches; crowded_runs shows refusals.
 R6 = lambda c: F.bround(c, 6)
-SHARP = ChangePolicy(score_threshold=0.5, tolerance=0, opening=0, closing=0, minimum_pixels=4, maximum_candidates=10_000)
-LOOSE = ChangePolicy(score_threshold=0.2, tolerance=1, opening=0, closing=0, minimum_pixels=1, maximum_candidates=10_000)
+SHARP = ChangePolicy(score_threshold=0.5, tolerance=0, opening=0, closing=0, minimum_pixels=4, maximum_candidates=2**63 - 1)
+LOOSE = ChangePolicy(score_threshold=0.2, tolerance=1, opening=0, closing=0, minimum_pixels=1, maximum_candidates=2**63 - 1)
 
 FULL = ChangePolicy(score_threshold=0.05, tolerance=1, opening=1, closing=1, minimum_pixels=1, maximum_candidates=10_000)
 
