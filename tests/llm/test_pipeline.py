@@ -86,3 +86,16 @@ def test_working_tables_can_be_deleted(spark):
 
 def test_queries_import_without_the_subpackage():
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
+
+
+@pytest.mark.parametrize("toxic", [1, None])
+def test_documents_without_letters_stay_when_most_labels_are_toxic(spark, tmp_path, toxic):
+    """Three in four labels are toxic, or all are and no model can be fitted."""
+    rows = [(i, "wretch vermin dolt" if i % 4 else "wide radar field", "en", "a", 1) for i in range(80)]
+    rows += [(100, None, "en", "a", 0), (101, "", "en", "a", 0), (102, "12 ... 7", "en", "a", 0)]
+    docs = spark.createDataFrame(rows, DOCUMENTS)
+    labels = [(i, 1, int(i % 4 > 0) if toxic else 1) for i in range(80)]
+    spark.createDataFrame(labels, "doc_id BIGINT, quality INT, toxic INT").write.parquet(str(tmp_path / "labels.parquet"))
+    left = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()}
+    assert left >= {100, 101, 102} and left >= {i for i in range(80) if i % 4 == 0}
+    assert len(left) == (83 if not toxic else 23)
