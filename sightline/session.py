@@ -60,6 +60,13 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def working_folder(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared checkpoint folder that ``discard_tables`` removes too."""
+    path = f"{checkpoint_folder(spark)}/sightline-{kind}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
 @contextmanager
 def tables_written() -> Iterator[list[str]]:
     """Collects the paths of the tables that ``reliable_checkpoint`` writes inside the block."""
