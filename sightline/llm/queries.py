@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.session import tune
+from sightline.session import tune, working_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -218,3 +218,33 @@ def op4_languages(spark: SparkSession, folder: str) -> DataFrame:
     return language_mixtures(rows, model).select(
         F.col("observation_id").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score"
     )
+
+
+@query
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    from sightline.llm.whitening import whitened_vectors
+
+    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("candidate_id"), F.col("embedding").alias("score_components"))
+    return whitened_vectors(vectors).select(
+        F.col("candidate_id").alias("vec_id"), "component", "n", F.col("deviation").try_cast("bigint").alias("deviation"),
+        "whitened", "explained", "identity_error",
+    )
+
+
+@query
+def op12_infill(spark: SparkSession, folder: str) -> DataFrame:
+    from sightline.llm.infill import infill_digests, infill_pieces
+
+    pieces = infill_pieces(statements(spark, folder).select("observation_id", "statement"))
+    return infill_digests(pieces).withColumnRenamed("observation_id", "doc_id")
+
+
+@query
+def op13_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from sightline.llm.tokens import read_token_files, write_token_files
+
+    files = working_folder(spark, "token-files")
+    write_token_files(statements(spark, folder).select("observation_id", "statement"), files, public_tokenizers.path("word_bpe_49k.json"))
+    return read_token_files(spark, files).withColumnRenamed("id", "doc_id")

@@ -23,6 +23,9 @@ COLUMNS = {
     "op8_links": "page_id host path rule verdict",
     "op9_packing": "doc_id piece start length ids_crc32 sequence_id offset",
     "op10_toxicity": "doc_id held_out score predicted",
+    "op11_whitening": "vec_id component n deviation whitened explained identity_error",
+    "op12_infill": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256",
+    "op13_token_files": "doc_id start n_tokens ids_crc32",
 }
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the driver tables")
 
