@@ -3,7 +3,8 @@
 A file is a run of chunks and a tail.  A chunk holds ``BLOCK`` ids, the last one fewer, whatever statements
 they belong to: the ids are transposed, either into 4 planes of bytes or into as many planes of bits as the
 largest id has, and every plane is a zstandard frame of its own.  High planes are nearly constant and cost a
-few bytes; the way that gives fewer bytes is kept, chunk by chunk.  The tail is an Arrow table of the
+few bytes.  Which way a chunk went stands in its entry, so that ``planes="least"`` can take the smaller one
+chunk by chunk; ids of prose are smaller as bytes.  The tail is an Arrow table of the
 statements (id, ids before in the file, number of ids), an Arrow table of the chunks (their place, number of
 ids, kind and bytes of each plane) and a footer with both places, so that a reader can fetch any chunk alone.
 
@@ -23,22 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sightline.llm.common import by_value, field, map_arrow
+from sightline.llm.common import by_value, map_arrow
 from sightline.llm.packing import _word_ids
-from sightline.session import reliable_checkpoint
 
 MAGIC = b"SLPLANE1"
 FOOTER = "<QQQ8s"
 #: Ids of a chunk; a multiple of 8.
 BLOCK = 1 << 16
-#: Ids of one shuffled piece of a statement.
-PIECE = 1 << 15
 LEVEL = 3
 CHUNKS = pa.schema([("at", pa.uint64()), ("n", pa.uint32()), ("bits", pa.bool_()), ("sizes", pa.list_(pa.uint32()))])
 
@@ -65,8 +62,9 @@ def from_planes(planes: list[bytes], n: int, bits: bool) -> np.ndarray:
 class PlaneWriter:
     """Writes one file; ids may come in any portions."""
 
-    def __init__(self, sink, block: int = BLOCK, level: int = LEVEL) -> None:
+    def __init__(self, sink, block: int = BLOCK, level: int = LEVEL, planes: str = "bytes") -> None:
         self.sink, self.block, self.frame = sink, block, zstandard.ZstdCompressor(level=level)
+        self.ways = {"bytes": [False], "bits": [True], "least": [False, True]}[planes]
         self.at, self.n, self.held, self.pending = 0, 0, 0, []
         self.chunks: list[dict] = []
         self._put(MAGIC)
@@ -87,8 +85,8 @@ class PlaneWriter:
             self.pending, self.held = [whole[full:]], len(whole) - full
 
     def _chunk(self, ids: np.ndarray) -> None:
-        ways = [[self.frame.compress(p) for p in to_planes(ids, bits)] for bits in (False, True)]
-        bits = sum(map(len, ways[1])) < sum(map(len, ways[0]))
+        ways = {bits: [self.frame.compress(p) for p in to_planes(ids, bits)] for bits in self.ways}
+        bits = min(ways, key=lambda way: sum(map(len, ways[way])))
         self.chunks.append({"at": self.at, "n": len(ids), "bits": bits, "sizes": [len(p) for p in ways[bits]]})
         for plane in ways[bits]:
             self._put(plane)
@@ -140,48 +138,9 @@ def _filesystem(path: str):
     return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
 
 
-def token_rows(
-    observations: DataFrame, tokenizer: str, id_col: str = "observation_id", text: str = "statement", end_id: int = 2, piece: int = PIECE,
-) -> DataFrame:
-    """``(_id, _row, _piece, n, ids)``: every statement's ids and ``end_id`` in pieces of at most ``piece`` ids.
-
-    ``ids`` are byte planes, which shuffle small; ``_row`` numbers the input's rows.  ``tokenizer`` is the path
-    of a lower-casing byte-level ``tokenizers`` file, as described at ``packing.WordIds``.
-    """
-    rows = observations.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), F.col(text).cast("binary").alias("_text"))
-    fields = [
-        field(rows, "_id", "_id"), T.StructField("_row", T.LongType()), T.StructField("_piece", T.IntegerType()),
-        T.StructField("n", T.IntegerType()), T.StructField("ids", T.BinaryType()),
-    ]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        known, end = _word_ids(tokenizer), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            at, number, n, data = [], [], [], []
-            for i, value in enumerate(batch.column(2)):
-                content = value.as_py() or b""
-                # Special tokens are told by their case, so a text that may hold one keeps it.
-                words = (content if b"<|" in content else content.lower()).split()
-                ids = np.frombuffer(b"".join(map(known.__getitem__, words)) + end, "<u4")
-                for p, start in enumerate(range(0, len(ids), piece)):
-                    part = ids[start : start + piece]
-                    at.append(i)
-                    number.append(p)
-                    n.append(len(part))
-                    data.append(b"".join(to_planes(part, False)))
-            rows_ = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows_), batch.column(1).take(rows_), pa.array(number, pa.int32()), pa.array(n, pa.int32()), pa.array(data, pa.binary())],
-                names=[f.name for f in fields],
-            )
-
-    return map_arrow(rows, run, fields)
-
-
 def write_token_files(
     observations: DataFrame, folder: str, tokenizer: str, id_col: str = "observation_id", text: str = "statement",
-    end_id: int = 2, block: int = BLOCK, level: int = LEVEL,
+    end_id: int = 2, block: int = BLOCK, level: int = LEVEL, planes: str = "bytes",
 ) -> DataFrame:
     """Write the statements' ids in ascending order of ``id_col`` to files in ``folder``; returns the manifest.
 
@@ -189,18 +148,21 @@ def write_token_files(
     parts in the order of their statements, and the ids before each.  Null statements have ``end_id`` only;
     null ids come first; rows with one id are ordered by their place in the input, and each keeps its own
     entry.  An empty table gives an empty manifest.  ``folder`` must be shared by all executors.  Other columns
-    are not read and may have any name.
+    are not read and may have any name.  ``tokenizer`` is the path of a lower-casing byte-level ``tokenizers``
+    file, as described at ``packing.WordIds``.
+
+    Texts are shuffled, not ids: they take no more room, and the sort's sample does not tokenize.
     """
-    pieces = reliable_checkpoint(token_rows(observations, tokenizer, id_col, text, end_id))
-    # A statement's pieces stay in one part, so that it lies whole in one file.
-    order = ["_id", "_row", "_piece"]
-    sorted_ = pieces.repartitionByRange(*order[:2]).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    rows = observations.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), F.col(text).cast("binary").alias("_text"))
+    order = ["_id", "_row"]
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
     names = ["part", "file", "n_statements", "n_ids", "n_bytes"]
     fields = [T.StructField(n, T.StringType() if n == "file" else T.LongType()) for n in names]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer = None
-        ids, starts, lengths = [], [], []
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        known, end = _word_ids(tokenizer), np.array([end_id], "<u4").tobytes()
+        writer, ids, lengths = None, [], []
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -209,21 +171,22 @@ def write_token_files(
                 name = f"{part:06d}-{uuid.uuid4().hex}.planes"
                 files[0].create_dir(files[1], recursive=True)
                 sink = files[0].open_output_stream(f"{files[1]}/{name}")
-                writer = PlaneWriter(sink, block, level)
-            first = pa.compute.equal(batch.column("_piece"), 0)
-            for opens, n, data in zip(first.to_pylist(), batch.column("n").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                if opens:
-                    starts.append(writer.n)
-                    lengths.append(0)
-                lengths[-1] += n
-                writer.add(from_planes([data[k * n : (k + 1) * n] for k in range(4)], n, False))
-            ids.append(batch.column(0).filter(first))
+                writer = PlaneWriter(sink, block, level, planes)
+            for value in batch.column("_text"):
+                data = value.as_py() or b""
+                # Special tokens are told by their case, so a text that may hold one keeps it.
+                words = (data if b"<|" in data else data.lower()).split()
+                found = np.frombuffer(b"".join(map(known.__getitem__, words)) + end, "<u4")
+                writer.add(found)
+                lengths.append(len(found))
+            ids.append(batch.column("_id"))
         if writer:
-            told = pa.table({"id": pa.chunked_array(ids), "start": pa.array(starts, pa.int64()), "n": pa.array(lengths, pa.int64())})
-            writer.close(told)
+            n = np.array(lengths, np.int64)
+            writer.close(pa.table({"id": pa.chunked_array(ids), "start": pa.array(np.cumsum(n) - n), "n": pa.array(n)}))
             sink.close()
+            told = (part, name, len(n), writer.n, writer.at)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([v], pa.string() if n == "file" else pa.int64()) for n, v in zip(names, (part, name, told.num_rows, writer.n, writer.at), strict=True)], names=names
+                [pa.array([v], pa.string() if n == "file" else pa.int64()) for n, v in zip(names, told, strict=True)], names=names
             )
 
     map_arrow(sorted_, write, fields).write.parquet(f"{folder}/manifest")

@@ -143,7 +143,7 @@ def test_a_file_and_any_chunk_of_it(tmp_path):
     rng = np.random.default_rng(2)
     ids = np.r_[rng.integers(0, 50_000, 700), np.full(300, 9), rng.integers(0, 4, 333)].astype("<u4")
     with open(tmp_path / "x", "wb") as sink:
-        writer = PlaneWriter(sink, block=256)
+        writer = PlaneWriter(sink, block=256, planes="least")
         for part in np.array_split(ids, 11):
             writer.add(part)
         writer.close(pa.table({"id": [1], "start": [0], "n": [len(ids)]}))
