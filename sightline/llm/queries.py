@@ -99,38 +99,15 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def labelled_notes(notes: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
-    """The notes that ``labels`` covers, with its mark; several marks of a note count as the highest.
-
-    A merge join at any size: with small labels Spark would broadcast them, and what the step needs would
-    jump when they outgrow the threshold.  A bit map of the labelled ids keeps most other texts out of the
-    shuffle; the join alone decides.
-    """
-    import numpy as np
-    import pyarrow as pa
-
-    from sightline.llm.common import map_arrow, member, membership
-
-    marks = table(spark, folder, "labels").where("toxic IS NOT NULL").groupBy(F.col("doc_id").alias("event_id")).agg(F.max("toxic").alias("toxic"))
-    kept = spark.sparkContext.broadcast(membership(marks.select(F.xxhash64("event_id").alias("h")), ["h"])[0])
-
-    def labelled(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(member(kept.value, batch.column(2).to_numpy().view(np.uint64))))
-
-    hashed = notes.select("event_id", "note", F.xxhash64("event_id").alias("h"))
-    few = map_arrow(hashed, labelled, hashed.schema)
-    return few.join(marks.hint("merge"), "event_id").select("event_id", "note", "toxic")
-
-
 @query
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     from sightline.llm.toxicity import fit_toxicity, toxicity_scores
 
     notes = table(spark, folder, "documents").select(F.col("doc_id").alias("event_id"), F.col("text").alias("note"))
     fold = F.coalesce(F.crc32(F.col("event_id").cast("string").cast("binary")) % 5, F.lit(1))
-    model = fit_toxicity(labelled_notes(notes.where(fold != 0), spark, folder))
-    scored = toxicity_scores(notes.withColumn("held_out", fold == 0), model)
+    marks = table(spark, folder, "labels").select(F.col("doc_id").alias("event_id"), "toxic")
+    model = fit_toxicity(notes.where(fold != 0), marks)
+    scored = toxicity_scores(notes.withColumn("held_out", fold == 0), model, keep=["event_id", "held_out"])
     return scored.select(
         F.col("row.event_id").alias("doc_id"), "row.held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )

@@ -1,13 +1,17 @@
 """Toxicity and language models: held-out accuracy, smoothing, and defined answers for odd rows."""
 
+import os
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 
 from sightline.llm.languages import SLOTS, LanguageModel, fit_languages, language_mixtures, trigram_slots
-from sightline.llm.toxicity import fit_toxicity, grams, log_ratios, toxicity_scores
+from sightline.llm import toxicity
+from sightline.llm.toxicity import fit_toxicity, toxicity_scores, without_toxic
 
 BAD = ["wretch", "vermin", "dolt"]
 WORDS = {
@@ -37,7 +41,7 @@ def notes():
 
 def test_toxic_notes_are_told_apart(spark, notes):
     frame = spark.createDataFrame(notes, "event_id BIGINT, note STRING, toxic INT, score INT")
-    model = fit_toxicity(frame.where("event_id % 5 <> 0"))
+    model = fit_toxicity(frame.where("event_id % 5 <> 0"), frame)
     scored = toxicity_scores(frame, model)
     assert scored.columns == ["row", "score"]
     held = [(r["row"]["toxic"], r["score"] >= 0.5) for r in scored.collect() if r["row"]["event_id"] % 5 == 0]
@@ -47,40 +51,98 @@ def test_toxic_notes_are_told_apart(spark, notes):
 
 def test_odd_notes_have_defined_scores(spark, notes):
     schema = "event_id BIGINT, note STRING, toxic INT"
-    model = fit_toxicity(spark.createDataFrame([r[:3] for r in notes] + [(7, None, None), (8, None, 1), (9, "", 0), (9, "x", 5)], schema))
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "... 12 !"), (4, "a " * 700_000), (1, None), (None, "wretch vermin")], "event_id BIGINT, note STRING")
+    rows = [r[:3] for r in notes] + [(1007, None, None), (1008, None, 1), (1009, "", 0), (1010, "x", 5), (None, "wretch", 1)]
+    frame = spark.createDataFrame(rows, schema)
+    model = fit_toxicity(frame, frame.unionAll(spark.createDataFrame([(1008, None, 0), (2000, None, 1)], schema)))
+    odd = [(1, None), (2, ""), (3, "... 12 !"), (4, "a " * 700_000), (1, None), (None, "wretch vermin"), (5, "the field"), (5, "the field")]
+    odd = spark.createDataFrame([(*r, 1, 2, 3) for r in odd], "event_id BIGINT, note STRING, _hash INT, x INT, `a.b` INT")
     got = [(r["row"]["event_id"], r["score"]) for r in toxicity_scores(odd, model).collect()]
-    assert len(got) == 6 and all(0 <= s <= 1 for _, s in got)
+    assert len(got) == 8 and all(0 <= s <= 1 for _, s in got)
     prior = {s for i, s in got if i in (1, 2, 3)}
     assert len(prior) == 1 and 0.1 < prior.pop() < 0.25
-    assert dict(got)[None] > 0.5
+    assert dict(got)[None] > 0.5 > dict(got)[5]
     assert toxicity_scores(odd.limit(0), model).count() == 0
+    calm = without_toxic(odd, model)
+    assert calm.columns == odd.columns
+    assert sorted(str(r["event_id"]) for r in calm.collect()) == sorted(str(i) for i, s in got if s < 0.5 or i in (1, 2, 3))
 
 
 def test_models_without_labels_of_both_classes(spark):
     schema = "event_id BIGINT, note STRING, toxic INT"
     for rows, want in (([], 0.0), ([(1, "calm", 0)], 0.0), ([(1, "bad", 1)], 1.0)):
-        model = fit_toxicity(spark.createDataFrame(rows, schema))
-        assert model.score("any words") == want
-
-
-def test_smoothing_gives_probabilities_and_cancels_what_is_rare():
-    rng = np.random.default_rng(0)
-    counts = rng.poisson(0.02, (2, 1 << 20)).astype(float)
-    equal = log_ratios(np.stack([counts[0], counts[0]]))
-    assert abs(equal).max() < 1e-6
-    assert np.isfinite(log_ratios(counts)).all() and np.isfinite(log_ratios(0 * counts)).all()
-
-
-def test_grams_do_not_depend_on_how_a_text_is_cut(monkeypatch):
-    from sightline.llm import languages, toxicity
+        frame = spark.createDataFrame(rows, schema)
+        scored = toxicity_scores(spark.createDataFrame([(5, "any words")], "event_id BIGINT, note STRING"), fit_toxicity(frame, frame))
+        assert [r["score"] for r in scored.collect()] == [want]
+    frame = spark.createDataFrame([(i, "same words", i % 2) for i in range(9)], schema)
+    assert {r["score"] for r in toxicity_scores(frame, fit_toxicity(frame, frame)).collect()} == {4 / 9}
+
+
+def plain_ratios(rows, folds):
+    """{n-gram: log-ratio} of those above their discount, from (note, label, fold), counting the given folds."""
+    counts, totals = Counter(), [0, 0]
+    for note, label, fold in rows:
+        for word in set(plain_words(note)) if fold in folds else ():
+            totals[label] += 1
+            counts.update((g, label) for g in {f" {word} "[i : i + n] for n in range(4, 9) for i in range(len(word) + 3 - n)})
+    known, out = {}, {}
+    for g in sorted({g for g, _ in counts}, key=len):
+        n, both = [counts[g, c] for c in (0, 1)], counts[g, 0] + counts[g, 1]
+        before = known.get(g[1:], (1.0, 1.0))
+        share = both / sum(totals)
+        left = [n[c] - 1.5 * totals[c] * share * before[c] - 3 * (totals[c] * share * before[c] + 1) ** 0.5 for c in (0, 1)]
+        known[g] = tuple(max(left[c], 0) / totals[c] / share + before[c] for c in (0, 1))
+        if known[g] != before:
+            out[g] = np.log(known[g][1] / known[g][0])
+    return out
+
+
+def plain_words(note):
+    return re.findall(r"[^\W\d_]+", (note or "").lower())
+
+
+def test_scores_against_a_plain_model(spark, notes, monkeypatch):
+    """Ratios of n-grams, the sums of all notes and the order of scores, all of one and of several words."""
+    monkeypatch.setattr(toxicity, "LEAST", 1)
+    rows = notes[:300] + [(900 + i, f"{w} {w} field", 1, 0) for i, w in enumerate(["dolts", "vermin", "wretchedly"] * 3)]
+    frame = spark.createDataFrame(rows, "event_id BIGINT, note STRING, toxic INT, score INT")
+    labelled = toxicity.labelled_texts(frame, frame, "event_id", "note", "toxic")
+    told = [(zstandard.ZstdDecompressor().decompress(r["packed"]).decode(), r["label"], r["fold"]) for r in labelled.collect()]
+    assert sorted(t[:2] for t in told) == sorted((r[1], r[2]) for r in rows)
+    words = toxicity._word_counts(labelled)
+    kept = Counter({r["word"]: sum(r[s] for s in toxicity.SLOTS) for r in words.collect()})
+    assert kept == Counter(w for _, n, *_ in rows for w in set(plain_words(n)))
+    found = toxicity.gram_ratios(words).collect()
+    for v, folds in enumerate([{0, 1, 2, 3}, {1, 2, 3}]):
+        want = plain_ratios(told, folds)
+        nonzero = sorted(x for x in want.values() if abs(x) > 1e-12)
+        # n-grams without toxic contexts are backoff, by rule
+        assert sorted(r[f"r{v}"] for r in found if r[f"r{v}"] > 1e-12) == pytest.approx([x for x in nonzero if x > 0], rel=1e-9)
+    want = plain_ratios(told, {0, 1, 2, 3})
+    model = fit_toxicity(frame, frame)
+    got = {r["_hash"]: r["x"] for r in toxicity.text_sums(frame, model, "note").collect()}
+    keys = {r["event_id"]: r["h"] for r in frame.selectExpr("event_id", "xxhash64(note) h").collect()}
+    for i, note, *_ in rows:
+        total = 0.0
+        for word in plain_words(note):
+            word = f" {word} "
+            for end in range(4, len(word) + 1):
+                longest = [n for n in range(4, 9) if n <= end and want.get(word[end - n : end], 0) > 0]
+                total += want[word[end - max(longest) : end]] if longest else 0.0
+        length = sum(len(w) + 1 for w in plain_words(note))
+        assert got.get(keys[i], 0.0) == pytest.approx(total / length**0.8, abs=1e-9)
+
+
+def test_words_do_not_depend_on_how_a_text_is_cut(monkeypatch):
+    from sightline.llm import languages
 
-    text = "Über,  den -- Fluß: 12 x\n" * 40
-    whole = np.concatenate(list(grams(text))), np.concatenate(list(trigram_slots(text)))
-    monkeypatch.setattr(toxicity, "CHARS", 7)
+    texts = ["Über,  den -- Fluß: 12 x größer\n" * 40, None, "", "one two", "12", "three"]
+    whole = [(w.note[i], w.word(i), w.hash[i], w.lengths[i]) for w in toxicity.words_of(texts) for i in range(len(w.hash))]
+    slots = np.concatenate(list(trigram_slots(texts[0])))
+    assert [(n, t) for n, t, _, _ in whole] == [(i, w) for i, t in enumerate(texts) for w in re.findall(r"[^\W\d_]+", (t or "").lower())]
+    monkeypatch.setattr(toxicity, "CHARS", 11)
     monkeypatch.setattr(languages, "CHARS", 7)
-    parts = np.concatenate(list(grams(text))), np.concatenate(list(trigram_slots(text)))
-    assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
+    assert whole == [(w.note[i], w.word(i), w.hash[i], w.lengths[i]) for w in toxicity.words_of(texts) for i in range(len(w.hash))]
+    assert (slots == np.concatenate(list(trigram_slots(texts[0])))).all()
 
 
 @pytest.fixture(scope="module")
@@ -148,18 +210,22 @@ def test_toxic_compounds_are_found_in_each_language(spark):
                 words.insert(rng.randrange(len(words)), bad + "".join(rng.choices(syllables[lang], k=2)))
         rows.append((i, " ".join(words), int(toxic), lang))
     frame = spark.createDataFrame(rows, "event_id BIGINT, note STRING, toxic INT, lang STRING")
-    scored = toxicity_scores(frame, fit_toxicity(frame.where("event_id % 4 <> 0"))).collect()
+    scored = toxicity_scores(frame, fit_toxicity(frame.where("event_id % 4 <> 0"), frame)).collect()
     for lang in syllables:
         held = [(r["row"]["toxic"], r["score"] >= 0.5) for r in scored if r["row"]["lang"] == lang and r["row"]["event_id"] % 4 == 0]
         assert sum(t for t, _ in held) >= 10
         assert sum(p for t, p in held if t) >= 0.9 * sum(t for t, _ in held) and sum(p for t, p in held if not t) <= 1
 
 
-def test_expressions_do_not_depend_on_how_a_text_is_cut(monkeypatch):
-    from sightline.llm import toxicity
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver tables")
+def test_held_out_toxic_documents(spark):
+    from pyspark.sql import functions as F
 
-    text = "Über,  den -- Fluß: 12 x größer\n" * 40
-    whole = toxicity._note_grams(text)
-    monkeypatch.setattr(toxicity, "CHARS", 11)
-    parts = toxicity._note_grams(text)
-    assert whole[1] == parts[1] == 5 and (whole[0] == parts[0]).all()
+    from sightline.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic IS NOT NULL")
+    rows = QUERIES["op10_toxicity"](spark, folder).where("held_out").join(labels, "doc_id").collect()
+    toxic = [r["predicted"] for r in rows if r["toxic"]]
+    assert len(toxic) >= 5 and sum(toxic) >= 0.6 * len(toxic)
+    assert sum(r["predicted"] for r in rows if not r["toxic"]) <= 0.02 * len(rows)
