@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from sightline.llm.mixing import curriculum
 from sightline.llm.packing import packed, token_pieces
-from sightline.llm.queries import WORDS, labelled_notes
+from sightline.llm.queries import WORDS
 from sightline.llm.repeats import without_repeats
 from sightline.llm.simhash import one_per_group
-from sightline.llm.toxicity import fit_toxicity, has_letters, toxicity_scores
+from sightline.llm.toxicity import fit_toxicity, without_toxic
 from sightline.session import checkpoint_folder, discard_tables, tables_written, tune
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -49,12 +49,8 @@ ORACLE_SQL = None
 @stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model trained on ``labels`` calls toxic go; those without letters stay, and all without a fitted model."""
-    notes = docs.select(F.col("doc_id").alias("event_id"), F.col("text").alias("note"))
-    model = fit_toxicity(labelled_notes(notes, spark, sf_dir))
-    if not model.slope:
-        return docs.select(*COLUMNS)
-    calm = (F.col("score") < 0.5) | ~has_letters(F.col("row.text"))
-    return toxicity_scores(docs, model, "text").where(calm).select("row.*").select(*COLUMNS)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return without_toxic(docs.select(*COLUMNS), fit_toxicity(docs, labels, "doc_id", "text"), "text")
 
 
 @stage
