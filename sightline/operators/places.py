@@ -35,17 +35,56 @@ def inside_coverage(points: DataFrame, coverage: DataFrame) -> DataFrame:
     ).drop("west", "south", "east", "north")
 
 
+def meeting_boxes(items: DataFrame, areas: DataFrame, item: str, area: str) -> DataFrame:
+    """``(area, item, row)`` once for every pair of boxes that touch; ``row`` is the item's whole row.
+
+    Both have ``west, south, east, north``.  Boxes meet in a hierarchy of grids at the larger of their two
+    levels, as in ``match_requests``: an item is filed in the at most four cells of its own level and of the
+    areas' larger levels, an area likewise, and a pair counts in the cell of its corner (max west, max south)
+    only.  An area that holds most items is spread over its cells; adaptive execution splits the rest.
+    """
+    from sightline.operators.catalog import BASE_CELL, _cells, _level, _present, _size
+
+    def leveled(df: DataFrame) -> DataFrame:
+        return df.withColumn("_own", _level(F.greatest(F.col("_e") - F.col("_w"), F.col("_n") - F.col("_s")), BASE_CELL))
+
+    def filed(df: DataFrame, others: list[int]) -> DataFrame:
+        levels = F.array_distinct(F.array("_own", *[F.greatest("_own", F.lit(v)) for v in others]))
+        cell = _size(F.col("_level"), BASE_CELL)
+        return (
+            df.withColumn("_level", F.explode(levels)).withColumn("_cx", _cells(F.col("_w"), F.col("_e"), cell))
+            .withColumn("_cy", _cells(F.col("_s"), F.col("_n"), cell))
+        )
+
+    box = [F.col(c).alias(n) for c, n in zip(("west", "south", "east", "north"), ("_w", "_s", "_e", "_n"), strict=True)]
+    left = leveled(items.select(F.col(item).alias("_item"), F.struct("*").alias("row"), *box))
+    right = leveled(areas.select(F.col(area).alias("_area"), *box))
+    there = filed(right, [v for (v,) in _present(left, "_own")]).select(
+        "_area", "_level", "_cx", "_cy", *[F.col(c).alias("o" + c) for c in ("_w", "_s", "_e", "_n", "_own")]
+    )
+    size = _size(F.col("_level"), BASE_CELL)
+    home = (F.floor(F.greatest("_w", "o_w") / size) == F.col("_cx")) & (F.floor(F.greatest("_s", "o_s") / size) == F.col("_cy"))
+    touch = (F.col("_e") >= F.col("o_w")) & (F.col("_w") <= F.col("o_e")) & (F.col("_n") >= F.col("o_s")) & (F.col("_s") <= F.col("o_n"))
+    here = filed(left, [v for (v,) in _present(right, "_own")])
+    return here.join(there, ["_level", "_cx", "_cy"]).where((F.col("_level") == F.greatest("_own", "o_own")) & touch & home).select(
+        F.col("_area").alias(area), F.col("_item").alias(item), "row"
+    )
+
+
 def largest_areas(polygons: DataFrame, areas: DataFrame, top: int = 3) -> DataFrame:
-    """Largest polygons touching each area: ``polygons(area_id, polygon_id, ring)``.
+    """Largest polygons touching each area: ``polygons(polygon_id, ring)``, ``areas(area_id, west, south, east, north)``.
 
-    Areas that keep fewer than ``top`` polygons are reported by ``short_areas``.
+    The areas that a polygon touches are found here, by boxes first and by its ring then; degenerate rings
+    touch none.  Areas that keep fewer than ``top`` polygons are reported by ``short_areas``.
     """
-    from sightline.functions.geometry import area, focus_point, ring_overlaps_box, simplify_ring
+    from sightline.functions.geometry import area, focus_point, ring_bounds, ring_overlaps_box, simplify_ring
     from sightline.operators.ranking import first_per_key
 
-    joined = polygons.join(areas, "area_id")
+    bounds = polygons.where(F.size("ring") >= 3).withColumn("_b", ring_bounds(F.col("ring")))
+    boxed = bounds.select("polygon_id", "ring", *[F.col(f"_b.{c}").alias(c) for c in ("west", "south", "east", "north")])
+    met = meeting_boxes(boxed, areas, "polygon_id", "area_id").select("area_id", "polygon_id", "row.ring").join(areas, "area_id")
     box = [F.col(c) for c in ("west", "south", "east", "north")]
-    touching = joined.where(ring_overlaps_box(F.col("ring"), *box)).withColumn("polygon_area", area(F.col("ring")))
+    touching = met.where(ring_overlaps_box(F.col("ring"), *box)).withColumn("polygon_area", area(F.col("ring")))
     best = first_per_key(touching, ["area_id"], [F.desc("polygon_area"), "polygon_id"], top, "area_rank")
     return best.withColumn("focus", focus_point(F.col("ring"), *box)).withColumn(
         "ring", simplify_ring(F.col("ring"))
@@ -53,5 +92,6 @@ def largest_areas(polygons: DataFrame, areas: DataFrame, top: int = 3) -> DataFr
 
 
 def short_areas(areas: DataFrame, largest: DataFrame, top: int = 3) -> DataFrame:
+    """``(area_id, kept)`` of the areas that fewer than ``top`` polygons touch."""
     kept = largest.groupBy("area_id").agg(F.count(F.lit(1)).alias("kept"))
     return areas.select("area_id").join(kept, "area_id", "left").na.fill(0, ["kept"]).where(F.col("kept") < top)

@@ -592,6 +592,31 @@ def pair_comparability(t: Inputs) -> DataFrame:
     )
 
 
+@query(
+    "nearest_pairs",
+    """WITH sided AS (
+        SELECT a.item_id AS after_id, b.item_id AS before_id, a.acquired_at AS a_at, b.acquired_at AS b_at,
+          (least(a.u1, b.u1) - greatest(a.u0, b.u0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS shared,
+          (b.u1 - b.u0) * (b.y1 - b.y0) AS b_area, (a.u1 - a.u0) * (a.y1 - a.y0) AS a_area,
+          row_number() OVER (PARTITION BY a.item_id ORDER BY b.acquired_at DESC, b.item_id) AS spot
+        FROM {v_slanted} a JOIN {v_slanted} b ON b.acquired_at < a.acquired_at
+          AND a.u0 < b.u1 AND b.u0 < a.u1 AND a.y0 < b.y1 AND b.y0 < a.y1)
+      SELECT before_id, after_id, CAST(date_diff('second', b_at, a_at) AS BIGINT) AS separation_seconds,
+        round_even(100e0 * shared / b_area + 0.0000125e0, 2) AS before_overlap_percent, round_even(100e0 * shared / a_area + 0.0000125e0, 2) AS after_overlap_percent
+      FROM sided WHERE spot = 1""",
+)
+def nearest_pairs(t: Inputs) -> DataFrame:
+    x = lambda u, y: geo.point(F.col(u) + F.lit(0.25) * F.col(y), F.col(y))
+    ring = F.array(x("u0", "y0"), x("u1", "y0"), x("u1", "y1"), x("u0", "y1"), x("u0", "y0"))
+    items = t.v_slanted.withColumn("footprint", F.array(ring)).withColumn("polarizations", F.split("pol_text", ","))
+    compared = pairs.compare_pairs(pairs.nearest_earlier(items), items)
+    return compared.select(
+        "before_id", "after_id", F.col("separation_seconds").cast("bigint").alias("separation_seconds"),
+        # The offset keeps percentages that end in a rounded 5 off the limit between two results.
+        *[F.bround(F.col(c) + F.lit(0.0000125), 2).alias(c) for c in ("before_overlap_percent", "after_overlap_percent")],
+    )
+
+
 _ROLES = """
     SELECT CAST(floor(k / 10) AS BIGINT) AS bundle_id, CASE WHEN k % 10 = 3 THEN 'before' ELSE 'after' END AS role, item_id
     FROM {v_item} WHERE k % 10 = 3 OR k % 10 = 4

@@ -226,21 +226,33 @@ def coverage_points(t: Inputs) -> DataFrame:
     return places.inside_coverage(t.sql(_POINTS), t.sql(_COVERAGE)).select("point_id", "case_id", "inside")
 
 
-_AREA_BOX = "SELECT CAST(r_regionkey AS BIGINT) AS area_id, -112e0 + r_regionkey AS west, 24e0 AS south, -108e0 + r_regionkey AS east, 29e0 AS north FROM {region}"
-_POLYGONS = "SELECT k % 5 AS area_id, k AS polygon_id, west AS pw, south AS ps, east + 0.000001e0 * CAST(k % 100003 AS DOUBLE) AS pe, north AS pn FROM {v_item}"
+# One area per customer, most a few degrees wide, some very wide, some outside all polygons.
+_AREA_BOX = """SELECT CAST(c_custkey AS BIGINT) AS area_id, w AS west, s AS south, w + d AS east, s + d * 0.7e0 AS north FROM (
+    SELECT c_custkey, -121e0 + 0.31e0 * CAST(c_custkey % 103 AS DOUBLE) AS w, 19e0 + 0.23e0 * CAST((c_custkey * 7) % 97 AS DOUBLE) AS s,
+           CASE WHEN c_custkey % 50 = 0 THEN 20e0 ELSE 0.2e0 + 0.3e0 * CAST(c_custkey % 4 AS DOUBLE) END AS d FROM {customer}) x"""
+_POLYGONS = "SELECT k AS polygon_id, west AS pw, south AS ps, east + 0.000001e0 * CAST(k % 100003 AS DOUBLE) AS pe, north AS pn FROM {v_item}"
+_LARGEST = f"""SELECT area_id, polygon_id, area_rank FROM (
+        SELECT a.area_id, polygon_id, row_number() OVER (PARTITION BY a.area_id ORDER BY (pe - pw) * (pn - ps) DESC, polygon_id) AS area_rank
+        FROM ({_POLYGONS}) p JOIN ({_AREA_BOX}) a ON NOT (pe < west OR pw > east OR pn < south OR ps > north)) x WHERE area_rank <= 3"""
+
+
+def _largest(t: Inputs) -> DataFrame:
+    ring = geo.box_ring(F.col("pw"), F.col("ps"), F.col("pe"), F.col("pn"))
+    return places.largest_areas(t.sql(_POLYGONS).select("polygon_id", ring.alias("ring")), t.sql(_AREA_BOX))
+
+
+@query("largest_areas", _LARGEST)
+def largest_areas(t: Inputs) -> DataFrame:
+    return _largest(t).select("area_id", "polygon_id", "area_rank")
 
 
 @query(
-    "largest_areas",
-    f"""SELECT area_id, polygon_id, area_rank FROM (
-        SELECT p.area_id, polygon_id, row_number() OVER (PARTITION BY p.area_id ORDER BY (pe - pw) * (pn - ps) DESC, polygon_id) AS area_rank
-        FROM ({_POLYGONS}) p JOIN ({_AREA_BOX}) a ON p.area_id = a.area_id
-        WHERE NOT (pe < west OR pw > east OR pn < south OR ps > north)) x WHERE area_rank <= 3""",
+    "short_areas",
+    f"""SELECT a.area_id, count(l.polygon_id) AS kept FROM ({_AREA_BOX}) a LEFT JOIN ({_LARGEST}) l ON l.area_id = a.area_id
+        GROUP BY a.area_id HAVING count(l.polygon_id) < 3""",
 )
-def largest_areas(t: Inputs) -> DataFrame:
-    ring = geo.box_ring(F.col("pw"), F.col("ps"), F.col("pe"), F.col("pn"))
-    polygons = t.sql(_POLYGONS).select("area_id", "polygon_id", ring.alias("ring"))
-    return places.largest_areas(polygons, t.sql(_AREA_BOX)).select("area_id", "polygon_id", "area_rank")
+def short_areas(t: Inputs) -> DataFrame:
+    return places.short_areas(t.sql(_AREA_BOX), _largest(t))
 
 
 @query(

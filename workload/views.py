@@ -54,6 +54,18 @@ VIEWS: dict[str, str] = {
                CASE WHEN c_custkey % 6 = 0 THEN 2e0 ELSE NULL END AS max_resolution_m
         FROM {customer}
     """,
+    # Items with slanted footprints; every second one at one site.  A point (x, y) of a footprint has
+    # ``u = x - y / 4`` from ``u0`` to ``u1``, so areas are those of the boxes in (u, y).
+    "v_slanted": """
+        SELECT k, item_id, acquired_at, u0, u1, y0, y1, u0 + 0.25e0 * y0 AS west, y0 AS south, u1 + 0.25e0 * y1 AS east, y1 AS north,
+               product_type, pol_text, resolution_range_m, resolution_azimuth_m, observation_direction, orbit_state,
+               incidence_angle_deg, grazing_angle_deg
+        FROM (SELECT *, CASE WHEN k % 2 = 0 THEN -100e0 ELSE west END + 0.0037e0 * CAST(k % 41 AS DOUBLE) AS u0,
+                     CASE WHEN k % 2 = 0 THEN -99.8e0 ELSE east END + 0.0037e0 * CAST(k % 41 AS DOUBLE) AS u1,
+                     CASE WHEN k % 2 = 0 THEN 30e0 ELSE south END + 0.0041e0 * CAST(k % 37 AS DOUBLE) AS y0,
+                     CASE WHEN k % 2 = 0 THEN 30.2e0 ELSE north END + 0.0041e0 * CAST(k % 37 AS DOUBLE) AS y1
+              FROM {v_item}) x
+    """,
     # Pairs chosen by a user: a site's first item with each other one, and some far apart.
     "v_pair": """
         SELECT DISTINCT concat('acq-', CAST(f.first_k AS STRING)) AS before_id,
