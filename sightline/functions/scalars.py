@@ -15,6 +15,11 @@ def computed_once(expression: Column) -> Column:
     return F.explode(F.array(expression))
 
 
+def broken(rule: Column) -> Column:
+    """True unless the rule holds: what cannot be told because a field is NULL is a breach."""
+    return ~F.coalesce(rule, F.lit(False))
+
+
 def collapse_spaces(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sightline.functions.scalars import broken
 from sightline.operators.evaluation import duplicates
 
 MAX_ARTIFACT_BYTES = 256 * 1024 * 1024
@@ -16,7 +17,7 @@ SIGNATURES = {"image/png": "89504E470D0A1A0A", "application/pdf": "255044462D"}
 
 
 def _reasons(*rules: tuple[Column, str]) -> Column:
-    return F.array_compact(F.array(*[F.when(broken, reason) for broken, reason in rules]))
+    return F.array_compact(F.array(*[F.when(breach, reason) for breach, reason in rules]))
 
 
 def _violations(df: DataFrame, *subject: str, rules: list[tuple[Column, str]]) -> DataFrame:
@@ -191,14 +192,13 @@ def component_violations(bundles: DataFrame, components: DataFrame, acquisitions
     reused = duplicates(components, ["bundle_id", "path"]).select(
         "bundle_id", F.col("path").alias("subject"), F.lit("component path is reused").alias("reason")
     )
-    closed = F.forall(
-        "rings", lambda r: F.element_at(r, 1).eqNullSafe(F.element_at(r, -1))
-    )
+    ends = lambda r: F.try_element_at(r, F.lit(1)) == F.try_element_at(r, F.lit(-1))
+    closed = (F.size("rings") > 0) & F.forall("rings", lambda r: F.coalesce(ends(r), F.lit(False)))
     aoi = _violations(
         aois.withColumn("subject", F.lit("aoi")), "bundle_id", "subject",
         rules=[
-            (F.sha2("geometry_text", 256) != F.col("geometry_sha256"), "AOI geometry checksum does not match"),
-            (~closed, "AOI polygon rings must be closed"),
+            (broken(F.sha2("geometry_text", 256) == F.col("geometry_sha256")), "AOI geometry checksum does not match"),
+            (broken(closed), "AOI polygon rings must be closed"),
         ],
     )
     return stack(per_component, reused, role_violations(bundles, acquisitions), aoi)
@@ -228,9 +228,9 @@ def display_violations(
     state = _violations(
         views.withColumn("subject", F.lit("bundle")), "bundle_id", "subject",
         rules=[
-            (~F.col("freshness").isin("current", "stale"), "freshness state is unknown"),
+            (broken(F.col("freshness").isin("current", "stale")), "freshness state is unknown"),
             ((F.col("freshness") == "stale") & F.col("freshness_reason").isNull(), "stale bundle needs a reason"),
-            (~F.col("permission").isin("allowed", "denied"), "permission state is unknown"),
+            (broken(F.col("permission").isin("allowed", "denied")), "permission state is unknown"),
             ((F.col("permission") == "denied") & F.col("permission_reason").isNull(), "denied permission needs a reason"),
         ],
     )
@@ -341,23 +341,23 @@ def input_role_violations(selections: DataFrame, inputs: DataFrame) -> DataFrame
 
 
 def parameter_violations(runs: DataFrame) -> DataFrame:
-    """Run parameters outside their declared ranges."""
+    """Run parameters that are NULL or outside their declared ranges."""
     c = F.col
     return _violations(
         runs, "run_id",
         rules=[
-            (~((c("score_threshold") > 0) & (c("score_threshold") <= 1)), "score threshold is out of range"),
-            (~c("tolerance").between(0, 3), "registration tolerance is out of range"),
-            (~c("opening").between(0, 3), "opening iterations are out of range"),
-            (~c("closing").between(0, 3), "closing iterations are out of range"),
-            (~c("connectivity").isin(4, 8), "connectivity must be 4 or 8"),
-            (~(c("minimum_pixels") >= 1), "minimum component size is out of range"),
-            (~c("maximum_candidates").between(1, 10000), "maximum candidate count is out of range"),
-            (~(c("resolution") > 0), "target resolution must be positive"),
-            (~(c("lower_percentile").between(0, 100) & c("upper_percentile").between(0, 100)), "percentile is out of range"),
-            (~(c("lower_percentile") < c("upper_percentile")), "lower percentile must be less than upper percentile"),
-            (~c("thumbnail_max_size").between(64, 2048), "thumbnail size is out of range"),
-            (~((c("min_valid_fraction") > 0) & (c("min_valid_fraction") <= 1)), "minimum valid fraction is out of range"),
+            (broken((c("score_threshold") > 0) & (c("score_threshold") <= 1)), "score threshold is out of range"),
+            (broken(c("tolerance").between(0, 3)), "registration tolerance is out of range"),
+            (broken(c("opening").between(0, 3)), "opening iterations are out of range"),
+            (broken(c("closing").between(0, 3)), "closing iterations are out of range"),
+            (broken(c("connectivity").isin(4, 8)), "connectivity must be 4 or 8"),
+            (broken(c("minimum_pixels") >= 1), "minimum component size is out of range"),
+            (broken(c("maximum_candidates").between(1, 10000)), "maximum candidate count is out of range"),
+            (broken(c("resolution") > 0), "target resolution must be positive"),
+            (broken(c("lower_percentile").between(0, 100) & c("upper_percentile").between(0, 100)), "percentile is out of range"),
+            (broken(c("lower_percentile") < c("upper_percentile")), "lower percentile must be less than upper percentile"),
+            (broken(c("thumbnail_max_size").between(64, 2048)), "thumbnail size is out of range"),
+            (broken((c("min_valid_fraction") > 0) & (c("min_valid_fraction") <= 1)), "minimum valid fraction is out of range"),
         ],
     )
 
@@ -368,7 +368,7 @@ def ordered_distinct(*warnings: Column) -> Column:
 
 
 def checksum_violations(documents: DataFrame) -> DataFrame:
-    """Documents ``(doc_id, geometry_text, geometry_sha256)`` whose stored checksum is wrong."""
-    return documents.where(F.sha2("geometry_text", 256) != F.col("geometry_sha256")).select(
+    """Documents ``(doc_id, geometry_text, geometry_sha256)`` whose stored checksum is wrong or missing, or that have no geometry."""
+    return documents.where(broken(F.sha2("geometry_text", 256) == F.col("geometry_sha256"))).select(
         "doc_id", F.lit("geometry checksum does not match").alias("reason")
     )

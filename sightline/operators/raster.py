@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.functions.scalars import broken
+
 from sightline.functions.projection import project, project_box
 from sightline.operators.ranking import exact_percentiles
 from sightline.session import small_side
@@ -477,9 +479,10 @@ def run_funnel(cells: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def grid_violations(rasters: DataFrame, grids: DataFrame) -> DataFrame:
-    """Rasters that disagree with their run's grid.
+    """Rasters that disagree with their run's grid, or have none, and grids without a raster.
 
-    ``rasters(run_id, role, crs, width, height, transform, bands, nodata_is_nan)``.
+    ``rasters(run_id, role, crs, width, height, transform, bands, nodata_is_nan)``.  A field that is NULL on
+    either side breaks its rule.
     """
     g = grids.select(
         "run_id", F.col("crs").alias("g_crs"), F.col("width").alias("g_width"),
@@ -491,24 +494,28 @@ def grid_violations(rasters: DataFrame, grids: DataFrame) -> DataFrame:
     )
     reasons = F.array_compact(
         F.array(
-            F.when(F.col("bands") != 1, "aligned artifact is not single-band"),
-            F.when(~F.col("crs").eqNullSafe(F.col("g_crs")), "aligned artifact CRS changed"),
+            F.when(broken(F.col("bands") == 1), "aligned artifact is not single-band"),
+            F.when(broken(F.col("crs") == F.col("g_crs")), "aligned artifact CRS changed"),
             F.when(
-                (F.col("width") != F.col("g_width")) | (F.col("height") != F.col("g_height")),
+                broken((F.col("width") == F.col("g_width")) & (F.col("height") == F.col("g_height"))),
                 "aligned artifact dimensions changed",
             ),
-            F.when(~close, "aligned artifact transform changed"),
-            F.when(~F.col("nodata_is_nan"), "aligned artifact must use NaN nodata"),
+            F.when(broken(close), "aligned artifact transform changed"),
+            F.when(broken(F.col("nodata_is_nan")), "aligned artifact must use NaN nodata"),
         )
     )
-    return rasters.join(g, "run_id").select("run_id", "role", F.explode(reasons).alias("reason"))
+    read = rasters.select("run_id", "role", "crs", "width", "height", "transform", "bands", "nodata_is_nan", F.lit(True).alias("_raster"))
+    both = read.join(g.withColumn("_grid", F.lit(True)), "run_id", "full_outer")
+    alone = F.when(F.col("_grid").isNull(), "run has no grid").when(F.col("_raster").isNull(), "grid has no raster")
+    return both.select("run_id", "role", F.explode(F.when(alone.isNotNull(), F.array(alone)).otherwise(reasons)).alias("reason"))
 
 
 def raster_violations(rasters: DataFrame, max_dimension: int = 200_000) -> DataFrame:
     """Source-raster metadata rules against the run's box.
 
     ``rasters(run_id, role, driver, crs, bands, dtype, nodata, width, height, transform,
-    color, r_west…r_north, west…north)``; the rotated flag is kept beside the reasons.
+    color, r_west…r_north, west…north)``; the rotated flag is kept beside the reasons.  A field that is NULL
+    breaks its rule.
     """
     t = F.col("transform")
     finite = F.forall("transform", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -519,23 +526,23 @@ def raster_violations(rasters: DataFrame, max_dimension: int = 200_000) -> DataF
     )
     reasons = F.array_compact(
         F.array(
-            F.when(F.col("driver") != "GTiff", "raster driver must be GTiff"),
+            F.when(broken(F.col("driver") == "GTiff"), "raster driver must be GTiff"),
             F.when(F.col("crs").isNull(), "raster is missing a CRS"),
-            F.when(F.col("bands") != 1, "raster must contain exactly one band"),
-            F.when(~numeric, "raster dtype is not supported"),
+            F.when(broken(F.col("bands") == 1), "raster must contain exactly one band"),
+            F.when(broken(numeric), "raster dtype is not supported"),
             F.when(F.col("nodata").isNull(), "raster must declare nodata"),
             F.when(
-                (F.col("width") > max_dimension) | (F.col("height") > max_dimension),
+                broken((F.col("width") <= max_dimension) & (F.col("height") <= max_dimension)),
                 "raster dimensions exceed the safety limit",
             ),
             F.when(
                 F.col("width").cast("bigint") * F.col("height") > MAX_PIXELS,
                 "raster pixel count exceeds the safety limit",
             ),
-            F.when(~finite, "raster transform contains non-finite values"),
+            F.when(broken(finite & (F.size("transform") >= 6)), "raster transform contains non-finite values"),
             F.when(F.abs(t[0] * t[4] - t[1] * t[3]) <= 1e-18, "raster transform is not invertible"),
-            F.when(~F.col("color").isin("gray", "undefined"), "raster band is not grayscale"),
-            F.when(apart, "raster does not intersect the processing AOI"),
+            F.when(broken(F.col("color").isin("gray", "undefined")), "raster band is not grayscale"),
+            F.when(broken(~apart), "raster does not intersect the processing AOI"),
         )
     )
     rotated = (F.abs(t[1]) > 0) | (F.abs(t[3]) > 0)

@@ -289,6 +289,50 @@ def checksum_faults(t: Inputs) -> DataFrame:
     ).select("doc_id")
 
 
+# Selections stored with a field missing or wrong, by their key's last digits.
+_STORED = """SELECT concat('sel-', CAST(k AS STRING)) AS selection_id, concat('acq-', CAST(k AS STRING)) AS before_id, concat('acq-', CAST(k + 1 AS STRING)) AS after_id,
+    'aoi-1' AS aoi_id, k, CASE WHEN k % 13 = 0 THEN NULL ELSE k % 10 END AS before_at, CASE WHEN k % 13 = 1 THEN NULL ELSE k % 7 END AS after_at,
+    CASE WHEN k % 13 = 2 THEN NULL ELSE CAST(k % 5 AS DOUBLE) END AS before_overlap_percent, CASE WHEN k % 13 = 3 THEN NULL ELSE CAST(k % 6 AS DOUBLE) END AS after_overlap_percent,
+    CASE WHEN k % 13 = 4 THEN NULL ELSE k % 3 > 0 END AS before_allowed, CASE WHEN k % 13 = 5 THEN NULL ELSE k % 4 > 0 END AS after_allowed,
+    CASE WHEN k % 13 = 6 THEN NULL ELSE k % 11 = 0 END AS tampered FROM {v_item}"""
+_SELECTION_RULES = {
+    "before acquisition must precede after acquisition": "before_at < after_at", "footprints do not overlap": "before_overlap_percent > 0 AND after_overlap_percent > 0",
+    "source host is not allowlisted": "before_allowed AND after_allowed", "manifest checksum does not match": "NOT tampered",
+}
+
+
+@query("stored_selections", " UNION ALL ".join(f"SELECT selection_id, '{reason}' AS reason FROM ({_STORED}) s WHERE ({ok}) IS NOT TRUE" for reason, ok in _SELECTION_RULES.items()))
+def stored_selections(t: Inputs) -> DataFrame:
+    from sightline.operators.pairs import manifest_checksum, selection_violations
+
+    stored = F.when(~F.col("tampered"), manifest_checksum()).when(F.col("tampered"), F.lit("0" * 64))
+    return selection_violations(t.sql(_STORED).withColumn("manifest_sha256", stored))
+
+
+@query(
+    "unset_checksums",
+    """SELECT doc_id, 'doc' AS of FROM {documents} WHERE doc_id % 19 IN (0, 3, 5)
+       UNION ALL SELECT doc_id, 'AOI geometry checksum does not match' FROM {documents} WHERE doc_id % 19 IN (0, 3, 5)
+       UNION ALL SELECT doc_id, 'AOI polygon rings must be closed' FROM {documents} WHERE doc_id % 17 IN (1, 2, 4)""",
+)
+def unset_checksums(t: Inputs) -> DataFrame:
+    """Documents and AOIs whose geometry, checksum or rings are missing, empty or wrong."""
+    case = F.col("doc_id") % 19
+    text = F.when(case != 5, F.concat(F.lit("g"), F.col("doc_id").cast("string")))
+    stored = F.when(case == 0, "f" * 64).when(case != 3, F.sha2(text, 256))
+    ring = F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), F.struct(F.lit(1.0).alias("x"), F.lit(0.0).alias("y")))
+    closed, kind = F.concat(ring, F.slice(ring, 1, 1)), F.col("doc_id") % 17
+    rings = F.when(kind == 1, F.array(ring)).when(kind == 2, F.array(F.slice(ring, 1, 0))).when(kind != 4, F.array(closed, closed))
+    rows = t.documents.select("doc_id", F.col("doc_id").alias("bundle_id"), text.alias("geometry_text"), stored.alias("geometry_sha256"), rings.alias("rings"))
+    none = rows.limit(0)
+    bundles = none.select("bundle_id", F.lit("").alias("change_run_id"), F.lit("").alias("source_run_id"))
+    components = none.select("bundle_id", *[F.lit("").alias(c) for c in ("name", "path", "declared_bundle_id", "version", "change_run_id", "source_run_id")])
+    found = contracts.component_violations(bundles, components, none.select("bundle_id", F.lit("").alias("role"), F.lit("").alias("acquisition_id")), rows)
+    return contracts.checksum_violations(rows).select("doc_id", F.lit("doc").alias("of")).unionAll(
+        found.select(F.col("bundle_id").cast("bigint").alias("doc_id"), F.col("reason").alias("of"))
+    )
+
+
 @query("duplicate_ids", "SELECT provider, item_id, count(*) AS occurrences FROM {v_acq} GROUP BY provider, item_id HAVING count(*) > 1")
 def duplicate_ids(t: Inputs) -> DataFrame:
     return duplicates(t.v_acq, ["provider", "item_id"])

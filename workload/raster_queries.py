@@ -453,6 +453,86 @@ def run_parameter_faults(t: Inputs) -> DataFrame:
     return parameter_violations(runs)
 
 
+# Runs whose parameters are each missing in turn: no field is set in run k that has k % 14 as its number.
+_UNSET = "SELECT concat('src-', CAST(k AS STRING)) AS run_id, " + ", ".join(
+    f"CASE WHEN k % 14 = {i} THEN NULL ELSE {v} END AS {c}"
+    for i, (c, v) in enumerate({
+        "score_threshold": "0.25e0 * CAST(k % 6 AS DOUBLE)", "tolerance": "k % 5", "opening": "k % 7 - 1", "closing": "k % 9 - 2",
+        "connectivity": "k % 3 * 4", "minimum_pixels": "k % 10", "maximum_candidates": "k * 7", "resolution": "0.5e0 * CAST(k % 8 AS DOUBLE)",
+        "lower_percentile": "CAST(k % 102 AS DOUBLE)", "upper_percentile": "CAST(k % 103 AS DOUBLE)", "thumbnail_max_size": "k % 3000",
+        "min_valid_fraction": "0.125e0 * CAST(k % 10 AS DOUBLE)",
+    }.items())
+) + " FROM (SELECT p_partkey AS k FROM {part}) r"
+_RANGES = {
+    "score threshold is out of range": "score_threshold > 0 AND score_threshold <= 1", "registration tolerance is out of range": "tolerance BETWEEN 0 AND 3",
+    "opening iterations are out of range": "opening BETWEEN 0 AND 3", "closing iterations are out of range": "closing BETWEEN 0 AND 3",
+    "connectivity must be 4 or 8": "connectivity IN (4, 8)", "minimum component size is out of range": "minimum_pixels >= 1",
+    "maximum candidate count is out of range": "maximum_candidates BETWEEN 1 AND 10000", "target resolution must be positive": "resolution > 0",
+    "percentile is out of range": "lower_percentile BETWEEN 0 AND 100 AND upper_percentile BETWEEN 0 AND 100",
+    "lower percentile must be less than upper percentile": "lower_percentile < upper_percentile",
+    "thumbnail size is out of range": "thumbnail_max_size BETWEEN 64 AND 2048",
+    "minimum valid fraction is out of range": "min_valid_fraction > 0 AND min_valid_fraction <= 1",
+}
+
+
+@query("unset_parameters", " UNION ALL ".join(f"SELECT run_id, '{reason}' AS reason FROM ({_UNSET}) p WHERE ({ok}) IS NOT TRUE" for reason, ok in _RANGES.items()))
+def unset_parameters(t: Inputs) -> DataFrame:
+    from sightline.operators.contracts import parameter_violations
+
+    return parameter_violations(t.sql(_UNSET))
+
+
+# Rasters and grids with one field missing in turn, rasters without a grid and grids without a raster.
+_HALF_SET = "SELECT k, concat('src-', CAST(k AS STRING)) AS run_id, CASE WHEN k % 2 = 0 THEN 'before' ELSE 'after' END AS role, " + ", ".join(
+    f"CASE WHEN k % 19 = {i} THEN NULL ELSE {v} END AS {c}"
+    for i, (c, v) in enumerate({
+        "driver": "CASE WHEN k % 5 = 0 THEN 'PNG' ELSE 'GTiff' END", "crs": "'EPSG:32612'", "bands": "1 + k % 2", "dtype": "'float32'", "nodata": "0e0",
+        "width": "1000 + size", "height": "2000 + size", "color": "CASE WHEN k % 3 = 0 THEN 'red' ELSE 'gray' END", "nodata_is_nan": "k % 4 <> 0",
+        "step": "2e0", "r_west": "0e0", "r_east": "1e0", "west": "0.125e0 * CAST(k % 10 AS DOUBLE)", "g_crs": "CASE WHEN k % 6 = 0 THEN 'EPSG:4326' ELSE 'EPSG:32612' END",
+        "g_width": "1000 + size", "g_height": "2000 + size - k % 2", "g_step": "2e0",
+    }.items())
+) + " FROM (SELECT p_partkey AS k, p_size AS size FROM {part}) r"
+
+
+def _half_set(t: Inputs) -> DataFrame:
+    shape = lambda step: F.when(F.col(step).isNotNull(), F.array(F.col(step), F.lit(0.0), F.lit(10.0), F.lit(0.0), F.lit(-2.0), F.lit(50.0)))
+    south, north = F.lit(0.0), F.lit(1.0)
+    return t.sql(_HALF_SET).withColumns({
+        "transform": shape("step"), "g_transform": shape("g_step"), "r_south": south, "r_north": north, "south": south, "north": north, "east": F.lit(2.0),
+    })
+
+
+_SOURCE_RULES = {
+    "raster driver must be GTiff": "driver = 'GTiff'", "raster is missing a CRS": "crs IS NOT NULL", "raster must contain exactly one band": "bands = 1",
+    "raster dtype is not supported": "dtype = 'float32'", "raster must declare nodata": "nodata IS NOT NULL",
+    "raster dimensions exceed the safety limit": "width <= 200000 AND height <= 200000", "raster transform contains non-finite values": "step IS NOT NULL",
+    "raster band is not grayscale": "color IN ('gray', 'undefined')", "raster does not intersect the processing AOI": "NOT (r_east <= west OR r_west >= 2e0)",
+}
+_GRID_RULES = {
+    "aligned artifact is not single-band": "bands = 1", "aligned artifact CRS changed": "crs = g_crs",
+    "aligned artifact dimensions changed": "width = g_width AND height = g_height", "aligned artifact transform changed": "step = g_step",
+    "aligned artifact must use NaN nodata": "nodata_is_nan",
+}
+
+
+@query("unset_raster_fields", " UNION ALL ".join(f"SELECT run_id, role, '{reason}' AS reason FROM ({_HALF_SET}) p WHERE ({ok}) IS NOT TRUE" for reason, ok in _SOURCE_RULES.items()))
+def unset_raster_fields(t: Inputs) -> DataFrame:
+    return raster.raster_violations(_half_set(t)).select("run_id", "role", "reason")
+
+
+@query(
+    "unset_grid_fields",
+    " UNION ALL ".join(
+        f"SELECT run_id, role, '{reason}' AS reason FROM ({_HALF_SET}) p WHERE k % 23 > 1 AND ({ok}) IS NOT TRUE" for reason, ok in _GRID_RULES.items()
+    ) + f""" UNION ALL SELECT run_id, role, 'run has no grid' FROM ({_HALF_SET}) p WHERE k % 23 = 0
+        UNION ALL SELECT run_id, NULL, 'grid has no raster' FROM ({_HALF_SET}) p WHERE k % 23 = 1""",
+)
+def unset_grid_fields(t: Inputs) -> DataFrame:
+    rows = _half_set(t)
+    grids = rows.where("k % 23 <> 0").select("run_id", *[F.col(f"g_{c}").alias(c) for c in ("crs", "width", "height", "transform")])
+    return raster.grid_violations(rows.where("k % 23 <> 1"), grids)
+
+
 # --- tiles ---------------------------------------------------------------------------
 
 _TILE_PIX = "SELECT role, CAST(12 AS INT) AS z, CAST(floor(c / 16) AS BIGINT) AS x, CAST(floor(r / 16) AS BIGINT) AS y, CASE WHEN v < 20000 THEN 0 ELSE 7 END AS band, run_id FROM {v_pix}"
