@@ -53,6 +53,18 @@ def simhash_groups(rows, radius=3):
     return [(i, f"{f:016x}", min(least[r], default=None)) for (i, _), f, r in zip(rows, fps, roots, strict=True)]
 
 
+def shingles(text, shingle=5):
+    words = (text or "").lower().split()
+    return frozenset(" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1)))
+
+
+def near_groups(rows, similarity=0.8):
+    """rows: (id, text) -> the rows' components by Jaccard similarity of their word shingles"""
+    sets = [shingles(t) for _, t in rows]
+    near = lambda i: [j for j in range(len(rows)) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
+    return components(len(rows), near)
+
+
 def without_repeats(rows, threshold=200):
     counts = Counter()
     data = [(t or "").encode() for _, t in rows]
