@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm.mixing import curriculum
+from sightline.llm.nearcopies import without_near_copies
 from sightline.llm.packing import packed, token_pieces
 from sightline.llm.queries import WORDS
 from sightline.llm.repeats import without_repeats
-from sightline.llm.simhash import one_per_group
 from sightline.llm.toxicity import fit_toxicity, without_toxic
 from sightline.session import checkpoint_folder, discard_tables, tables_written, tune
 
@@ -55,8 +55,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the least ``doc_id``."""
-    return one_per_group(docs, "doc_id", "text").select(*COLUMNS)
+    """One document of each group of near copies (five words, similarity 0.8) stays, that with the least ``doc_id``."""
+    return without_near_copies(docs.select(*COLUMNS), "doc_id", "text")
 
 
 @stage
