@@ -72,10 +72,12 @@ def href_verdicts(links: DataFrame, rules: DataFrame | None = None, href: str =
     Of the rules that fit, the one of highest ``rank`` gives the verdict, the first by name of equals;
     links that none fits are allowed.  ``rules`` has the columns of ``RULES``; every rule needs at least
     one literal token of lower-case letters and digits.  Each different link is judged once.  Null and
-    malformed hrefs have an empty host and path.  Columns of the four names are replaced.
+    malformed hrefs have an empty host and path.  Columns of the four names are replaced; others may have
+    any name.
     """
     rules = rule_table(links.sparkSession) if rules is None else rules
-    distinct = links.where(F.col(href).isNotNull()).select(F.col(href).alias("_href")).distinct()
+    rows = links.select(F.struct("*").alias("row"), F.col(href).alias("_href"))
+    distinct = rows.where(F.col("_href").isNotNull()).select("_href").distinct()
     target = distinct.select("_href", F.concat(host_of(F.col("_href")), path_of(F.col("_href"))).alias("_target"))
     tokens = target.select(
         "_href", "_target", F.explode(F.array_distinct(F.regexp_extract_all(_lower(F.col("_target")), F.lit(f"({TOKEN})"), F.lit(1)))).alias("token")
@@ -84,8 +86,9 @@ def href_verdicts(links: DataFrame, rules: DataFrame | None = None, href: str =
     index = reliable_checkpoint(filed(rules, tokens))
     fitting = tokens.join(index, "token").where(F.expr("_target RLIKE pattern"))
     best = fitting.groupBy("_href").agg(F.min_by(F.struct("rule", "verdict"), F.struct(-F.col("rank"), F.col("rule"))).alias("_best"))
-    judged = links.join(reliable_checkpoint(best), links[href] == F.col("_href"), "left")
+    judged = rows.join(reliable_checkpoint(best), "_href", "left")
+    carried = [F.col("row").getField(c).alias(c) for c in links.columns if c not in ("link_host", "link_path", "rule", "verdict")]
     return judged.select(
-        *[links[c] for c in links.columns if c not in ("link_host", "link_path", "rule", "verdict")], host_of(links[href]).alias("link_host"), path_of(links[href]).alias("link_path"),
+        *carried, host_of(F.col("_href")).alias("link_host"), path_of(F.col("_href")).alias("link_path"),
         F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit("allow")).alias("verdict"),
     )

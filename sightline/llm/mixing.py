@@ -30,7 +30,8 @@ def source_targets(sizes: DataFrame, source: str = "provider", weights: Sequence
 
     Targets share the sum of all sizes by weight.  None is above ``most`` times its source's size: going
     up in size per weight, the first source whose bound is not below an equal share of what is left sets
-    the share of all after it.  The windows span the sources, not their rows.
+    the share of all after it.  The windows span the sources, not their rows: one task orders them, which
+    suits sources that are providers or sites in the hundred thousands, not one source per item.
     """
     by_code_point = Window.orderBy(F.col(source).isNull(), source)
     ranked = sizes.withColumn("weight_rank", (F.row_number().over(by_code_point) - 1) % len(weights))
@@ -132,13 +133,20 @@ def mixing_plan(
 
 
 def curriculum(items: DataFrame, size: Column, id_col: str = "item_id", source: str = "provider", **options) -> DataFrame:
-    """The items as training takes them: one row per pass, range-sorted by position, columns unchanged."""
-    rows = items.withColumn("_row", F.xxhash64(*[F.col(c).cast("string") for c in items.columns]))
-    plan = mixing_plan(rows, size, id_col, source, keep=["_row"], **options).where("passes > 0")
+    """The items as training takes them: one row per pass, range-sorted by position, columns unchanged.
+
+    Columns may have any name.  Rows that repeat are rows of their own: copies with one id and equal values
+    take the passes planned for them in any order.  Items of equal position stand in any order.  A null size
+    counts as 0, and items of size 0 are not taken; a null source is a source of its own.
+    """
+    rows = items.select(
+        F.struct("*").alias("row"), F.col(id_col).alias("_key"), F.col(source).alias("_of"), size.cast("bigint").alias("_words")
+    ).withColumn("_row", F.xxhash64(F.col("row").cast("string")))
+    plan = mixing_plan(rows, F.col("_words"), "_key", "_of", keep=["_row"], **options).where("passes > 0")
     keys = ["_id", "_no_id", "_row"]
     copies = Window.partitionBy(*keys).orderBy(F.lit(1))
-    taken = reliable_checkpoint(plan.select(*id_key(id_col), "_row", "positions"))
+    taken = reliable_checkpoint(plan.select(*id_key("_key"), "_row", "positions"))
     taken = taken.withColumn("_copy", F.row_number().over(copies))
-    present = rows.select(F.struct(*items.columns).alias("row"), *id_key(id_col), "_row").withColumn("_copy", F.row_number().over(copies))
+    present = rows.select("row", *id_key("_key"), "_row").withColumn("_copy", F.row_number().over(copies))
     joined = present.join(taken, [*keys, "_copy"]).select("row", F.explode("positions").alias("_position"))
     return joined.repartitionByRange("_position").sortWithinPartitions("_position").select("row.*")

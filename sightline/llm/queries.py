@@ -57,7 +57,12 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     from sightline.llm.mixing import mixing_plan
 
     plan = mixing_plan(statements(spark, folder), F.regexp_count("statement", F.lit(WORDS)), "observation_id")
-    return plan.select(F.col("observation_id").alias("doc_id"), "size", "source_size", "target", "taken")
+    first, last = F.get("positions", F.lit(0)), F.get("positions", F.size("positions") - 1)
+    placed = plan.select(
+        F.col("observation_id").alias("doc_id"), "size", "source_size", "target", "taken",
+        F.bround(first, 6).alias("first_position"), F.bround(last, 6).alias("last_position"),
+    )
+    return placed.repartitionByRange("first_position").sortWithinPartitions("first_position")
 
 
 ORACLES["op6_mixing"] = r"""
@@ -74,16 +79,25 @@ WITH sized AS (
       / CAST(sum(weight) OVER (ORDER BY spot ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS share
   FROM placed
 ), aimed AS (
-  SELECT source, source_size, CASE WHEN source_size > 0 THEN
+  SELECT source, source_size, weight, CASE WHEN source_size > 0 THEN
     least(source_size * 3e0, (SELECT arg_min(share, spot) FROM shared WHERE ratio >= share) * weight) ELSE 0e0 END AS target
   FROM shared
 ), ordered AS (
   SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY place NULLS FIRST, doc_id NULLS FIRST, size
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sized
 )
-SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE
-  CAST(greatest(least(floor((2 * target - CAST(2 * before + size AS DOUBLE)) / CAST(2 * source_size AS DOUBLE)) + 1, 3), 0) AS BIGINT) * size END AS taken
-FROM ordered o JOIN aimed a ON o.source IS NOT DISTINCT FROM a.source
+SELECT doc_id, size, source_size, target, passes * size AS taken,
+  CASE WHEN passes > 0 THEN round_even(least(greatest(CASE
+    WHEN weight = 5 THEN 1.5e0 - sqrt(greatest(2.25e0 - 2e0 * start, 0e0)) WHEN weight = 2 THEN start
+    WHEN start <= 0.375e0 THEN sqrt(0.25e0 + 2e0 * start) - 0.5e0 ELSE sqrt(1e0 + 2e0 * (start - 0.375e0)) - 0.5e0 END, 0e0), 1e0), 6) END AS first_position,
+  CASE WHEN passes > 0 THEN round_even(least(greatest(CASE
+    WHEN weight = 5 THEN 1.5e0 - sqrt(greatest(2.25e0 - 2e0 * final, 0e0)) WHEN weight = 2 THEN final
+    WHEN final <= 0.375e0 THEN sqrt(0.25e0 + 2e0 * final) - 0.5e0 ELSE sqrt(1e0 + 2e0 * (final - 0.375e0)) - 0.5e0 END, 0e0), 1e0), 6) END AS last_position
+FROM (SELECT *, CASE WHEN passes > 0 THEN before / target END AS start,
+    CASE WHEN passes > 0 THEN ((passes - 1) * source_size + before) / target END AS final FROM (
+  SELECT doc_id, size, source_size, target, weight, CAST(before AS DOUBLE) AS before, CASE WHEN size = 0 THEN 0 ELSE
+    CAST(greatest(least(floor((2 * target - CAST(2 * before + size AS DOUBLE)) / CAST(2 * source_size AS DOUBLE)) + 1, 3), 0) AS BIGINT) END AS passes
+  FROM ordered o JOIN aimed a ON o.source IS NOT DISTINCT FROM a.source) p) q
 """
 
 

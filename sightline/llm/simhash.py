@@ -217,10 +217,12 @@ def one_per_group(
 ) -> DataFrame:
     """The observations without near copies: one row of each group, that with the least id.
 
-    Rows without an id come after all others of their group; among equal ids the text hash decides.
+    Rows without an id come after all others of their group; among equal ids the text hash decides, and of
+    rows that repeat one stays.  Columns may have any name.
     """
-    rows = _grouped_rows(observations, id_col, text, shingle, radius, bands)
-    first = rows.select("root", F.struct(*reversed(id_key(id_col)), F.col(id_col).alias("id"), F.col("_text_hash")).alias("k"))
+    carried = observations.select(F.struct("*").alias("row"), F.col(id_col).alias("_key"), F.col(text).alias("_content"))
+    rows = _grouped_rows(carried.drop("row"), "_key", "_content", shingle, radius, bands)
+    first = rows.select("root", F.struct(*reversed(id_key("_key")), F.col("_key").alias("id"), F.col("_text_hash")).alias("k"))
     order = F.struct("k._no_id", "k.id", "k._text_hash", "k._id")
     chosen = reliable_checkpoint(
         first.groupBy("root").agg(F.min(order).alias("k")).select("k._id", "k._no_id", "k._text_hash").distinct()
@@ -228,10 +230,10 @@ def one_per_group(
     keys = ["_id", "_no_id", "_text_hash"]
     one = Window.partitionBy(*keys).orderBy(F.lit(1))
     return (
-        observations.select("*", *id_key(id_col), F.xxhash64(text).alias("_text_hash"))
+        carried.select("row", *id_key("_key"), F.xxhash64("_content").alias("_text_hash"))
         .join(chosen, keys, "left_semi")
         .withColumn("_copy", F.row_number().over(one)).where("_copy = 1")
-        .select(*observations.columns)
+        .select("row.*")
     )
 
 

@@ -18,7 +18,7 @@ COLUMNS = {
     "op3_quality": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     "op4_languages": "doc_id held_out lang_pred score",
     "op5_repeats": "doc_id n_bytes n_removed n_spans kept_sha256",
-    "op6_mixing": "doc_id size source_size target taken",
+    "op6_mixing": "doc_id size source_size target taken first_position last_position",
     "op7_vectors": "vec_id n_links component_id kept",
     "op8_links": "page_id host path rule verdict",
     "op9_packing": "doc_id piece start length ids_crc32 sequence_id offset",
