@@ -76,7 +76,8 @@ def href_verdicts(links: DataFrame, rules: DataFrame | None = None, href: str =
     any name.
     """
     rules = rule_table(links.sparkSession) if rules is None else rules
-    rows = links.select(F.struct("*").alias("row"), F.col(href).alias("_href"))
+    # Numbered names clash with none, and columns that no reader asks for are not read.
+    rows = links.select(F.col(href), "*").toDF("_href", *[f"_column{i}" for i in range(len(links.columns))])
     distinct = rows.where(F.col("_href").isNotNull()).select("_href").distinct()
     target = distinct.select("_href", F.concat(host_of(F.col("_href")), path_of(F.col("_href"))).alias("_target"))
     tokens = target.select(
@@ -87,7 +88,7 @@ def href_verdicts(links: DataFrame, rules: DataFrame | None = None, href: str =
     fitting = tokens.join(index, "token").where(F.expr("_target RLIKE pattern"))
     best = fitting.groupBy("_href").agg(F.min_by(F.struct("rule", "verdict"), F.struct(-F.col("rank"), F.col("rule"))).alias("_best"))
     judged = rows.join(reliable_checkpoint(best), "_href", "left")
-    carried = [F.col("row").getField(c).alias(c) for c in links.columns if c not in ("link_host", "link_path", "rule", "verdict")]
+    carried = [F.col(f"_column{i}").alias(c) for i, c in enumerate(links.columns) if c not in ("link_host", "link_path", "rule", "verdict")]
     return judged.select(
         *carried, host_of(F.col("_href")).alias("link_host"), path_of(F.col("_href")).alias("link_path"),
         F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit("allow")).alias("verdict"),
