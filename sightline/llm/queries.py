@@ -62,7 +62,8 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
         F.col("observation_id").alias("doc_id"), "size", "source_size", "target", "taken",
         F.bround(first, 6).alias("first_position"), F.bround(last, 6).alias("last_position"),
     )
-    return placed.repartitionByRange("first_position").sortWithinPartitions("first_position")
+    # Documents that are not taken share an empty position; the id spreads them.
+    return placed.repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id")
 
 
 ORACLES["op6_mixing"] = r"""
