@@ -22,6 +22,8 @@ from sightline.operators.ranking import exact_percentiles
 from sightline.session import small_side
 
 MAX_PIXELS = 1_000_000_000
+#: Cells along the side of a source block when resampling; a block's values travel as one array.
+RESAMPLE_BLOCK = 64
 
 
 @dataclass(frozen=True)
@@ -188,6 +190,45 @@ def rasterize(polygons: DataFrame, keys: Sequence[str]) -> DataFrame:
 # --- resampling -------------------------------------------------------------------
 
 
+def _source_blocks(source: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, _rb, _cb, _cells)``: values of square blocks, row by row, NULL where a cell has none.
+
+    A block also holds the first row and column of the blocks below and right of it, so that the four
+    cells around any place lie in the block of the upper left one.  A cell given twice counts with its
+    greater value.
+    """
+    side = RESAMPLE_BLOCK + 1
+    usable = source.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    inside = usable.select(
+        *keys, F.col("value").cast("double").alias("_value"), F.floor(F.col("row") / RESAMPLE_BLOCK).alias("_rb"),
+        F.floor(F.col("col") / RESAMPLE_BLOCK).alias("_cb"), F.pmod("row", F.lit(RESAMPLE_BLOCK)).cast("int").alias("_r"),
+        F.pmod("col", F.lit(RESAMPLE_BLOCK)).cast("int").alias("_c"),
+    )
+
+    def held(up: int, left: int) -> Column:
+        return F.struct(
+            (F.col("_rb") - up).alias("rb"), (F.col("_cb") - left).alias("cb"),
+            ((F.col("_r") + up * RESAMPLE_BLOCK) * side + F.col("_c") + left * RESAMPLE_BLOCK).alias("at"),
+        )
+
+    top, first = F.col("_r") == 0, F.col("_c") == 0
+    places = (
+        F.when(top & first, F.array(held(0, 0), held(1, 0), held(0, 1), held(1, 1)))
+        .when(top, F.array(held(0, 0), held(1, 0))).when(first, F.array(held(0, 0), held(0, 1))).otherwise(F.array(held(0, 0)))
+    )
+    dealt = inside.select(*keys, "_value", F.explode(places).alias("_p")).select(
+        *keys, F.col("_p.rb").alias("_rb"), F.col("_p.cb").alias("_cb"), F.struct(F.col("_p.at").alias("at"), F.col("_value").alias("v")).alias("_cell")
+    )
+    blocks = dealt.groupBy(*keys, "_rb", "_cb").agg(F.sort_array(F.collect_list("_cell")).alias("_list"))
+
+    def filled(cell: Column, i: Column) -> Column:
+        gap = F.array_repeat(F.lit(None).cast("double"), cell["at"] - F.coalesce(F.get("_list", i - 1)["at"], F.lit(-1)) - 1)
+        again = F.get("_list", i + 1)["at"].eqNullSafe(cell["at"])
+        return F.when(again, gap).otherwise(F.concat(gap, F.array(cell["v"])))
+
+    return blocks.select(*keys, "_rb", "_cb", F.flatten(F.transform("_list", filled)).alias("_cells"))
+
+
 def resample_bilinear(
     cells: DataFrame, grids: DataFrame, source: DataFrame, source_grids: DataFrame,
     target_crs: str, source_crs: str, keys: Sequence[str] = ("run_id",),
@@ -200,6 +241,9 @@ def resample_bilinear(
 
     ``grids``/``source_grids`` hold ``keys, minx, maxy, resolution``.  Nodata taps are
     left out and the other weights rescaled; a cell with no usable tap is NULL.
+
+    A target cell goes once to the source block that its place falls into and reads its taps there;
+    source cells are shuffled once, as blocks, whatever the number of target grids.
     """
     keys, both = list(keys), [*keys, *cell_keys]
     target = small_side(grids.select(*both, "minx", "maxy", "resolution"))
@@ -218,32 +262,17 @@ def resample_bilinear(
         ((F.col("_p.x") - F.col("_sx")) / F.col("_sr") - 0.5).alias("_u"),
         ((F.col("_sy") - F.col("_p.y")) / F.col("_sr") - 0.5).alias("_v"),
     )
+    block = {name: F.floor(F.floor(place) / RESAMPLE_BLOCK) for name, place in (("_rb", "_v"), ("_cb", "_u"))}
+    met = placed.withColumns(block).join(_source_blocks(source, keys), [*keys, "_rb", "_cb"], "left")
     fu, fv = F.col("_u") - F.floor("_u"), F.col("_v") - F.floor("_v")
-
-    def tap(dr: int, dc: int) -> Column:
+    upper_left = (F.floor("_v") - F.col("_rb") * RESAMPLE_BLOCK) * (RESAMPLE_BLOCK + 1) + F.floor("_u") - F.col("_cb") * RESAMPLE_BLOCK
+    total, weights = F.lit(0.0), F.lit(0.0)
+    for dr, dc in ((0, 0), (0, 1), (1, 0), (1, 1)):
         weight = (fv if dr else 1 - fv) * (fu if dc else 1 - fu)
-        return F.struct(
-            (F.floor("_v") + dr).cast("int").alias("r"), (F.floor("_u") + dc).cast("int").alias("c"),
-            weight.alias("w"),
-        )
-
-    taps = placed.select(
-        *both, "row", "col", F.explode(F.array(tap(0, 0), tap(0, 1), tap(1, 0), tap(1, 1))).alias("_t")
-    ).where(F.col("_t.w") > 0)
-    values = source.where(F.col("value").isNotNull() & ~F.isnan("value")).select(
-        *keys, F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("value").alias("_value")
-    )
-    hit = taps.select(*both, "row", "col", F.col("_t.r").alias("_r"), F.col("_t.c").alias("_c"), F.col("_t.w").alias("_w"))
-    return (
-        hit.join(values, [*keys, "_r", "_c"], "left")
-        .groupBy(*both, "row", "col")
-        .agg(
-            F.try_divide(
-                F.sum(F.col("_w") * F.col("_value")),
-                F.sum(F.when(F.col("_value").isNotNull(), F.col("_w"))),
-            ).alias("value")
-        )
-    )
+        value = F.get("_cells", (upper_left + dr * (RESAMPLE_BLOCK + 1) + dc).cast("int"))
+        total = total + F.coalesce(weight * value, F.lit(0.0))
+        weights = weights + F.when(value.isNotNull(), weight).otherwise(0.0)
+    return met.select(*both, "row", "col", F.try_divide(total, weights).alias("value"))
 
 
 # --- quality ----------------------------------------------------------------------

@@ -235,6 +235,39 @@ def test_resampling_a_ramp(spark):
             assert r["value"] is None
 
 
+def test_resampling_across_blocks(spark):
+    """Several targets of one source, over block borders, negative rows, gaps, a doubled cell, a NaN and cells off the source."""
+    rng = np.random.default_rng(4)
+    source = {(r, c): float(rng.integers(0, 1000)) for r in range(-3, 140) for c in range(150) if rng.random() < 0.8}
+    rows = [("a", r, c, v) for (r, c), v in source.items()] + [("a", 63, 64, float("nan")), ("b", 0, 0, 7.0)]
+    twice = next(iter(source))
+    rows.append(("a", *twice, source[twice] - 5))
+    source.pop((63, 64), None)
+    rows = [r for r in rows if r[:3] != ("a", 63, 64) or np.isnan(r[3])]
+    given = spark.createDataFrame(rows, "run_id string, row int, col int, value double")
+    src = spark.createDataFrame([("a", 10.0, 300.0, 2.0), ("b", 0.0, 0.0, 1.0)], "run_id string, minx double, maxy double, resolution double")
+    targets = {("a", 1): (3.0, 308.0, 2.5, 130, 125), ("a", 2): (10.0, 300.0, 2.0, 150, 140), ("b", 1): (50.0, 50.0, 1.0, 2, 2), ("c", 1): (0.0, 0.0, 1.0, 2, 2)}
+    dst = spark.createDataFrame(
+        [(*k, *v) for k, v in targets.items()], "run_id string, part int, minx double, maxy double, resolution double, width int, height int"
+    )
+    src = src.union(spark.createDataFrame([("c", 0.0, 0.0, 1.0)], src.schema))
+    lattice = raster.lattice(dst, ("run_id", "part"))
+    out = raster.resample_bilinear(lattice, dst, given, src, "EPSG:32612", "EPSG:32612", cell_keys=("part",))
+    got = {(r["run_id"], r["part"], r["row"], r["col"]): r["value"] for r in out.collect()}
+    assert len(got) == out.count() == sum(w * h for *_, w, h in targets.values())
+    for (run, part, row, col), value in got.items():
+        if run != "a":
+            assert value is None
+            continue
+        minx, maxy, size, *_ = targets[run, part]
+        u, v = (minx + (col + 0.5) * size - 10) / 2 - 0.5, (300 - (maxy - (row + 0.5) * size)) / 2 - 0.5
+        i, j = int(np.floor(v)), int(np.floor(u))
+        taps = [(w, source[r, c]) for r, c, w in (
+            (i, j, (1 - v + i) * (1 - u + j)), (i, j + 1, (1 - v + i) * (u - j)), (i + 1, j, (v - i) * (1 - u + j)), (i + 1, j + 1, (v - i) * (u - j)),
+        ) if w > 0 and (r, c) in source]
+        assert value == (pytest.approx(sum(w * x for w, x in taps) / sum(w for w, _ in taps)) if taps else None)
+
+
 def test_quality_and_stretch(spark):
     values = np.arange(1, 37).reshape(6, 6)[2:6, 0:4]
     rows = [("r", role, int(r), int(c), float(values[r, c])) for role in ("before", "after") for r in range(4) for c in range(4)]
