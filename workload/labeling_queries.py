@@ -86,13 +86,13 @@ def region_placement(t: Inputs) -> DataFrame:
 
 def drafts(t: Inputs) -> DataFrame:
     where = point(F.col("minx") + 2 * (F.col("packet_id") % 60).cast("double"), F.col("maxy") - 2.0)
-    return t.v_packet.where("packet_id % 3 = 0").select("packet_id", F.lit("T-001").alias("tile_id"), F.array(where).alias("points"))
+    return t.v_packet.select("packet_id", F.lit("T-001").alias("tile_id"), F.array(where).alias("points"))
 
 
 @query(
     "draft_placement",
     """SELECT packet_id, 'T-001' AS tile_id, CASE WHEN packet_id % 60 > 40 THEN 'draft falls outside its declared tile' END AS reason
-       FROM {v_packet} WHERE packet_id % 3 = 0""",
+       FROM {v_packet}""",
 )
 def draft_placement(t: Inputs) -> DataFrame:
     return labeling.draft_faults(drafts(t), tiles(t), t.v_packet)
@@ -113,7 +113,7 @@ _COUNTS = f"""t AS ({_TILES}), r AS ({_REV}),
         reviewed_tiles = total_tiles AND incomplete_drafts = 0 AS ready_for_adjudication FROM n""",
 )
 def labeling_readiness(t: Inputs) -> DataFrame:
-    out = labeling.readiness(tiles(t), reviews(t), regions(t), drafts(t))
+    out = labeling.readiness(tiles(t), reviews(t), regions(t), drafts(t).where("packet_id % 3 = 0"))
     return out.withColumn("issues", F.array_join("blocking_issues", ";")).drop("blocking_issues")
 
 
@@ -145,4 +145,4 @@ def labeling_rules(t: Inputs) -> DataFrame:
         F.when(F.col("packet_id") % 6 == 1, "other").otherwise(F.col("manifest_sha256")).alias("manifest_sha256"),
         F.lit("complete").alias("coverage_status"), F.col("coverage_total").alias("coverage_reviewed"), "coverage_total",
     )
-    return labeling.export_violations(t.v_packet, laid, exports, reviews(t), regions(t), drafts(t))
+    return labeling.export_violations(t.v_packet, laid, exports, reviews(t), regions(t), drafts(t).where("packet_id % 3 = 0"))

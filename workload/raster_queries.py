@@ -352,22 +352,25 @@ def polygon_cells(t: Inputs) -> DataFrame:
 
 @query(
     "resampled_cells",
-    """WITH g AS (SELECT run_id, width, height FROM {v_grid}),
-       cells AS (SELECT run_id, rr AS r, cc AS c FROM g, LATERAL (SELECT unnest(range(g.height - 1)) AS rr) a, LATERAL (SELECT unnest(range(g.width - 1)) AS cc) b),
-       taps AS (SELECT run_id, r, c, r + dr AS sr, c + dc AS sc, (CASE dr WHEN 1 THEN 0.25e0 ELSE 0.75e0 END) * (CASE dc WHEN 1 THEN 0.5e0 ELSE 0.5e0 END) AS w
+    """WITH cells AS (SELECT run_id, role, rr AS r, cc AS c FROM {v_grid} g, (SELECT unnest(['before', 'after']) AS role) o,
+            LATERAL (SELECT unnest(range(g.height)) AS rr) a, LATERAL (SELECT unnest(range(g.width)) AS cc) b),
+       taps AS (SELECT run_id, role, r, c, r + dr AS sr, c + dc AS sc, (CASE dr WHEN 1 THEN 0.25e0 ELSE 0.75e0 END) * 0.5e0 AS w
                 FROM cells, (SELECT unnest(range(2)) AS dr) x, (SELECT unnest(range(2)) AS dc) y)
-       SELECT t.run_id, t.r AS cell_row, t.c AS cell_col, round_even(sum(w * v) / sum(CASE WHEN v IS NOT NULL THEN w END), 6) AS resampled
-       FROM taps t LEFT JOIN {v_pix} p ON p.run_id = t.run_id AND p.r = t.sr AND p.c = t.sc AND p.role = 'before' GROUP BY t.run_id, t.r, t.c""",
+       SELECT t.run_id, t.role, t.r AS cell_row, t.c AS cell_col, round_even(sum(w * v) / sum(CASE WHEN v IS NOT NULL THEN w END), 6) AS resampled
+       FROM taps t LEFT JOIN {v_pix} p ON p.run_id = t.run_id AND p.r = t.sr AND p.c = t.sc AND p.role = t.role GROUP BY t.run_id, t.role, t.r, t.c""",
 )
 def resampled_cells(t: Inputs) -> DataFrame:
-    """A grid shifted by half a column and a quarter row."""
+    """Both roles on a grid shifted by half a column and a quarter row."""
     shifted = t.v_grid.select(
-        "run_id", (F.col("minx") + 1.0).alias("minx"), (F.col("maxy") - 0.5).alias("maxy"), "resolution",
-        (F.col("width") - 1).alias("width"), (F.col("height") - 1).alias("height"),
+        "run_id", F.explode(F.array(F.lit("before"), F.lit("after"))).alias("role"), (F.col("minx") + 1.0).alias("minx"),
+        (F.col("maxy") - 0.5).alias("maxy"), "resolution", "width", "height",
     )
-    source = pixels(t).where("role = 'before'").select("run_id", "row", "col", "value")
-    out = raster.resample_bilinear(raster.lattice(shifted), shifted, source, t.v_grid, "EPSG:32612", "EPSG:32612")
-    return out.select("run_id", F.col("row").alias("cell_row"), F.col("col").alias("cell_col"), F.bround("value", 6).alias("resampled"))
+    keys = ("run_id", "role")
+    given = t.v_grid.join(shifted.select(*keys), "run_id")
+    out = raster.resample_bilinear(
+        raster.lattice(shifted, keys), shifted, pixels(t).select(*keys, "row", "col", "value"), given, "EPSG:32612", "EPSG:32612", keys
+    )
+    return out.select(*keys, F.col("row").alias("cell_row"), F.col("col").alias("cell_col"), F.bround("value", 6).alias("resampled"))
 
 
 _CONTROL = """SELECT concat('run-', CAST(s_suppkey % 2 AS STRING)) AS run_id, s_suppkey AS point_id,
@@ -548,15 +551,57 @@ def tile_tallies(t: Inputs) -> DataFrame:
     return tiles.tile_tallies(band).drop("z")
 
 
-@query("tile_pixels")
+# Krueger series between the ellipsoid and its transverse Mercator plane, from the third flattening.
+_FLAT = 1 / 298.257223563
+_N = _FLAT / (2 - _FLAT)
+_ECC = (_FLAT * (2 - _FLAT)) ** 0.5
+_SCALE = 0.9996 * 6378137 / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+# Coefficients of the powers of the third flattening, from the power of the harmonic on.
+_FORWARD = ((1 / 2, -2 / 3, 5 / 16, 41 / 180), (13 / 48, -3 / 5, 557 / 1440), (61 / 240, -103 / 140), (49561 / 161280,))
+_BACK = ((1 / 2, -2 / 3, 37 / 96, -1 / 360), (1 / 48, 1 / 15, -437 / 1440), (17 / 480, -37 / 840), (4397 / 161280,))
+_LATITUDE = ((2, -2 / 3, -2, 116 / 45), (7 / 3, -8 / 5, -227 / 45), (56 / 15, -136 / 35), (4279 / 630,))
+
+
+def _series(table, term: str, sign: str) -> str:
+    factors = [sum(c * _N ** (j + i) for i, c in enumerate(row)) for j, row in enumerate(table, start=1)]
+    return "".join(f" {sign} {f!r} * {term.format(k=f'{2 * j}e0')}" for j, f in enumerate(factors, start=1))
+
+
+def _tile_row(lat: str) -> str:
+    return f"CAST(trunc((1 - asinh(tan(radians({lat}))) / pi()) / 2 * pow(2, z)) AS BIGINT)"
+
+
+_TILE_PIXELS = f"""WITH g AS (SELECT DISTINCT concat(run_id, '/', p.role) AS role, minx, maxy, maxx, miny FROM {{v_grid}} JOIN (SELECT DISTINCT run_id, role FROM {{v_pix}}) p USING (run_id)),
+    corner AS (SELECT role, (y / {_SCALE!r}) AS xi, (x - 5e5) / {_SCALE!r} AS eta FROM g, LATERAL (SELECT unnest([minx, maxx]) AS x) a, LATERAL (SELECT unnest([miny, maxy]) AS y) b),
+    sphere AS (SELECT role, xi{_series(_BACK, "sin({k} * xi) * cosh({k} * eta)", "-")} AS xi, eta{_series(_BACK, "cos({k} * xi) * sinh({k} * eta)", "-")} AS eta FROM corner),
+    turned AS (SELECT role, asin(sin(xi) / cosh(eta)) AS chi, -111e0 + degrees(atan2(sinh(eta), cos(xi))) AS lon FROM sphere),
+    box AS (SELECT role, min(lon) AS west, max(lon) AS east, min(lat) AS south, max(lat) AS north
+            FROM (SELECT role, lon, degrees(chi{_series(_LATITUDE, "sin({k} * chi)", "+")}) AS lat FROM turned) q GROUP BY role),
+    edges AS (SELECT role, z, CAST(trunc((west + 180) / 360 * pow(2, z)) AS BIGINT) AS x0, CAST(trunc((east + 180) / 360 * pow(2, z)) AS BIGINT) AS x1,
+                {_tile_row("north")} AS y0, {_tile_row("south")} AS y1 FROM box, (SELECT unnest(range(8, 15)) AS z) zs),
+    cover AS (SELECT role, z, x, y FROM edges, LATERAL (SELECT unnest(range(x0, x1 + 1)) AS x) a, LATERAL (SELECT unnest(range(y0, y1 + 1)) AS y) b),
+    cells AS (SELECT role, z, x, y, tr, tc, radians(-180 + 360 * (x + (tc + 0.5e0) / 256) / pow(2, z)) AS lam, pi() * (1 - 2 * (y + (tr + 0.5e0) / 256) / pow(2, z)) AS psi
+              FROM cover, (SELECT unnest(range(256)) AS tr) a, (SELECT unnest(range(256)) AS tc) b),
+    bent AS (SELECT *, sinh(psi - {_ECC!r} * atanh({_ECC!r} * tanh(psi))) AS t, lam - radians(-111e0) AS dl FROM cells),
+    flat AS (SELECT role, z, x, y, tr, tc, atan2(t, cos(dl)) AS xi, asinh(sin(dl) / sqrt(t * t + cos(dl) * cos(dl))) AS eta FROM bent),
+    placed AS (SELECT role, z, x, y, tr, tc, (5e5 + {_SCALE!r} * (eta{_series(_FORWARD, "cos({k} * xi) * sinh({k} * eta)", "+")}) - minx) / 2 - 0.5e0 AS u,
+                 (maxy - {_SCALE!r} * (xi{_series(_FORWARD, "sin({k} * xi) * cosh({k} * eta)", "+")})) / 2 - 0.5e0 AS v FROM flat JOIN g USING (role)),
+    taps AS (SELECT role, z, x, y, tr, tc, floor(v) + dr AS r, floor(u) + dc AS c, abs(1 - dr - (v - floor(v))) * abs(1 - dc - (u - floor(u))) AS w
+             FROM placed, (SELECT unnest(range(2)) AS dr) a, (SELECT unnest(range(2)) AS dc) b),
+    shown AS (SELECT t.role, z, x, y, tr, tc, sum(w * p.v) / sum(CASE WHEN p.v IS NOT NULL THEN w END) AS value
+              FROM taps t LEFT JOIN (SELECT concat(run_id, '/', role) AS role, r, c, v FROM {{v_pix}}) p ON p.role = t.role AND p.r = t.r AND p.c = t.c GROUP BY t.role, z, x, y, tr, tc)
+    SELECT role, z, x, y, count(value) AS filled, count(*) AS cells, round_even(avg(value), 2) AS mean_value FROM shown GROUP BY role, z, x, y"""
+
+
+@query("tile_pixels", _TILE_PIXELS)
 def tile_pixels(t: Inputs) -> DataFrame:
-    """Filled pixels per tile when the raster of a role is cut into web tiles."""
+    """Filled pixels per tile and zoom when the raster of a role is cut into web tiles."""
     band = F.concat_ws("/", "run_id", "role").alias("role")
     source = pixels(t).select(band, "row", "col", "value")
     grid = t.v_grid.join(t.v_pix.select("run_id", band).distinct(), "run_id")
     box = project_box(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy"), "EPSG:32612", "EPSG:4326")
     boxes = grid.withColumn("_b", box).select("role", "_b.west", "_b.south", "_b.east", "_b.north")
-    cover = tiles.tile_cover(boxes, 14, 14).select("role", "z", "x", "y")
+    cover = tiles.tile_cover(boxes).select("role", "z", "x", "y")
     out = tiles.assemble_tiles(cover, source, grid.select("role", "minx", "maxy", "resolution"), "EPSG:32612")
     return out.groupBy("role", "z", "x", "y").agg(
         F.count("value").alias("filled"), F.count(F.lit(1)).alias("cells"), F.bround(F.avg("value"), 2).alias("mean_value")

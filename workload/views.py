@@ -148,11 +148,11 @@ VIEWS: dict[str, str] = {
         FROM {part}
     """,
     "v_annotation": """
-        SELECT CAST(floor(p_partkey / 200) AS BIGINT) AS case_id, concat('cand-', CAST(p_partkey AS STRING)) AS candidate_id,
+        SELECT CAST(floor(p_partkey / 200) AS BIGINT) AS case_id, concat(CASE WHEN p_partkey % 3 = 0 THEN 'note-' ELSE 'cand-' END, CAST(p_partkey AS STRING)) AS candidate_id,
                CASE p_partkey % 6 WHEN 0 THEN 'geometry' WHEN 1 THEN 'water-moisture' WHEN 2 THEN 'speckle'
                     WHEN 3 THEN 'shadow-layover' WHEN 4 THEN 'registration-artifact' ELSE 'other' END AS failure_class,
                CASE WHEN p_partkey % 10 = 0 THEN 'pending' ELSE 'domain-reviewed' END AS review_status
-        FROM {part} WHERE p_partkey % 3 <> 0
+        FROM {part}
     """,
     # Artifacts: a document is a file; every eleventh declaration is tampered with.
     "v_file": """
