@@ -36,6 +36,18 @@ def test_artifact_files(spark, tmp_path):
     }
 
 
+def test_large_files_are_hashed_in_pieces(spark, tmp_path):
+    data = {"empty": b"", "a b%20c": b"ab", "limit": b"12345678", "over": b"123456789", "long": bytes(range(256)) * 12_000}
+    (tmp_path / "in").mkdir()
+    for name, content in data.items():
+        (tmp_path / "in" / name).write_bytes(content)
+    got = artifacts.relative_to(artifacts.scan_files(spark, str(tmp_path), whole_bytes=8), str(tmp_path)).collect()
+    assert {r["path"]: (r["length"], r["sha256"], bytes(r["magic"])) for r in got} == {
+        f"in/{name}": (len(content), hashlib.sha256(content).hexdigest(), content[:8]) for name, content in data.items() if content
+    }
+    assert artifacts.scan_files(spark, str(tmp_path), "*.none").count() == 0
+
+
 def test_repeated_ids_and_summaries(spark):
     declared = spark.createDataFrame([("b", "a1", "available")], "bundle_id string, artifact_id string, status string")
     candidates = spark.createDataFrame([("b", "c", ["a1"])] * 2, "bundle_id string, candidate_id string, evidence_artifact_ids array<string>")

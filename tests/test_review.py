@@ -139,6 +139,28 @@ def test_current_view_reads_files_and_folders(spark, tmp_path, as_folder):
     assert got == {f"c{i % 7}": i for i in range(93, 100)}
 
 
+def test_requests_once_within_the_delay(spark, tmp_path):
+    """Repeats inside the delay go, in a later batch too; a draft behind the watermark is dropped and counted; old state is let go."""
+    batches = [
+        [("r1", "12:00"), ("r1", "12:05"), ("r2", "12:30")],
+        [("r1", "12:31"), ("r3", "10:00"), ("r4", "12:40")],
+        [("r5", "23:00")],
+        [("r6", "23:05")],
+    ]
+    out, dropped, held = str(tmp_path / "out"), 0, []
+    for rows in batches:
+        frame = spark.createDataFrame([("b", r, f"2026-01-01 {at}:00") for r, at in rows], "bundle_id string, request_id string, at string")
+        frame.withColumn("at", F.to_timestamp("at")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = assessments.table_stream(spark, str(tmp_path / "in"), frame.withColumn("at", F.to_timestamp("at")).schema)
+        run = assessments.first_requests(stream, "at", "1 hour").writeStream.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state"))
+        run = run.format("parquet").start(out)
+        run.awaitTermination()
+        dropped += sum(s["numRowsDroppedByWatermark"] for p in run.recentProgress for s in p["stateOperators"])
+        held.append(run.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert sorted(r["request_id"] for r in spark.read.parquet(out).collect()) == ["r1", "r2", "r4", "r5", "r6"]
+    assert dropped == 1 and max(held) <= 3 and held[-1] <= 2
+
+
 def test_exported_records_hold_whole_events(spark):
     events = spark.createDataFrame([(3, "e3", "b", "c", "q", "supported", "n", None)], "seq long, event_id string, bundle_id string, candidate_id string, request_id string, disposition string, note string, supersedes_event_id string")
     cands = spark.createDataFrame([("b", "c", 0.5)], "bundle_id string, candidate_id string, score double")

@@ -380,3 +380,20 @@ def stored_files(t: Inputs) -> DataFrame:
     """Size, checksum and leading bytes of the table files themselves."""
     found = artifact_files.scan_files(t.spark, t.folder, "*.parquet")
     return artifact_files.relative_to(found, t.folder).select("path", "length", "sha256", F.hex("magic").alias("magic"))
+
+
+@query(
+    "exported_files",
+    """SELECT bundle, length, sha256(body) AS sha256, left(hex(body), 16) AS magic FROM (SELECT concat('bundle=', CAST(bundle AS VARCHAR)) AS bundle,
+         CAST(strlen(body) AS BIGINT) AS length, body FROM (SELECT CAST(floor(doc_id / 100) AS BIGINT) AS bundle,
+           concat(string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id), chr(10)) AS body FROM {documents} GROUP BY 1) b) c""",
+)
+def exported_files(t: Inputs) -> DataFrame:
+    """Documents written as one text file per hundred ids, then found and hashed; files over 128 KiB in pieces."""
+    folder = f"{checkpoint_folder(t.spark)}/sightline-files-{uuid.uuid4().hex}"
+    lines = t.documents.select(F.floor(F.col("doc_id") / 100).alias("bundle"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    lines.repartition("bundle").sortWithinPartitions("bundle", "doc_id").select("bundle", "value").write.partitionBy("bundle").text(folder)
+    found = artifact_files.scan_files(t.spark, folder, "*.txt", whole_bytes=1 << 17)
+    return artifact_files.relative_to(found, folder).select(
+        F.substring_index("path", "/", 1).alias("bundle"), "length", "sha256", F.hex("magic").alias("magic")
+    )

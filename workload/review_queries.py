@@ -159,6 +159,13 @@ def streamed_rejects(t: Inputs) -> DataFrame:
     return _run_to_end(t, bad.select("seq", "problem"))
 
 
+@query("streamed_requests", "SELECT DISTINCT bundle_id, request_id FROM {v_evt}")
+def streamed_requests(t: Inputs) -> DataFrame:
+    """Every request once, however often it is sent within a year of event time."""
+    sent = _event_stream(t).select("bundle_id", "request_id", F.col("created_at").cast("timestamp").alias("created_at"))
+    return _run_to_end(t, assessments.first_requests(sent, "created_at", "366 days").select("bundle_id", "request_id"))
+
+
 # One draft after another.  Candidates are six events in a row and only the last two of nine share a request
 # id, so blocks of eighteen events are decided side by side.
 _DECIDED = f"""WITH /*recursive*/ sound AS (
