@@ -162,18 +162,22 @@ def _pruned(table: DataFrame, shared: np.ndarray, mixed: np.ndarray) -> DataFram
     return map_arrow(table, run, [*table.schema.fields, T.StructField("mixed", T.BooleanType())])
 
 
-def _with_bytes(keyed: DataFrame, places: np.ndarray, threshold: int, width: int) -> DataFrame:
-    """The bytes of the runs whose place may be in the map, read from the statements again."""
-    maps = keyed.sparkSession.sparkContext.broadcast(places)
+def _with_bytes(keyed: DataFrame, places: DataFrame, threshold: int, width: int) -> DataFrame:
+    """The bytes of the runs that begin at ``places(doc, body, first)``, read from the statements again.
+
+    The places of a statement, at most one for each of its bytes, meet it in a join, so exactly their runs
+    are read and statements without any are not.
+    """
+    wanted = places.groupBy("doc", "body").agg(F.collect_set("first").alias("_wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, bodies = numbers(batch, "doc"), numbers(batch, "body")
             out, held = [[] for _ in RUN], []
-            for i, value in enumerate(batch.column("_text")):
-                data = value.as_py()
+            for i, (value, asked) in enumerate(zip(batch.column("_text"), batch.column("_wanted"), strict=True)):
+                data, asked = value.as_py(), asked.values.to_numpy()
                 for first, last, anchors, digests in runs(data, threshold, width):
-                    keep = member(maps.value, place(np.full(len(first), docs[i] ^ bodies[i]), first))
+                    keep = np.isin(first, asked)
                     n = int(keep.sum())
                     for column, part in zip(
                         out, (np.full(n, docs[i]), np.full(n, bodies[i]), first[keep].astype(np.uint64), last[keep].astype(np.uint64), anchors[keep], digests[keep]), strict=True
@@ -184,13 +188,8 @@ def _with_bytes(keyed: DataFrame, places: np.ndarray, threshold: int, width: int
                 arrays = [int64(np.concatenate(c)) for c in out]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(held, pa.binary())], names=[*RUN, "bytes"])
 
-    return map_arrow(keyed, run, [*_longs(*RUN), T.StructField("bytes", T.BinaryType())])
-
-
-def place(document: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A 64-bit value for a run's place; only ever used to look it up in a bit map."""
-    mixed = (document + first.astype(np.uint64)) * ODD[0]
-    return mixed ^ (mixed >> np.uint64(32))
+    met = keyed.join(wanted, ["doc", "body"])
+    return map_arrow(met, run, [*_longs(*RUN), T.StructField("bytes", T.BinaryType())])
 
 
 def _windows(data: bytes, threshold: int) -> np.ndarray:
@@ -279,8 +278,8 @@ def repeated_windows(
         )
     )
     whole = members.join(kinds.where("n > 1").select("anchor", "run"), ["anchor", "run"]).select("doc", "body", "first", "last")
-    places = _places(kinds.where("mixed").select("rep.doc", "rep.body", "rep.first"))
-    payload = _with_bytes(keyed, membership(places, ["place"], bits)[0], threshold, anchor)
+    places = kinds.where("mixed").select("rep.doc", "rep.body", "rep.first")
+    payload = _with_bytes(keyed, places, threshold, anchor)
     crowded = reliable_checkpoint(
         kinds.where("mixed").groupBy("anchor").count().where(F.col("count") > runs_per_task).select("anchor", F.lit(True).alias("crowded"))
     )
@@ -290,15 +289,6 @@ def repeated_windows(
     return own.unionAll(whole).unionAll(single).unionAll(many)
 
 
-def _places(first_of_kind: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            where = place(numbers(batch, "doc") ^ numbers(batch, "body"), numbers(batch, "first"))
-            yield pa.RecordBatch.from_arrays([int64(where)], names=["place"])
-
-    return map_arrow(first_of_kind, run, _longs("place"))
-
-
 def _merged(spans: list[dict], threshold: int) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted((s["first"], s["last"]) for s in spans):
@@ -322,12 +312,14 @@ def without_repeats(
     """
     spans = (
         repeated_windows(observations, id_col, text, threshold, **options)
-        .groupBy("doc", "body").agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
+        .groupBy("doc", "body").agg(F.collect_set(F.struct("first", "last")).alias("_spans"))
     )
     rows = observations.select(
         F.struct("*").alias("row"), F.xxhash64(*id_key(id_col), F.lit(1)).alias("doc"),
-        F.xxhash64(text).alias("body"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_text"),
-    ).join(reliable_checkpoint(spans), ["doc", "body"], "left").select("row", "_text", "_spans")
+        F.xxhash64(text).alias("body"),
+    ).join(reliable_checkpoint(spans), ["doc", "body"], "left")
+    # The statement travels inside its row only.
+    rows = rows.select("row", F.coalesce(F.col("row").getField(text).cast("binary"), F.lit(b"")).alias("_text"), "_spans")
     fields = [
         rows.schema["row"], T.StructField("kept", T.BinaryType()), *_longs("n_bytes", "n_removed"),
         T.StructField("spans", T.ArrayType(T.StructType(_longs("begin", "end")))),
