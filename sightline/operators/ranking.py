@@ -8,12 +8,18 @@ case: a key that may own a large share of the table.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sightline.session import reliable_checkpoint, small_side
+from sightline.session import reliable_checkpoint, ship_by_value, small_side
+
+ship_by_value(__name__)
 
 
 def ranked(
@@ -52,6 +58,46 @@ def ranked(
     )
 
 
+def preceding(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the ``value`` of the row before it in its key, NULL for a key's first row.
+
+    One range sort by (key, order), so a hot key spreads over many partitions.  Each task looks one row back;
+    only the first row of a partition needs the last one of the partition before, which comes from a table
+    of one row per partition.  Missing keys are a key of their own; other columns may have any name but
+    ``_pid``, ``_at`` and ``_tail``.
+    """
+    keys, columns = list(keys), list(df.columns)
+    fields = [*df.schema.fields, T.StructField(name, df.schema[value].dataType), T.StructField("_pid", T.IntegerType()), T.StructField("_at", T.LongType())]
+    spread = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+
+    def look_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, at, last = TaskContext.get().partitionId(), 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            earlier = {c: pa.concat_arrays([pa.nulls(1, batch.column(c).type) if last is None else last.column(c), batch.column(c).slice(0, batch.num_rows - 1)]) for c in {*keys, value}}
+            alike = pa.array([at > 0] + [True] * (batch.num_rows - 1))
+            for key in keys:
+                now, then = batch.column(key), earlier[key]
+                both = pc.and_(now.is_null(), then.is_null())
+                alike = pc.and_(alike, pc.or_(both, pc.fill_null(pc.equal(now, then), False)))
+            found = pc.if_else(alike, earlier[value], pa.nulls(batch.num_rows, batch.column(value).type))
+            places = pa.array(range(at, at + batch.num_rows), pa.int64())
+            last, at = batch.slice(batch.num_rows - 1), at + batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, found, pa.array([number] * batch.num_rows, pa.int32()), places], names=[*columns, name, "_pid", "_at"]
+            )
+
+    seen = reliable_checkpoint(spread.mapInArrow(look_back, T.StructType(fields)))
+    tails = seen.groupBy("_pid").agg(F.max_by(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(value).alias("v")), "_at").alias("_tail"))
+    carried = small_side(tails.select("_pid", F.lag("_tail").over(Window.orderBy("_pid")).alias("_tail")))
+    joined = seen.join(carried, "_pid", "left")
+    carries = F.col("_at") == 0
+    for i, key in enumerate(keys):
+        carries = carries & F.col(key).eqNullSafe(F.col(f"_tail.k{i}"))
+    return joined.select(*columns, F.when(carries, F.col("_tail.v")).otherwise(F.col(name)).alias(name))
+
+
 def first_per_key(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int, name: str = "rank"
 ) -> DataFrame:

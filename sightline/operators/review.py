@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.operators.ranking import ranked
+from sightline.operators.ranking import preceding, ranked
 from sightline.session import reliable_checkpoint
 
 DISPOSITIONS = ("supported", "rejected", "needs-context")
@@ -71,14 +71,9 @@ def unresolved(observations: DataFrame, events: DataFrame) -> DataFrame:
 def supersession_conflicts(events: DataFrame) -> DataFrame:
     """Stored events that do not supersede exactly the event before them.
 
-    The previous event comes from a rank self-join on unique (candidate, position)
-    keys, so no candidate's log is sorted in one task.
+    The log is range-sorted once and each event looks one row back, so no candidate's log is sorted in one task.
     """
-    placed = ranked(events, ["bundle_id", "candidate_id"], ["seq"], "position")
-    before = placed.select(
-        "bundle_id", "candidate_id", (F.col("position") + 1).alias("position"), F.col("event_id").alias("_previous")
-    )
-    joined = placed.join(before, ["bundle_id", "candidate_id", "position"], "left")
+    joined = preceding(events, ["bundle_id", "candidate_id"], ["seq"], "event_id", "_previous")
     named = F.col("supersedes_event_id")
     return joined.where(~named.eqNullSafe(F.col("_previous"))).select(
         "bundle_id", "candidate_id", "seq", "event_id", "supersedes_event_id",

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sightline.operators.components import connected_components
-from sightline.operators.ranking import exact_percentiles, last_per_key, ranked
+from sightline.operators.ranking import exact_percentiles, last_per_key, preceding, ranked
 
 
 @pytest.fixture(scope="module")
@@ -67,3 +67,13 @@ def test_components_equal_union_find(spark):
         parent[b] = a
     assert not got.duplicated(["run_id", "node"]).any()
     assert {(r.run_id, r.node): (r.run_id, r.root) for r in got.itertuples()} == {n: find(n) for n in parent}
+
+
+def test_preceding_over_partitions_and_missing_keys(spark):
+    """A hot key over many partitions, keys of one row, missing keys and values."""
+    rows = [("hot", i, None if i % 50 == 7 else f"v{i}") for i in range(3000)] + [(None, i, f"n{i}") for i in range(5)] + [(f"k{i}", 1, "x") for i in range(40)]
+    frame = spark.createDataFrame(rows, "k string, at int, v string").repartition(5)
+    got = {(r["k"], r["at"]): r["before"] for r in preceding(frame, ["k"], ["at"], "v", "before").collect()}
+    values = {(k, at): v for k, at, v in rows}
+    assert got == {(k, at): values.get((k, at - 1)) for k, at, _ in rows}
+    assert preceding(frame.limit(0), ["k"], ["at"], "v", "before").count() == 0
