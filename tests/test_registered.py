@@ -12,6 +12,7 @@ QUICK = (
     "search_latest", "request_pages", "revisit_areas", "catalog_walk", "item_scan", "object_listing", "pair_comparability",
     "role_quality", "score_tolerant", "cleaned_mask", "candidate_measures", "outline_areas", "set_report", "artifact_faults",
     "bundle_references", "case_rules", "labeling_rules", "supersession_conflicts", "evidence_export", "tile_cover", "streamed_intake",
+    "resampled_cells", "exported_files", "streamed_requests",
 )
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables are not here")
 
